@@ -80,15 +80,15 @@ def salts(n: int) -> Column:
     return F.explode(F.array(*[F.lit(i) for i in range(n)]))
 
 
-def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[str], weight: str, out: str) -> DataFrame:
+def running_sum(df: DataFrame, totals: DataFrame, group: list[str], bucket: str, order: list[str], weight: str, out: str) -> DataFrame:
     """Add `out`, the sum of `weight` over the rows of the group up to and with this one, ordered by bucket and then by `order`.
 
     A group may hold a third of all rows: no task gets more of it than one bucket. Sums before each bucket come from a window
-    over the bucket totals, at most as many rows a group as there are buckets. df is read twice, so hand in a written table.
-    `group`, `bucket` are never null.
+    over the bucket totals, at most as many rows a group as there are buckets. `totals` has the same rows as df (group, bucket
+    and weight are read of it); hand in a written table. `group` and `bucket` are never null; group may be empty.
     """
     before = (
-        df.groupBy(*group, bucket)
+        totals.groupBy(*group, bucket)
         .agg(F.sum(weight).alias("_total"))
         .withColumn("_before", F.coalesce(F.sum("_total").over(Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .drop("_total")

@@ -1,10 +1,14 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .mixing import op3_mix_sources
+from .packing import op6_pack
 from .quality import OP1_SQL, op1_line_frequency
 from .url_reputation import OP7_SQL, op7_url_reputation
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op3_mix_sources": op3_mix_sources,
+    "op6_pack": op6_pack,
     "op7_url_reputation": op7_url_reputation,
 }
 ORACLES = {
