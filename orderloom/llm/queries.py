@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .language import op2_language_id
 from .mixing import op3_mix_sources
 from .packing import op6_pack
 from .quality import OP1_SQL, op1_line_frequency
@@ -7,6 +8,7 @@ from .url_reputation import OP7_SQL, op7_url_reputation
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
     "op6_pack": op6_pack,
     "op7_url_reputation": op7_url_reputation,
