@@ -95,3 +95,12 @@ def running_sum(df: DataFrame, totals: DataFrame, group: list[str], bucket: str,
     )
     within = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.join(before, [*group, bucket]).withColumn(out, F.col("_before") + F.sum(weight).over(within)).drop("_before")
+
+
+#: A table of at most so many ids (16 bytes each) may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df semi- or anti-joined with a written table of ids: broadcast if its counted rows are within the limit, else shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= limit else ids, key, how)

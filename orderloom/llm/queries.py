@@ -2,6 +2,7 @@
 
 from .language import op2_language_id
 from .mixing import op3_mix_sources
+from .ngram_join import op10_ngram_join
 from .packing import op6_pack
 from .quality import OP1_SQL, op1_line_frequency
 from .url_reputation import OP7_SQL, op7_url_reputation
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op6_pack": op6_pack,
     "op7_url_reputation": op7_url_reputation,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLES = {
     "op1_line_frequency": OP1_SQL,
