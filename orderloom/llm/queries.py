@@ -1,18 +1,22 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
 from .language import op2_language_id
+from .media import op9_media
 from .mixing import op3_mix_sources
 from .ngram_join import op10_ngram_join
 from .packing import op6_pack
 from .quality import OP1_SQL, op1_line_frequency
 from .url_reputation import OP7_SQL, op7_url_reputation
+from .warc import op4_warc
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
+    "op4_warc": op4_warc,
     "op6_pack": op6_pack,
     "op7_url_reputation": op7_url_reputation,
+    "op9_media": op9_media,
     "op10_ngram_join": op10_ngram_join,
 }
 ORACLES = {
