@@ -6,6 +6,7 @@ from .mixing import op3_mix_sources
 from .ngram_join import op10_ngram_join
 from .packing import op6_pack
 from .quality import OP1_SQL, op1_line_frequency
+from .sharding import op8_shards
 from .url_reputation import OP7_SQL, op7_url_reputation
 from .warc import op4_warc
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op6_pack": op6_pack,
     "op7_url_reputation": op7_url_reputation,
+    "op8_shards": op8_shards,
     "op9_media": op9_media,
     "op10_ngram_join": op10_ngram_join,
 }
