@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .chat import op5_chat
 from .language import op2_language_id
 from .media import op9_media
 from .mixing import op3_mix_sources
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
     "op4_warc": op4_warc,
+    "op5_chat": op5_chat,
     "op6_pack": op6_pack,
     "op7_url_reputation": op7_url_reputation,
     "op8_shards": op8_shards,
