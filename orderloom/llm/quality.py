@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, enclose, key_of, release, salts, table
+from .common import SPACE, enclose, key_of, materialise, release, salts, table
 
 SALTS = 16
 
@@ -23,10 +23,6 @@ def _normal(line: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")))
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
-
-
 def with_base_metrics(df: DataFrame, text: str) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed for the column `text`.
 
@@ -49,16 +45,17 @@ def with_base_metrics(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low))))
     covered = F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, i + 1) - p, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
     df = df.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_START)))
-    df = df.withColumns({
+    own = [c for c in df.columns if c not in ("_w", "_n", "_b", "_s", "_at", "_lines")]
+    found = {
         "n_words": n.cast("long"),
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": _without(t, "#*$%&|<>").cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]+", ""))).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": covered,
-        "_n_lines": F.size("_lines"),
-    })
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("_w", "_n", "_b", "_s", "_at", "_lines")
+    }
+    # a generator, because the optimizer would carry a filter on what follows down into the lambdas above and run them for each word
+    df = df.select(*own, F.explode(F.array(F.struct(*[c.alias(k) for k, c in found.items()]))).alias("_m")).select(*own, "_m.*")
+    return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 WORD_START = r"[^\x20\x09-\x0D]"
@@ -79,6 +76,7 @@ def frequent_lines(docs: DataFrame, text: str, host: str, max_docs: int = 10, ma
         .groupBy("_host", "_text", F.xxhash64("_raw").alias("_line"))
         .agg(F.sum(F.length("_raw")).alias("_chars"))
     )
+    lines = materialise(lines, "lines")  # three branches read it; without this each splits and hashes all texts anew
     often = lines.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"), F.sum("_chars").alias("_all")).filter((F.col("_docs") > max_docs) & (F.col("_all") > 0))
     hosts = lines.groupBy("_host", "_text").agg(F.sum("_chars").alias("_all")).filter(F.col("_all") > 0).groupBy("_host").agg(F.count(F.lit(1)).alias("_host_docs"))
     # a host may hold a third of the candidates, so its total is dealt out in salted copies
