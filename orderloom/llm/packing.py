@@ -125,7 +125,8 @@ def _pieces(path: str, capacity: int, piece: int, with_ids: bool):
                 ])
             yield pd.Series(out, dtype=object)
 
-    return F.pandas_udf(pieces, PIECES)
+    # not deterministic in name only: else Spark infers a filter from the explode that tokenises all texts once more
+    return F.pandas_udf(pieces, PIECES).asNondeterministic()
 
 
 def pack_documents(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, piece: int = PIECE, batch: int = BATCH, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
