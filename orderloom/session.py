@@ -11,7 +11,7 @@ ORDERS_PER_CHUNK = 10_000
 
 
 def build_session(app: str = "orderloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session in UTC, with adaptive execution and filter pushdown into Python data sources; `conf` uses `__` for dots."""
+    """A session in UTC with adaptive execution; `conf` uses `__` for dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -19,7 +19,6 @@ def build_session(app: str = "orderloom", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.python.filterPushdown.enabled": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
         builder = builder.config(k, v)

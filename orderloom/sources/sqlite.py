@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,26 +39,15 @@ class Rows(InputPartition):
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, path: str, table: str, schema: StructType):
+    def __init__(self, path: str, table: str, schema: StructType, where: list):
         self.path, self.table, self.schema = path, table, schema
         self.where: list[str] = []
         self.values: list = []
-
-    def pushFilters(self, filters: list):
-        for f in filters:
-            column = quoted(f.attribute[0]) if len(getattr(f, "attribute", ())) == 1 else None
-            value = getattr(f, "value", None)
-            plain = lambda v: isinstance(v, (int, float, str))
-            if column and type(f) in _OPS and plain(value):
-                self.where.append(f"{column} {_OPS[type(f)]} ?")
-                self.values.append(value)
-            elif column and type(f) is In and all(map(plain, value)):
-                self.where.append(f"{column} IN ({', '.join('?' * len(value))})")
-                self.values += list(value)
-            elif column and type(f) in (IsNull, IsNotNull):
-                self.where.append(f"{column} IS {'NOT ' * (type(f) is IsNotNull)}NULL")
-            else:
-                yield f
+        for column, op, value in where:
+            if op not in ("=", "<>", "<", "<=", ">", ">=", "in"):
+                raise ValueError(f"unknown comparison: {op}")
+            self.where.append(f"{quoted(column)} {'IN (' + ', '.join('?' * len(value)) + ')' if op == 'in' else op + ' ?'}")
+            self.values += list(value) if op == "in" else [value]
 
     def partitions(self) -> list[Rows]:
         with sqlite3.connect(self.path) as con:
@@ -76,6 +66,26 @@ class SqliteReader(DataSourceReader):
             con.close()
 
 
+class PushingSqliteReader(SqliteReader):
+    """Takes the plan's filters as well."""
+
+    def pushFilters(self, filters: list):
+        for f in filters:
+            column = quoted(f.attribute[0]) if len(getattr(f, "attribute", ())) == 1 else None
+            value = getattr(f, "value", None)
+            plain = lambda v: isinstance(v, (int, float, str))
+            if column and type(f) in _OPS and plain(value):
+                self.where.append(f"{column} {_OPS[type(f)]} ?")
+                self.values.append(value)
+            elif column and type(f) is In and all(map(plain, value)):
+                self.where.append(f"{column} IN ({', '.join('?' * len(value))})")
+                self.values += list(value)
+            elif column and type(f) in (IsNull, IsNotNull):
+                self.where.append(f"{column} IS {'NOT ' * (type(f) is IsNotNull)}NULL")
+            else:
+                yield f
+
+
 @dataclass
 class Part(WriterCommitMessage):
     rows: int
@@ -101,7 +111,7 @@ class SqliteWriter(DataSourceWriter):
 
 
 class SqliteDataSource(DataSource):
-    """Format "sqlite". Options: path, table. The columns are those of the table."""
+    """Format "sqlite". Options: path, table, where (JSON list of [column, comparison, value]). The columns are those of the table."""
 
     @classmethod
     def name(cls) -> str:
@@ -112,7 +122,8 @@ class SqliteDataSource(DataSource):
         return ", ".join(f"`{n}` {_kind(t)}" for n, t in columns)
 
     def reader(self, schema: StructType) -> SqliteReader:
-        return SqliteReader(self.options["path"], self.options["table"], schema)
+        kind = PushingSqliteReader if self.options.get("pushdown", "false").lower() == "true" else SqliteReader
+        return kind(self.options["path"], self.options["table"], schema, json.loads(self.options.get("where", "[]")))
 
     def writer(self, schema: StructType, overwrite: bool) -> SqliteWriter:
         return SqliteWriter(self.options["path"], self.options["table"], schema.names)
@@ -127,15 +138,20 @@ def table_columns(path: str, table: str) -> list[tuple[str, str]]:
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteDataSource)
 
 
-def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """All rows of a table; filters on its columns run inside SQLite. A missing table raises ValueError."""
+def read_table(spark: SparkSession, path: str, table: str, where: list[tuple[str, str, object]] | None = None, pushdown: bool = False) -> DataFrame:
+    """The rows of a table that meet `where`, which SQLite evaluates. A missing table raises ValueError.
+
+    pushdown: filters of the plan run inside SQLite as well. Spark 4.1 then keeps the filters of a DataFrame's first query for
+    its later ones, so read the table anew for each query.
+    """
     table_columns(path, table)
     register(spark)
-    return spark.read.format("sqlite").option("path", path).option("table", table).load()
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("sqlite").option("path", path).option("table", table).option("where", json.dumps(where or [])).option("pushdown", str(pushdown).lower()).load()
 
 
 def load_tables(spark: SparkSession, path: str, tables: tuple[str, ...]) -> dict[str, DataFrame]:
