@@ -78,7 +78,8 @@ def _prefixes(held, percent: int):
         band = np.ceil(np.log2(excess + 1)).clip(0, 31).astype("u8")
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            tokens, docs, ns, ls = [], [], [], []
+            out: list[list] = [[] for _ in POSTING]
+            size = 0
             for doc, s in zip(ids, shingle_sets(batch.column("text").to_pylist()), strict=True):
                 n = len(s)
                 if doc is None or not n:
@@ -90,21 +91,26 @@ def _prefixes(held, percent: int):
                 cost = excess[at[order[: n - need + 1]]].sum()
                 least = min(1 + sum(cost > c for c in COSTS), need)
                 p = t[order[: n - need + least]].view("i8")
-                tokens.append(p)
-                docs += [doc] * len(p)
-                ns += [n] * len(p)
-                ls += [least] * len(p)
-                if len(docs) > 200_000:
-                    yield _rows(tokens, docs, ns, ls)
-                    tokens, docs, ns, ls = [], [], [], []
-            if docs:
-                yield _rows(tokens, docs, ns, ls)
+                # how much of the whole set other documents have too: the source of a group of near copies comes out on top
+                central = int(np.log2(excess[at] + 1).mean() * 8)
+                for column, x in zip(out, (p, [doc] * len(p), [n] * len(p), [least] * len(p), range(len(p)), [central] * len(p)), strict=True):
+                    column.append(np.asarray(x, "i8"))
+                size += len(p)
+                if size > 200_000:
+                    yield _rows(out)
+                    out, size = [[] for _ in POSTING], 0
+            if size:
+                yield _rows(out)
 
     return prefixes
 
 
-def _rows(tokens, docs, ns, ls) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(docs, pa.int64()), pa.array(ns, pa.int32()), pa.array(ls, pa.int32())], names=["token", "doc", "n", "l"])
+#: A token of a document's prefix: its place there, the document's size, l and centrality.
+POSTING = {"token": pa.int64(), "doc": pa.int64(), "n": pa.int32(), "l": pa.int32(), "pos": pa.int32(), "central": pa.int32()}
+
+
+def _rows(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(k) for c, k in zip(columns, POSTING.values(), strict=True)], names=list(POSTING))
 
 
 def _overlap(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -122,7 +128,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
     # plain joins of written tables: Spark splits the rows of a document with many partners
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     with_ab = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    o = with_ab.select("a", "b", F.pandas_udf(_overlap, "common long, all long")("ta", "tb").alias("o"))
+    o = with_ab.select("a", "b", F.pandas_udf(_overlap, "common long, all long").asNondeterministic()("ta", "tb").alias("o"))
     return materialise(o.select("a", "b", F.col("o.common").alias("common"), F.col("o.all").alias("all")), tag)
 
 
@@ -153,15 +159,15 @@ def shingle_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     # an id that comes with several sets is one document: its sets' classes are joined
     several = members.join(reps.filter("lo <> hi").select("doc_id", "lo"), "doc_id").select(F.col("lo").alias("a"), F.col("rep").alias("b")).filter("a < b")
 
-    postings = docs.mapInArrow(_prefixes(held, percent), "token long, doc long, n int, l int")
+    postings = docs.mapInArrow(_prefixes(held, percent), "token long, doc long, n int, l int, pos int, central int")
     # within a token's list, a new leader for each band of sizes, as documents of too different sizes can't be linked
     postings = postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
-    by_token = Window.partitionBy("token").orderBy("band", "doc")
-    by_band = Window.partitionBy("token", "band").orderBy("doc").rowsBetween(Window.unboundedPreceding, 0)
+    by_token = Window.partitionBy("token").orderBy("band", F.desc("central"), "doc")
+    by_band = Window.partitionBy("token", "band").orderBy(F.desc("central"), "doc").rowsBetween(Window.unboundedPreceding, 0)
     shared = (
         postings.withColumns({"leader": F.first("doc").over(by_band), "_next": F.lead("doc").over(by_token), "_last": F.lag("doc").over(by_token)})
         .filter(F.col("_next").isNotNull() | F.col("_last").isNotNull())
-        .select("token", "doc", "n", "l", "leader")
+        .select("token", "doc", "n", "l", "pos", "leader")
     )
     shared = materialise(shared, "shared")
     shared = materialise(keep_ids(shared, copies, "doc", "left_anti"), "postings")
@@ -172,26 +178,35 @@ def shingle_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     links = first.filter(linked).select("a", "b").unionByName(several)
     found = materialise(components(links), "found")
 
-    # the second step: lists that still hold more than one component
+    # the second step: lists that still hold more than one component; ahead counts the tokens before this one that any other
+    # prefix has, so that no more of them can be common
     comp = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-    near = first.groupBy(F.col("a").alias("leader"), F.col("b").alias("doc")).agg(F.max("common").alias("common"), F.min("all").alias("all"))
-    comp = comp.join(near, ["leader", "doc"], "left").withColumn("d", F.when(F.col("doc") == F.col("leader"), 0.0).otherwise(1 - F.col("common") / F.col("all"))).drop("common", "all")
+    comp = comp.withColumn("ahead", F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1)
     comp = materialise(comp, "comp")
-    lists = comp.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    many = lists.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
-    lists = materialise(lists.join(many, "token"), "lists")
-    x, y = (lists.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("comp", "lo", "hi")]) for s in "12")
-    ways = x.join(y, "token").filter(f"comp1 < comp2 AND 100 * hi1 >= {percent} * lo2 AND 100 * hi2 >= {percent} * lo1").select("token", "comp1", "comp2")
-    one, two = (comp.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("comp", "doc", "n", "l", "leader", "d")]) for s in "12")
+    open_ = materialise(comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token"), "open")
+    comp = materialise(comp.join(open_, "token", "left_semi"), "comp")
+    near = first.groupBy(F.col("a").alias("leader"), F.col("b").alias("doc")).agg(F.max("common").alias("common"), F.min("all").alias("all"))
+    comp = comp.join(near, ["leader", "doc"], "left").withColumn("d", F.when(F.col("doc") == F.col("leader"), 0.0).otherwise(1 - F.col("common") / F.col("all")))
+    comp = materialise(comp.select("token", "comp", "doc", "n", "l", "pos", "ahead", "leader", "d"), "comp")
+    lists = comp.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("ahead").alias("ahead"), F.max(F.expr("n - 1 - pos")).alias("behind"))
+    lists = materialise(lists, "lists")
+    x, y = (lists.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("comp", "lo", "hi", "ahead", "behind")]) for s in "12")
+    sizes = f"100 * hi1 >= {percent} * lo2 AND 100 * hi2 >= {percent} * lo1"
+    # what both have ahead, this token and what both have behind must come to the overlap that a link needs
+    reach = f"(least(ahead1, ahead2) + 1 + least(behind1, behind2)) * {100 + percent}"
+    ways = x.join(y, "token").filter(f"comp1 < comp2 AND {sizes} AND {reach} >= {percent} * (lo1 + lo2)").select("token", "comp1", "comp2")
+    one, two = (comp.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("comp", "doc", "n", "l", "pos", "ahead", "leader", "d")], F.expr("n - 1 - pos").alias(f"behind{s}")) for s in "12")
     cross = (
         ways.join(one, ["token", "comp1"])
         .join(two, ["token", "comp2"])
-        .filter(f"100 * n1 >= {percent} * n2 AND 100 * n2 >= {percent} * n1")
+        .filter(f"100 * n1 >= {percent} * n2 AND 100 * n2 >= {percent} * n1 AND {reach} >= {percent} * (n1 + n2)")
         # two documents further from their leader than the distance of a link apart can't be linked
         .filter(f"leader1 <> leader2 OR d1 IS NULL OR d2 IS NULL OR abs(d1 - d2) <= {1 - percent / 100 + 1e-9}")
-        .groupBy(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b"))
-        .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("l1", "l2")).alias("l"))
-        .filter("k >= l")
+        .select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b"), F.least("l1", "l2").alias("l"), (F.col("n1") + F.col("n2")).alias("n"), F.least("behind1", "behind2").alias("behind"))
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("k"), F.min("l").alias("l"), F.min("behind").alias("behind"), F.max("n").alias("n"))
+        # all common tokens up to the last one in the prefixes are counted, unless a pair's row was left out above, and then it is no link
+        .filter(f"k >= l AND (k + behind) * {100 + percent} >= {percent} * n")
         .select("a", "b")
     )
     cross = cross.join(first.select("a", "b"), ["a", "b"], "left_anti")
