@@ -114,7 +114,7 @@ class CharModels:
         self.keys, self.contexts, self.logp, self.logb = [], [], [], []
         alphabet = len(np.unique(np.concatenate([x[0][0] for x in counts]))) + 1 if counts else 1
         below_keys, below = np.zeros(1, "u8"), np.full((1, size), 1.0 / alphabet)
-        for k in range(ORDER):
+        for k in range(ORDER if counts else 0):
             keys, first = np.unique(np.concatenate([x[k][0] for x in counts]), return_index=True)
             shorter = np.concatenate([x[k][2] for x in counts])[first]
             context = np.concatenate([x[k][3] for x in counts])[first]
@@ -275,7 +275,7 @@ def identify(docs: DataFrame, models: CharModels, text: str = "text") -> DataFra
             yield held.value.predict([x if isinstance(x, str) else None for x in texts])
 
     own = enclose(docs)
-    out = own.withColumn("_p", F.pandas_udf(predict, PREDICTION)(F.col(f"in_{text}")))
+    out = own.withColumn("_p", F.pandas_udf(predict, PREDICTION).asNondeterministic()(F.col(f"in_{text}")))
     outputs = ["lang_pred", "score", "entropy", "rejected"]
     return release(out.select("*", *[F.col(f"_p.{c}").alias(c) for c in outputs]), outputs)
 
