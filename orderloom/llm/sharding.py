@@ -1,8 +1,9 @@
 """Balanced label propagation: documents that share a hub move to one shard under capacity quotas.
 
 Method. Every document begins in a shard by hash. In each round a join tells linked documents in which shards their hubs'
-documents are; those outside their hub's leading shard ask to move there; a shard admits, group by group, as many linked
-documents as its even share has room for, the others stay and may ask again. A last step moves the surplus of each shard, unlinked documents first, into the
+documents are; those outside their hub's leading shard ask to move there. Between two shards as many may change places as ask for
+it both ways; beyond these a shard admits, group by group, as many linked documents as its quota has room for. The others
+stay and may ask again. A last step moves the surplus of each shard, unlinked documents first, into the
 shards that are short, so that counts differ by one at most. Only linked documents take part in the rounds.
 """
 
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from .common import enclose, materialise, release, running_sum, salts, table
 
 SHARDS = 24
-ROUNDS = 4
+#: A shard may hold so much more linked documents than its even share during the rounds; the last step passes on the surplus, whole groups but for one at each border.
+SLACK = 0.25
+ROUNDS = 8
 BUCKETS = 1024
 SALTS = 16
 
@@ -36,18 +39,30 @@ def _row_ids(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_id", F.shiftleft(F.col("_bucket").cast("long"), 40) + F.row_number().over(w)).drop("_bucket")
 
 
+def _quotas(asked: dict[tuple[int, int], int], room: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(from, to, number) of documents that may move: as many each way as ask for it the other way, and what room is left, shared by the asking."""
+    swaps = {k: min(n, asked.get(k[::-1], 0)) for k, n in asked.items()}
+    rest = {k: n - swaps[k] for k, n in asked.items()}
+    out = []
+    for k, n in asked.items():
+        total = sum(m for j, m in rest.items() if j[1] == k[1])
+        out.append((*k, swaps[k] + min(rest[k], room.get(k[1], 0) * rest[k] // total if total else 0)))
+    return out
+
+
 def _moves(linked: DataFrame, counts: dict[int, int], limit: int, shards: int) -> DataFrame:
     """_id and _to of the linked documents (a written table: _id, _hub, shard) that change their shard in this round."""
-    spark = linked.sparkSession
     held = linked.groupBy("_hub", "shard").agg(F.count(F.lit(1)).alias("n"))
     lead = held.groupBy("_hub").agg(F.max(F.struct("n", F.pmod(F.xxhash64("_hub", "shard"), F.lit(1 << 20)).alias("h"), "shard")).alias("m")).select("_hub", F.col("m.shard").alias("_to"))
     # a hub may have a third of all documents, so its row is dealt out in salted copies
     asks = linked.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(lead.withColumn("_salt", salts(SALTS)), ["_hub", "_salt"]).filter("shard <> _to")
     # groups stay together in the order of admission; a large group's salts lie in buckets next to each other
     place = F.pmod(F.xxhash64(F.lit(5), "_hub"), F.lit(BUCKETS // SALTS)) * SALTS + F.col("_salt")
-    asks = materialise(asks.select("_id", "_hub", "_to", place.cast("int").alias("_place")), "asks")
-    room = spark.createDataFrame([(s, max(0, limit - counts.get(s, 0))) for s in range(shards)], "_to int, _room long")  # one row a shard
-    return _numbered(asks, ["_to"], "_place", ["_hub", "_id"], "_nth").join(F.broadcast(room), "_to").filter("_nth < _room").select("_id", "_to")
+    asks = materialise(asks.select("_id", "_hub", "shard", "_to", place.cast("int").alias("_place")), "asks")
+    asked = {(r["shard"], r["_to"]): r["n"] for r in asks.groupBy("shard", "_to").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a pair of shards
+    quotas = _quotas(asked, {s: max(0, limit - counts.get(s, 0)) for s in range(shards)})
+    plan = linked.sparkSession.createDataFrame(quotas, "shard int, _to int, _quota long")
+    return _numbered(asks, ["shard", "_to"], "_place", ["_hub", "_id"], "_nth").join(F.broadcast(plan), ["shard", "_to"]).filter("_nth < _quota").select("_id", "_to")
 
 
 def _counts(df: DataFrame) -> dict[int, int]:
@@ -72,7 +87,7 @@ def balanced_shards(docs: DataFrame, hub: Column, keys: list[str], shards: int =
     nodes = materialise(spread.select("_id", "_hub", F.coalesce("_linked", F.lit(False)).alias("linked"), start.alias("shard")), "nodes")
     alone = nodes.filter("NOT linked").select("_id", "_hub", "linked", "shard")
     linked = nodes.filter("linked")
-    limit = total // shards  # linked documents may take a shard's whole even share: the last step moves unlinked ones out of their way
+    limit = int(total * (1 + SLACK)) // shards  # unlinked documents make room in the last step
     for _ in range(rounds if total else 0):
         moves = materialise(_moves(linked.select("_id", "_hub", "shard"), _counts(linked), limit, shards), "moves")
         if moves.isEmpty():
