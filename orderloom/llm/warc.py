@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -232,19 +233,14 @@ _TESTS = {
     StringStartsWith: lambda x, v: x is not None and x.startswith(v),
     IsNotNull: lambda x, v: x is not None,
 }
+#: Comparisons by their names in the option `where`.
+_NAMES = {"=": EqualTo, "in": In, ">": GreaterThan, ">=": GreaterThanOrEqual, "<": LessThan, "<=": LessThanOrEqual, "prefix": StringStartsWith, "not null": IsNotNull}
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payload: bool, verify: bool):
+    def __init__(self, path: str, payload: bool, verify: bool, where: list):
         self.path, self.payload, self.verify = path, payload, verify
-        self.tests: list[tuple[str, type, object]] = []
-
-    def pushFilters(self, filters: list):
-        for f in filters:
-            if type(f) in _TESTS and len(f.attribute) == 1 and f.attribute[0] in _COLUMNS:
-                self.tests.append((f.attribute[0], type(f), getattr(f, "value", None)))
-            else:
-                yield f
+        self.tests: list[tuple[str, type, object]] = [(c, _NAMES[op], v) for c, op, v in where]
 
     def partitions(self) -> list[Files]:
         fs, root = _filesystem(self.path)
@@ -288,6 +284,17 @@ class WarcReader(DataSourceReader):
             yield _batch(rows)
 
 
+class PushingWarcReader(WarcReader):
+    """Takes the plan's filters on header columns as well."""
+
+    def pushFilters(self, filters: list):
+        for f in filters:
+            if type(f) in _TESTS and len(f.attribute) == 1 and f.attribute[0] in _COLUMNS:
+                self.tests.append((f.attribute[0], type(f), getattr(f, "value", None)))
+            else:
+                yield f
+
+
 _ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in READ_SCHEMA.split(", "))])
 
 
@@ -296,7 +303,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class WarcDataSource(DataSource):
-    """Format "warc". Options: path; payload ("false": payloads stay out of the rows); verify ("true": response payloads are held against their digests)."""
+    """Format "warc".
+
+    Options: path; payload ("false": payloads stay out of the rows); verify ("true": response payloads are held against their
+    digests); where (JSON list of [column, comparison, value], met by headers before a block is decoded); pushdown ("true": the
+    plan's filters too).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -306,14 +318,14 @@ class WarcDataSource(DataSource):
         return READ_SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() == "true", self.options.get("verify", "false").lower() == "true")
+        kind = PushingWarcReader if self.options.get("pushdown", "false").lower() == "true" else WarcReader
+        return kind(self.options["path"], self.options.get("payload", "true").lower() == "true", self.options.get("verify", "false").lower() == "true", json.loads(self.options.get("where", "[]")))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"])
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 
 
@@ -336,9 +348,17 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, page_id: str =
     out.select("page_id", "url", "payload", "sha1", "payload_bytes", "record_type", "refers_to").write.format("warc").mode("append").save(path)
 
 
-def read_archive(spark: SparkSession, path: str, payload: bool = True, verify: bool = False) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, payload: bool = True, verify: bool = False, where: list[tuple[str, str, object]] | None = None, pushdown: bool = False) -> DataFrame:
+    """The records of an archive whose headers meet `where`.
+
+    pushdown: filters of the plan on header columns are pushed down as well. Spark 4.1 then keeps the filters of a DataFrame's
+    first query for its later ones, so read the archive anew for each query.
+    """
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).option("verify", str(verify).lower()).load(path)
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format("warc").option("payload", str(payload).lower()).option("verify", str(verify).lower()).option("pushdown", str(pushdown).lower())
+    return reader.option("where", json.dumps(where or [])).load(path)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
