@@ -51,6 +51,16 @@ def messages(spark: SparkSession, n: int, values: int = 10_000, seed: int = 7) -
     return spark.range(n).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("payload "), F.col("id")).alias("payload"), draw.alias("values"), (F.col("id") * 1_000_000_000).alias("timestamp_emission"))
 
 
+def order_stream(spark: SparkSession, per_second: int = 10, seed: int = 7) -> DataFrame:
+    """An endless stream of order messages at a steady rate, for load tests."""
+    n = F.col("value")
+    draw = lambda k, m: (F.pmod(F.xxhash64(F.lit(seed + k), n), F.lit(m)) + 1).cast("int")
+    return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(
+        n.cast("int").alias("id"), draw(1, 500_000).alias("cliente_id"), draw(2, PRODUCTS).alias("produto_id"), draw(3, 10).alias("quantidade"),
+        F.element_at(F.array(*[F.lit(c) for c in CENTERS]), draw(4, len(CENTERS))).alias("centro_logistico_mais_proximo"), F.col("timestamp").alias("registrado_em"),
+    )
+
+
 def star_schema(spark: SparkSession, customers: int = 100, products: int = 29, orders_n: int = 300, seed: int = 42) -> dict[str, DataFrame]:
     """Seven tables of customers, categories, products, centres, orders, items and deliveries, with keys that match."""
     r = lambda k: F.rand(seed * 1000 + k)

@@ -12,7 +12,7 @@ from . import files, sqlite
 
 @dataclass(frozen=True)
 class SourceSpec:
-    """kind: csv, txt, json, sql or parquet. has_header None: a header for csv, none for txt."""
+    """kind: csv, txt, json, sql (a SQLite file), jdbc (path: the URL) or parquet. has_header None: a header for csv, none for txt."""
 
     name: str
     kind: str
@@ -28,7 +28,7 @@ class SourceSpec:
 
 def resolve(path: str, roots: tuple[str, ...] = ()) -> str:
     """An absolute path or one with a scheme as it is; else under the first root where it exists, else in the working folder."""
-    if os.path.isabs(path) or "://" in path:
+    if os.path.isabs(path) or "://" in path or path.startswith("jdbc:"):
         return path
     for r in roots:
         if os.path.exists(os.path.join(r, path)):
@@ -46,6 +46,8 @@ def read_source(spark: SparkSession, spec: SourceSpec, roots: tuple[str, ...] =
         return files.read_json(spark, path, spec.records_path, spec.encoding)
     if spec.kind == "sql":
         return sqlite.read_table(spark, path, spec.table or "")
+    if spec.kind == "jdbc":
+        return spark.read.format("jdbc").option("url", spec.path).option("dbtable", spec.table).load()
     if spec.kind == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unknown kind of source: {spec.kind}")

@@ -66,6 +66,7 @@ def test_generated_orders(spark):
     assert df.filter("quantidade < 1 OR quantidade > 10 OR valor_total <> round(preco_unitario * quantidade, 2)").count() == 0
     assert rows(df) == rows(generators.orders(spark, 200))
     assert len(generators.messages(spark, 1, 50).first()["values"]) == 50
+    assert generators.order_stream(spark).isStreaming
     star = generators.star_schema(spark)
     assert set(star) == {"clientes", "categorias", "produtos", "centros_logisticos", "pedidos", "itens_pedido", "entregas"}
     assert star["itens_pedido"].join(star["pedidos"], F.col("pedido_id") == star["pedidos"]["id"], "left_anti").count() == 0
