@@ -104,3 +104,14 @@ BROADCAST_ROWS = 1_000_000
 def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df semi- or anti-joined with a written table of ids: broadcast if its counted rows are within the limit, else shuffled."""
     return df.join(F.broadcast(ids) if ids.count() <= limit else ids, key, how)
+
+
+#: Rows of whole texts in one Arrow batch; Spark's own default holds five times as many in each Python worker.
+BATCH_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows, unless it already asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import enclose, release, table
+from .common import bound_batches, enclose, release, table
 
 ORDER = 4
 #: The models are fitted on about so many texts a language, drawn by hash, none longer than SAMPLE_CHARS code points.
@@ -26,7 +26,7 @@ SAMPLE_CHARS = 100_000
 #: Of the sample, one text in CALIBRATE is kept out of the counts; score and rejection are calibrated on these.
 CALIBRATE = 5
 #: Texts are scored in slices of at most so many code points, to bound memory.
-SLICE = 1 << 20
+SLICE = 1 << 19
 SPACE = np.uint32(32)
 _R = np.uint64(0x9E3779B97F4A7C15)
 PREDICTION = "lang_pred string, score double, entropy double, rejected boolean"
@@ -268,6 +268,7 @@ def identify(docs: DataFrame, models: CharModels, text: str = "text") -> DataFra
     Whole texts are scored, and only the text counts, so equal texts get equal results. Input columns named like an output are
     replaced.
     """
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample it was fitted on
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
