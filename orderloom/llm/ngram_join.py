@@ -6,7 +6,7 @@ n - ceil(t * n) + l tokens. Each document's l grows with the estimated candidate
 frequent tokens must share correspondingly more prefix tokens before they are verified. Pairs come in two steps, so that a
 group of k near copies costs about k verifications and not k * k: first each document with the least document of its token
 lists; then, exactly, all pairs that share min(l) tokens and are not yet in one component, less those that the triangle
-inequality of the Jaccard distance rules out. Verification compares whole shingle sets.
+inequality of the Jaccard distance, positions in the prefixes or parity bitmaps of the sets rule out. Verification compares whole shingle sets.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import enclose, keep_ids, materialise, release, salts, table
+from .common import bound_batches, enclose, keep_ids, materialise, release, salts, table
 from .components import components
 from .shingles import shingle_sets
 
@@ -31,6 +31,7 @@ SEGMENT_BITS = 6
 #: A prefix whose tokens are expected in more other documents than these must match 2, 3, 4 tokens.
 COSTS = (64, 1024, 16384)
 SALTS = 16
+PARITY_BITS = 512
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
 _SEGMENT = 1 << (SKETCH_BITS - SEGMENT_BITS)
 
@@ -40,22 +41,35 @@ def _need(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose sets take little memory."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def _parities(s: np.ndarray) -> list[int]:
+    """A bitmap of PARITY_BITS: how many tokens fall on each bit, odd or even. Two sets differ in at least as many tokens as their bitmaps in bits."""
+    odd = np.bincount((s >> np.uint64(40)).astype("i8") & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype("u1")).view("<i8").tolist()
+
+
 def _count_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents (kind 0: doc_id, n, key of the set), and at the end this task's segments of the sketch (kind 1)."""
     counts = np.zeros(1 << SKETCH_BITS, "u4")
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("bits", pa.list_(pa.int64()))])
     some = False
-    for batch in batches:
+    for batch in _small(batches):
         sets = shingle_sets(batch.column("text").to_pylist())
         keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         for i in range(0, len(sets), 256):
             some = True
             counts += np.bincount((np.concatenate(sets[i : i + 256]) & _MASK).astype("i8"), minlength=1 << SKETCH_BITS).astype("u4")
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([_parities(s) for s in sets], pa.list_(pa.int64()))], schema=schema)
     for k in range(1 << SEGMENT_BITS) if some else ():
         part = counts[k * _SEGMENT : (k + 1) * _SEGMENT]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k], pa.int64()), pa.array([0], pa.int64()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1)], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k], pa.int64()), pa.array([0], pa.int64()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1)], pa.binary()), pa.array([None], pa.list_(pa.int64()))], schema=schema)
 
 
 def _sum_segments(t: pa.Table) -> pa.Table:
@@ -76,7 +90,7 @@ def _prefixes(held, percent: int):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         excess = held.value
         band = np.ceil(np.log2(excess + 1)).clip(0, 31).astype("u8")
-        for batch in batches:
+        for batch in _small(batches):
             ids = batch.column("doc_id").to_pylist()
             out: list[list] = [[] for _ in POSTING]
             size = 0
@@ -115,10 +129,15 @@ def _rows(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
 
 def _overlap(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for a, b in pairs:
-        texts = list(dict.fromkeys([*a, *b]))
-        sets = dict(zip(texts, shingle_sets(texts), strict=True))
-        both = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)]
-        yield pd.DataFrame({"common": both, "all": [len(sets[x]) + len(sets[y]) - c for x, y, c in zip(a, b, both, strict=True)]})
+        common, all_ = [], []
+        for i in range(0, len(a), 500):
+            left, right = a[i : i + 500], b[i : i + 500]
+            texts = list(dict.fromkeys([*left, *right]))
+            sets = dict(zip(texts, shingle_sets(texts), strict=True))
+            both = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(left, right, strict=True)]
+            common += both
+            all_ += [len(sets[x]) + len(sets[y]) - c for x, y, c in zip(left, right, both, strict=True)]
+        yield pd.DataFrame({"common": common, "all": all_})
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
@@ -140,9 +159,10 @@ def shingle_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     that would else be in different components.
     """
     spark = docs.sparkSession
-    seen = materialise(docs.mapInArrow(_count_sets, "kind int, doc_id long, n long, data binary"), "sets")
+    bound_batches(spark)
+    seen = materialise(docs.mapInArrow(_count_sets, "kind int, doc_id long, n long, data binary, bits array<long>"), "sets")
     sets = seen.filter("kind = 0")
-    sketch = seen.filter("kind = 1").withColumn("_part", F.spark_partition_id() % 32)
+    sketch = seen.filter("kind = 1").select("doc_id", "data").withColumn("_part", F.spark_partition_id() % 32)
     sketch = sketch.groupBy("doc_id", "_part").applyInArrow(_sum_segments, "doc_id long, data binary").groupBy("doc_id").applyInArrow(_sum_segments, "doc_id long, data binary")
     counts = np.zeros(1 << SKETCH_BITS, "u4")
     for r in sketch.collect():  # of fixed size: at most 4 bytes a counter
@@ -151,7 +171,7 @@ def shingle_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
 
     # classes of equal sets; a class may hold a third of all rows, so its representative is dealt out in salted copies
     classes = sets.filter("n > 0").groupBy("data").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).filter("k > 1 AND rep IS NOT NULL")
-    salted = sets.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = sets.select("doc_id", "n", "data").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     members = salted.join(classes.select("data", "rep").withColumn("_salt", salts(SALTS)), ["data", "_salt"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     members = materialise(members, "members")
     reps = members.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
@@ -187,7 +207,10 @@ def shingle_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     comp = materialise(comp.join(open_, "token", "left_semi"), "comp")
     near = first.groupBy(F.col("a").alias("leader"), F.col("b").alias("doc")).agg(F.max("common").alias("common"), F.min("all").alias("all"))
     comp = comp.join(near, ["leader", "doc"], "left").withColumn("d", F.when(F.col("doc") == F.col("leader"), 0.0).otherwise(1 - F.col("common") / F.col("all")))
-    comp = materialise(comp.select("token", "comp", "doc", "n", "l", "pos", "ahead", "leader", "d"), "comp")
+    # an id with several sets has no bitmap of its own
+    bitmaps = sets.filter("n > 0").groupBy(F.col("doc_id").alias("doc")).agg(F.first("bits").alias("bits"), F.min("data").alias("lo"), F.max("data").alias("hi")).filter("lo = hi").select("doc", "bits")
+    comp = comp.join(bitmaps, "doc", "left")
+    comp = materialise(comp.select("token", "comp", "doc", *[F.col(c).cast("long").alias(c) for c in ("n", "l", "pos", "ahead")], "leader", "d", "bits"), "comp")
     lists = comp.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("ahead").alias("ahead"), F.max(F.expr("n - 1 - pos")).alias("behind"))
     lists = materialise(lists, "lists")
     x, y = (lists.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("comp", "lo", "hi", "ahead", "behind")]) for s in "12")
@@ -195,13 +218,25 @@ def shingle_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     # what both have ahead, this token and what both have behind must come to the overlap that a link needs
     reach = f"(least(ahead1, ahead2) + 1 + least(behind1, behind2)) * {100 + percent}"
     ways = x.join(y, "token").filter(f"comp1 < comp2 AND {sizes} AND {reach} >= {percent} * (lo1 + lo2)").select("token", "comp1", "comp2")
-    one, two = (comp.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("comp", "doc", "n", "l", "pos", "ahead", "leader", "d")], F.expr("n - 1 - pos").alias(f"behind{s}")) for s in "12")
+    one, two = (comp.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("comp", "doc", "n", "l", "pos", "ahead", "leader", "d", "bits")], F.expr("n - 1 - pos").alias(f"behind{s}")) for s in "12")
+    two = two.withColumnsRenamed({"token": "_token", "comp2": "_comp2"})
+    differ = " + ".join(f"bit_count(get(bits1, {k}) ^ get(bits2, {k}))" for k in range(PARITY_BITS // 64))
+    # whether a place lies in the prefix for an overlap with a document at least as large, or at most as large
+    short, long = (f"{x} * n{{0}} <= {y} * (n{{0}} + least(l1, l2) - pos{{0}} - 1)" for x, y in ((2 * percent, 100 + percent), (percent, 100)))
+    may_link = [
+        "token = _token AND comp2 = _comp2",
+        f"100 * n1 >= {percent} * n2 AND 100 * n2 >= {percent} * n1 AND {reach} >= {percent} * (n1 + n2)",
+        # the smaller document of a pair needs only the shorter prefix
+        f"CASE WHEN n1 <= n2 THEN {short.format(1)} AND {long.format(2)} ELSE {long.format(1)} AND {short.format(2)} END",
+        # two documents further from their leader than the distance of a link apart can't be linked
+        f"(leader1 <> leader2 OR d1 IS NULL OR d2 IS NULL OR abs(d1 - d2) <= {1 - percent / 100 + 1e-9})",
+        # nor can those whose bitmaps differ in more bits than linked sets can differ in tokens
+        f"(bits1 IS NULL OR bits2 IS NULL OR {2 * percent} * (n1 + n2) <= {100 + percent} * (n1 + n2 - ({differ})))",
+    ]
+    # a condition of the join and not a filter on it, so that it holds before a row is made
     cross = (
         ways.join(one, ["token", "comp1"])
-        .join(two, ["token", "comp2"])
-        .filter(f"100 * n1 >= {percent} * n2 AND 100 * n2 >= {percent} * n1 AND {reach} >= {percent} * (n1 + n2)")
-        # two documents further from their leader than the distance of a link apart can't be linked
-        .filter(f"leader1 <> leader2 OR d1 IS NULL OR d2 IS NULL OR abs(d1 - d2) <= {1 - percent / 100 + 1e-9}")
+        .join(two, F.expr(" AND ".join(may_link)))
         .select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b"), F.least("l1", "l2").alias("l"), (F.col("n1") + F.col("n2")).alias("n"), F.least("behind1", "behind2").alias("behind"))
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("k"), F.min("l").alias("l"), F.min("behind").alias("behind"), F.max("n").alias("n"))
