@@ -219,3 +219,34 @@ def test_pipeline_stages(spark, sf, odd):
     assert seen[3].count() == len(ids[3]) < seen[4].count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd.drop("n_words").withColumnRenamed("host", "n_chars").limit(0), sf).count() == 0
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def near_group(rng, n):
+    """n near copies of one text of five lines: one word changed, another case of a word, or a space at the end of a line."""
+    own = [prose(rng, 40) for _ in range(5)]
+    out = []
+    for k in range(n):
+        lines = list(own)
+        at = k % 5
+        words = lines[at].split(" ")
+        lines[at] = [f"new{k} " + " ".join(words[1:]), " ".join([*words[:-1], words[-1].upper() + str(k)]), lines[at] + " " * (k + 1)][k % 3]
+        out.append("\n".join(lines))
+    return out
+
+
+def test_pipeline_keeps_one_of_a_near_copy_group(spark, sf):
+    rng = random.Random(7)
+    footer = prose(rng, 60)
+    rows = [(k, t, "en", "a", len(t)) for k, t in enumerate(near_group(rng, 60))]
+    rows += [(1000 + k, prose(rng, 70) + "\n" + footer, "en", "a", 0) for k in range(200)] + [(3000, footer, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.quality_rules(spark, docs, sf).cache()
+    got = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert {k for k in got if k < 1000} == set(range(60)) and all(got[k] == t for k, t, *_ in rows[:60])
+    assert 3000 not in got and all(footer not in got[k] for k in range(1000, 1200))
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, kept, sf).collect()}
+    assert sum(k < 1000 for k in left) == 1 and len(left) == 201
