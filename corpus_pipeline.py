@@ -17,9 +17,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Frequent lines leave the texts; documents that fail the base rules or are little but such lines go.
 
-    Near copies count as one document here, so that a group of them reaches the next stage, which keeps one.
+    Near copies count as one document here, so that a group of them reaches the next stage, which keeps one. The limit is a
+    count of documents alone (no share of the host), so that a line leaves whatever the size of its host.
     """
-    kept = quality.quality_rules(docs, near_once=True).filter("kept")
+    kept = quality.quality_rules(docs, max_share=0.0, near_once=True).filter("kept")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return kept.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 

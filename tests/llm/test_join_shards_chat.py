@@ -250,3 +250,13 @@ def test_pipeline_keeps_one_of_a_near_copy_group(spark, sf):
     assert 3000 not in got and all(footer not in got[k] for k in range(1000, 1200))
     left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, kept, sf).collect()}
     assert sum(k < 1000 for k in left) == 1 and len(left) == 201
+
+
+def test_pipeline_lines_leave_whatever_the_size_of_the_host(spark, sf):
+    """A footer on 12 documents of a host, once of 100 and once of 800: 12 % and 1.5 %."""
+    rng = random.Random(8)
+    footer = prose(rng, 20)
+    rows = [(1000 * h + k, prose(rng, 70) + ("\n" + footer if k < 12 else ""), "en", f"h{h}", 0) for h, n in ((1, 100), (2, 800)) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, docs, sf).collect()}
+    assert len(got) == 900 and not any(footer in t for t in got.values())
