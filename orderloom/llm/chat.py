@@ -64,15 +64,20 @@ def _lines(text: str | None) -> list[str]:
 
 
 def _count_lines(t: pa.Table, index: dict[str, int]) -> np.ndarray:
-    """Counts by state and feature value, flat, of labelled source turns (columns role, raw, first)."""
+    """Counts by state and feature value, flat, of labelled source turns (columns role, raw, first).
+
+    Each turn counts in two forms: in a row of its own, and within one text of the whole transcript, where only the first line
+    of the transcript opens a row. So a turn may begin at any line, and the edge of a row is no condition for it.
+    """
     counts = [np.zeros((2 * len(index), k)) for k in FEATURES]
     inner = np.zeros((2 * len(index), 2))
     for role, raw, first in zip(*(t[c].to_pylist() for c in ("role", "raw", "first")), strict=True):
         r, lines = index[role], _lines(raw)
         for i, line in enumerate(lines):
             state = 2 * r + (i > 0)
-            for c, v in zip(counts, features(line, i == 0, first and i == 0), strict=True):
-                c[state, v] += 1
+            for opens in (i == 0, first and i == 0):
+                for c, v in zip(counts, features(line, opens, first and i == 0), strict=True):
+                    c[state, v] += 1
             inner[state, int(i + 1 < len(lines))] += 1
     return np.concatenate([c.ravel() for c in [*counts, inner]])
 

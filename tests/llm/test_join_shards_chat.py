@@ -260,3 +260,22 @@ def test_pipeline_lines_leave_whatever_the_size_of_the_host(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, docs, sf).collect()}
     assert len(got) == 900 and not any(footer in t for t in got.values())
+
+
+def test_chat_turns_within_one_text(spark, sf):
+    """Held-out transcripts with markers, each joined to one row: the turns are found at their lines, with their roles."""
+    F = chat.F
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", chat.raw_turn(F.col("conv_id"), F.col("role"), F.col("text")).alias("raw"), F.pmod(F.xxhash64(F.lit(11), "conv_id"), F.lit(5)).alias("style"))
+    held = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4)) == 2
+    by = defaultdict(list)
+    for r in turns.filter(held & (F.col("style") < 4)).orderBy("conv_id", "turn").collect():
+        by[r["conv_id"]].append(r)
+    joined = spark.createDataFrame([(c, 0, "\n".join(r["raw"] for r in rs)) for c, rs in by.items()], "conv_id long, turn long, raw string")
+    got = {(r["conv_id"], r["start_line"]): r["role"] for r in chat.parse_transcripts(joined, chat.fit_roles(turns.filter(~held))).collect()}
+    want, at = {}, 0
+    for c, rs in by.items():
+        at = 0
+        for r in rs:
+            want[c, at] = r["role"]
+            at += r["raw"].count("\n") + 1
+    assert len(want) > len(by) and np.mean([got.get(k) == v for k, v in want.items()]) >= 0.9 and len(got) <= 1.1 * len(want)
