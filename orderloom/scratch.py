@@ -8,11 +8,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: The sessions of the scratch paths that are still there.
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, a folder of our own, in local mode only."""
+    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where that is unset, in local mode."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not (spark.sparkContext.master or "").startswith("local"):
@@ -22,20 +23,39 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """df as written to the shared folder: read again, it has the same rows in the same partitions' files; it goes when the driver ends."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
+    return path
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: lost executors cost no lineage, and nothing runs twice."""
+    path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no frame still to be run reads; what was made of them is written by now."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
 
 
 @atexit.register
 def _forget() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended; what is left is scratch data
             return
