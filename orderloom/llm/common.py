@@ -2,63 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orderloom.scratch import discard, materialise, scratch_path, shared_dir
+
+__all__ = ["discard", "materialise", "scratch_path", "shared_dir"]
+
 #: A word is a run of characters other than these ASCII white space characters.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where spark.checkpoint.dir is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not (spark.sparkContext.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        where = "file://" + tempfile.mkdtemp(prefix="orderloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def _forget() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may have ended; what is left is scratch data
-            return
-
-
-atexit.register(_forget)
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that lost executors cost no lineage and nothing runs twice."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def enclose(df: DataFrame) -> DataFrame:
     """df with `in_` before each name, so that no input column clashes with a column made on the way."""
     return df.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in df.columns])

@@ -4,9 +4,13 @@ Method. Tokens are ordered from rare to frequent by counts over all documents, k
 depends on it, not the result). A pair of similarity t shares at least l tokens of both documents' l-prefixes, the first
 n - ceil(t * n) + l tokens. Each document's l grows with the estimated candidate cost of its 1-prefix, so that documents of
 frequent tokens must share correspondingly more prefix tokens before they are verified. Pairs come in two steps, so that a
-group of k near copies costs about k verifications and not k * k: first each document with the least document of its token
-lists; then, exactly, all pairs that share min(l) tokens and are not yet in one component, less those that the triangle
-inequality of the Jaccard distance, positions in the prefixes or parity bitmaps of the sets rule out. Verification compares whole shingle sets.
+group of k near copies costs about k verifications and not k * k. First each document is held against the leaders (the most
+central documents) of its token lists. Then come, exactly, the pairs not yet in one component. Here a document's hub, the
+leader that most others were held against, tells most of them apart: what two documents of one hub have in common lies in
+both their overlaps with the hub, which are known, or else is a token that the hub does not have. So a token of the hub brings
+two of them together only where the smaller overlap is enough for a link; tokens that the hub lacks are few and rare. Positions
+in the prefixes, the triangle inequality of the Jaccard distance and parity bitmaps rule out more. Verification compares whole
+shingle sets.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, enclose, keep_ids, materialise, release, salts, table
+from .common import bound_batches, discard, enclose, keep_ids, materialise, release, salts, table
 from .components import components
 from .shingles import shingle_sets
 
@@ -64,7 +68,8 @@ def _count_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         for i in range(0, len(sets), 256):
             some = True
-            counts += np.bincount((np.concatenate(sets[i : i + 256]) & _MASK).astype("i8"), minlength=1 << SKETCH_BITS).astype("u4")
+            at, k = np.unique((np.concatenate(sets[i : i + 256]) & _MASK).astype("i8"), return_counts=True)
+            counts[at] += k.astype("u4")
         yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([_parities(s) for s in sets], pa.list_(pa.int64()))], schema=schema)
     for k in range(1 << SEGMENT_BITS) if some else ():
         part = counts[k * _SEGMENT : (k + 1) * _SEGMENT]
@@ -86,28 +91,40 @@ def _excess(counts: np.ndarray) -> np.ndarray:
     return np.where(over > 0, counts - usual, 0).astype("f4")
 
 
+class _Order:
+    """The order of tokens, from rare to frequent, and the prefixes that it gives, by the sketch's excess counts."""
+
+    def __init__(self, excess: np.ndarray, percent: int):
+        self.excess, self.percent = excess, percent
+        self.band = np.ceil(np.log2(excess + 1)).clip(0, 31).astype("u8")
+
+    def ranks(self, s: np.ndarray) -> np.ndarray:
+        return (self.band[(s & _MASK).astype("i8")] << np.uint64(58)) | (s >> np.uint64(6))
+
+    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """(ranks of the l-prefix in order, l) of a set."""
+        t = self.ranks(s)
+        order = np.argsort(t)
+        n, need = len(s), _need(len(s), self.percent)
+        cost = self.excess[(s[order[: n - need + 1]] & _MASK).astype("i8")].sum()
+        least = min(1 + sum(cost > c for c in COSTS), need)
+        return t[order[: n - need + least]], least
+
+
 def _prefixes(held, percent: int):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        excess = held.value
-        band = np.ceil(np.log2(excess + 1)).clip(0, 31).astype("u8")
+        tokens = _Order(held.value, percent)
         for batch in _small(batches):
             ids = batch.column("doc_id").to_pylist()
             out: list[list] = [[] for _ in POSTING]
             size = 0
             for doc, s in zip(ids, shingle_sets(batch.column("text").to_pylist()), strict=True):
-                n = len(s)
-                if doc is None or not n:
+                if doc is None or not len(s):
                     continue
-                at = (s & _MASK).astype("i8")
-                t = (band[at] << np.uint64(58)) | (s >> np.uint64(6))
-                order = np.argsort(t)
-                need = _need(n, percent)
-                cost = excess[at[order[: n - need + 1]]].sum()
-                least = min(1 + sum(cost > c for c in COSTS), need)
-                p = t[order[: n - need + least]].view("i8")
+                p, least = tokens.prefix(s)
                 # how much of the whole set other documents have too: the source of a group of near copies comes out on top
-                central = int(np.log2(excess[at] + 1).mean() * 8)
-                for column, x in zip(out, (p, [doc] * len(p), [n] * len(p), [least] * len(p), range(len(p)), [central] * len(p)), strict=True):
+                central = int(np.log2(tokens.excess[(s & _MASK).astype("i8")] + 1).mean() * 8)
+                for column, x in zip(out, (p.view("i8"), [doc] * len(p), [len(s)] * len(p), [least] * len(p), range(len(p)), [central] * len(p)), strict=True):
                     column.append(np.asarray(x, "i8"))
                 size += len(p)
                 if size > 200_000:
@@ -127,28 +144,137 @@ def _rows(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(k) for c, k in zip(columns, POSTING.values(), strict=True)], names=list(POSTING))
 
 
+def _pair_sets(a: pd.Series, b: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in range(0, len(a), 500):
+        left, right = a[i : i + 500], b[i : i + 500]
+        texts = list(dict.fromkeys([*left, *right]))
+        sets = dict(zip(texts, shingle_sets(texts), strict=True))
+        for x, y in zip(left, right, strict=True):
+            yield sets[x], sets[y]
+
+
 def _overlap(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for a, b in pairs:
-        common, all_ = [], []
-        for i in range(0, len(a), 500):
-            left, right = a[i : i + 500], b[i : i + 500]
-            texts = list(dict.fromkeys([*left, *right]))
-            sets = dict(zip(texts, shingle_sets(texts), strict=True))
-            both = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(left, right, strict=True)]
-            common += both
-            all_ += [len(sets[x]) + len(sets[y]) - c for x, y, c in zip(left, right, both, strict=True)]
-        yield pd.DataFrame({"common": common, "all": all_})
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
-    """a, b, d (Jaccard distance), linked-ness left to the caller, for a written table of pairs of ids."""
-    ids = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{tag}-ids")
-    texts = materialise(keep_ids(docs, ids, "doc_id", "left_semi"), f"{tag}-texts")
-    # plain joins of written tables: Spark splits the rows of a document with many partners
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    with_ab = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    o = with_ab.select("a", "b", F.pandas_udf(_overlap, "common long, all long").asNondeterministic()("ta", "tb").alias("o"))
-    return materialise(o.select("a", "b", F.col("o.common").alias("common"), F.col("o.all").alias("all")), tag)
+        sizes = [(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in _pair_sets(a, b)]
+        yield pd.DataFrame([(c, n - c) for c, n in sizes], columns=["common", "all"], dtype="i8")
+
+
+def _against_leaders(held, percent: int):
+    """Overlap of a leader's and a document's text; the document's tokens beyond its prefix that the leader lacks (tail); and bit by bit which of its prefix tokens the leader has."""
+
+    def against(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        tokens = _Order(held.value, percent)
+        for a, b in pairs:
+            rows = []
+            for x, y in _pair_sets(a, b):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                p, _ = tokens.prefix(y)
+                has = np.isin(p, tokens.ranks(x))
+                bits = np.packbits(has, bitorder="little")
+                bits = np.pad(bits, (0, -len(bits) % 8)).view("<i8")
+                rows.append((common, len(x) + len(y) - common, len(y) - common - int((~has).sum()), bits.tolist()))
+            yield pd.DataFrame(rows, columns=["common", "all", "tail", "has"])
+
+    return against
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, tag: str, found, schema: str) -> DataFrame:
+    """a, b and what `found` makes of both texts, for a written table of pairs of ids."""
+    sides = {}
+    for side in "ab":
+        ids = materialise(pairs.select(F.col(side).alias("doc_id")).distinct(), f"{tag}-{side}")
+        sides[side] = (ids, keep_ids(docs, ids, "doc_id", "left_semi").select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")))
+    # plain joins, so that Spark can split the rows of a document with many partners
+    both = pairs.join(sides["b"][1], "b").join(sides["a"][1], "a")
+    o = both.select("a", "b", F.pandas_udf(found, schema).asNondeterministic()("ta", "tb").alias("o"))
+    out = materialise(o.select("a", "b", "o.*"), tag)
+    discard(*[ids for ids, _ in sides.values()])
+    return out
+
+
+def _hubs(first: DataFrame) -> DataFrame:
+    """doc, hub, c (overlap with the hub), d (distance from it), tail, has: of the leaders that a document was held against, itself included if it is one, the one that most documents were; the least id of these."""
+    one = first.groupBy("a", "b").agg(F.max("common").alias("c"), F.min("all").alias("all"), F.min("tail").alias("tail"), F.min("has").alias("has"), F.count(F.lit(1)).alias("k"))
+    # an id with several sets has no single overlap, so it has no hub
+    plain = materialise(one.filter("k = 1").select("a", "b", "c", (1 - F.col("c") / F.col("all")).alias("d"), "tail", "has"), "plain")
+    degrees = materialise(plain.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    others = plain.join(degrees, "a").select(F.col("b").alias("doc"), "degree", (-F.col("a")).alias("order"), "c", "d", "tail", "has")
+    own = degrees.select(F.col("a").alias("doc"), "degree", (-F.col("a")).alias("order"), *[F.lit(None).cast(k).alias(c) for c, k in (("c", "long"), ("d", "double"), ("tail", "long"), ("has", "array<long>"))])
+    best = others.unionByName(own).groupBy("doc").agg(F.max(F.struct("degree", "order", "c", "d", "tail", "has")).alias("m"))
+    hubs = materialise(best.select("doc", (-F.col("m.order")).alias("hub"), "m.c", "m.d", "m.tail", "m.has"), "hubs")
+    discard(plain, degrees)
+    return hubs
+
+
+def _between(shared: DataFrame, found: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """a < b: pairs of documents in different components that may be linked."""
+    held = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(hubs, "doc", "left")
+    bit = F.expr("shiftright(get(has, shiftright(pos, 6)), pos & 63) & 1 = 1")
+    # ahead: the tokens before this one that any other prefix has, so that no more of them can be common
+    held = held.select(
+        "token", "doc", *[F.col(c).cast("long").alias(c) for c in ("n", "l", "pos")], (F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1).alias("ahead"),
+        F.coalesce("component", "doc").alias("comp"), F.coalesce("hub", "doc").alias("hub"), F.coalesce("c", F.col("n").cast("long")).alias("c"), F.coalesce("d", F.lit(0.0)).alias("d"),
+        F.coalesce("tail", F.lit(0)).cast("long").alias("tail"), F.coalesce(bit, F.lit(True)).alias("of_hub"),
+    )
+    held = materialise(held, "held")
+    # lists that still hold more than one component
+    open_ = materialise(held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token"), "open")
+    rows = materialise(held.join(open_, "token", "left_semi"), "rows")
+    discard(held, open_)
+
+    both, t = 100 + percent, percent
+    lists = rows.groupBy("token", "hub", "comp").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("ahead").alias("ahead"), F.max(F.expr("n - 1 - pos")).alias("behind"), F.max("c").alias("c"), F.max("tail").alias("tail"), F.min("of_hub").alias("of_hub"))
+    lists = materialise(lists, "lists")
+    wide = lists.groupBy("token", "hub").agg(
+        F.count(F.lit(1)).alias("k"), F.min("comp").alias("comp"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("ahead").alias("ahead"), F.max("behind").alias("behind"), F.max("tail").alias("tail"))
+    wide = materialise(wide, "wide")
+    sided = lambda df, k: df.select("token", *[F.col(c).alias(f"{c}{k}") for c in df.columns if c != "token"])
+    sizes = f"100 * hi1 >= {t} * lo2 AND 100 * hi2 >= {t} * lo1"
+    # what both have ahead, this token and what both have behind must come to the overlap that a link needs
+    reach = f"(least(ahead1, ahead2) + 1 + least(behind1, behind2)) * {both}"
+    near = f"{sizes} AND {reach} >= {t} * (lo1 + lo2)"
+    # lists of one hub: only those whose overlap with it, or a token that it lacks, leaves room for a link with the smallest document there
+    room = wide.filter("k > 1").select("token", "hub", F.col("lo").alias("_lo"), F.col("tail").alias("_tail"))
+    alive = lists.join(room, ["token", "hub"]).filter(f"NOT of_hub OR {both} * (c + greatest(tail, _tail)) >= {t} * (lo + greatest(_lo, CEIL({t} * lo / 100)))").drop("_lo", "_tail")
+    alive = materialise(alive, "alive")
+    within = sided(alive, 1).withColumnRenamed("hub1", "hub").join(sided(alive, 2).withColumnRenamed("hub2", "hub"), ["token", "hub"])
+    within = within.filter(f"comp1 < comp2 AND {near} AND (NOT of_hub1 OR {both} * (least(c1, c2) + greatest(tail1, tail2)) >= {t} * (lo1 + lo2))")
+    within = within.select("token", F.col("hub").alias("hub1"), "comp1", F.col("hub").alias("hub2"), "comp2")
+    # and lists of two hubs
+    hubs2 = sided(wide, 1).join(sided(wide, 2), "token").filter(f"hub1 < hub2 AND (k1 > 1 OR k2 > 1 OR comp1 <> comp2) AND {near}").select("token", "hub1", "hub2")
+    across = hubs2.join(sided(lists, 1), ["token", "hub1"]).join(sided(lists, 2), ["token", "hub2"]).filter(f"comp1 <> comp2 AND {near}").select("token", "hub1", "comp1", "hub2", "comp2")
+    ways = materialise(within.unionByName(across), "ways")
+
+    one = rows.select("token", *[F.col(c).alias(f"{c}1") for c in rows.columns if c != "token"], F.expr("n - 1 - pos").alias("behind1"))
+    two = rows.select(F.col("token").alias("_token"), *[F.col(c).alias({"comp": "_comp2", "hub": "_hub2"}.get(c, f"{c}2")) for c in rows.columns if c != "token"], F.expr("n - 1 - pos").alias("behind2"))
+    # whether a place lies in the prefix for an overlap with a document at least as large, or at most as large
+    short, long = (f"{x} * n{{0}} <= {y} * (n{{0}} + least(l1, l2) - pos{{0}} - 1)" for x, y in ((2 * t, both), (t, 100)))
+    # the smaller document of a pair needs only the shorter prefix
+    prefixes = f"CASE WHEN n1 <= n2 THEN {short.format(1)} AND {long.format(2)} ELSE {long.format(1)} AND {short.format(2)} END"
+    # a pair of one hub whose overlaps with it are too small needs a common token that the hub lacks; any such token of its prefixes will do
+    apart = f"(hub1 = _hub2 AND {both} * (least(c1, c2) + greatest(tail1, tail2)) < {t} * (n1 + n2))"
+    may_link = [
+        "token = _token AND comp2 = _comp2 AND hub2 = _hub2",
+        f"100 * n1 >= {t} * n2 AND 100 * n2 >= {t} * n1 AND {reach} >= {t} * (n1 + n2)",
+        f"CASE WHEN {apart} THEN NOT of_hub1 ELSE {prefixes} END",
+        # two documents further from their hub than the distance of a link apart can't be linked
+        f"(hub1 <> _hub2 OR abs(d1 - d2) <= {1 - t / 100 + 1e-9})",
+    ]
+    # a condition of the join and not a filter on it, so that it holds before a row is made
+    cross = (
+        ways.join(one, ["token", "hub1", "comp1"])
+        .join(two, F.expr(" AND ".join(may_link)))
+        .select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b"), F.least("l1", "l2").alias("l"), (F.col("n1") + F.col("n2")).alias("n"), F.least("behind1", "behind2").alias("behind"), F.expr(apart).alias("apart"))
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("k"), F.min("l").alias("l"), F.min("behind").alias("behind"), F.max("n").alias("n"), F.max("apart").alias("apart"))
+        # all common tokens up to the last one in the prefixes are counted, unless a pair's row was left out above, and then it is no link
+        .filter(f"apart OR (k >= l AND (k + behind) * {both} >= {t} * n)")
+        .select("a", "b", "n")
+    )
+    cross = materialise(cross, "cross")
+    discard(rows, lists, wide, alive, ways)
+    return cross
 
 
 def shingle_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -175,11 +301,12 @@ def shingle_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     members = salted.join(classes.select("data", "rep").withColumn("_salt", salts(SALTS)), ["data", "_salt"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     members = materialise(members, "members")
     reps = members.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    copies = materialise(reps.filter("lo = hi AND doc_id <> lo").select(F.col("doc_id").alias("doc")), "copies")
+    copies = materialise(reps.filter("lo = hi AND doc_id <> lo").select("doc_id"), "copies")
     # an id that comes with several sets is one document: its sets' classes are joined
     several = members.join(reps.filter("lo <> hi").select("doc_id", "lo"), "doc_id").select(F.col("lo").alias("a"), F.col("rep").alias("b")).filter("a < b")
 
-    postings = docs.mapInArrow(_prefixes(held, percent), "token long, doc long, n int, l int, pos int, central int")
+    own = keep_ids(docs, copies, "doc_id", "left_anti")
+    postings = own.mapInArrow(_prefixes(held, percent), "token long, doc long, n int, l int, pos int, central int")
     # within a token's list, a new leader for each band of sizes, as documents of too different sizes can't be linked
     postings = postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
     by_token = Window.partitionBy("token").orderBy("band", F.desc("central"), "doc")
@@ -190,63 +317,27 @@ def shingle_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
         .select("token", "doc", "n", "l", "pos", "leader")
     )
     shared = materialise(shared, "shared")
-    shared = materialise(keep_ids(shared, copies, "doc", "left_anti"), "postings")
-
     stars = shared.filter("doc <> leader").groupBy("leader", "doc").agg(F.count(F.lit(1)).alias("k"), F.max("l").alias("l")).filter("k >= l").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
-    first = _verify(materialise(stars, "stars"), docs, "first")
+    stars = materialise(stars, "stars")
+    first = _verify(stars, own, "first", _against_leaders(held, percent), "common long, all long, tail long, has array<long>")
     linked = F.col("common") * 100 >= F.col("all") * percent
-    links = first.filter(linked).select("a", "b").unionByName(several)
-    found = materialise(components(links), "found")
-
-    # the second step: lists that still hold more than one component; ahead counts the tokens before this one that any other
-    # prefix has, so that no more of them can be common
-    comp = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-    comp = comp.withColumn("ahead", F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1)
-    comp = materialise(comp, "comp")
-    open_ = materialise(comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token"), "open")
-    comp = materialise(comp.join(open_, "token", "left_semi"), "comp")
-    near = first.groupBy(F.col("a").alias("leader"), F.col("b").alias("doc")).agg(F.max("common").alias("common"), F.min("all").alias("all"))
-    comp = comp.join(near, ["leader", "doc"], "left").withColumn("d", F.when(F.col("doc") == F.col("leader"), 0.0).otherwise(1 - F.col("common") / F.col("all")))
-    # an id with several sets has no bitmap of its own
-    bitmaps = sets.filter("n > 0").groupBy(F.col("doc_id").alias("doc")).agg(F.first("bits").alias("bits"), F.min("data").alias("lo"), F.max("data").alias("hi")).filter("lo = hi").select("doc", "bits")
-    comp = comp.join(bitmaps, "doc", "left")
-    comp = materialise(comp.select("token", "comp", "doc", *[F.col(c).cast("long").alias(c) for c in ("n", "l", "pos", "ahead")], "leader", "d", "bits"), "comp")
-    lists = comp.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("ahead").alias("ahead"), F.max(F.expr("n - 1 - pos")).alias("behind"))
-    lists = materialise(lists, "lists")
-    x, y = (lists.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("comp", "lo", "hi", "ahead", "behind")]) for s in "12")
-    sizes = f"100 * hi1 >= {percent} * lo2 AND 100 * hi2 >= {percent} * lo1"
-    # what both have ahead, this token and what both have behind must come to the overlap that a link needs
-    reach = f"(least(ahead1, ahead2) + 1 + least(behind1, behind2)) * {100 + percent}"
-    ways = x.join(y, "token").filter(f"comp1 < comp2 AND {sizes} AND {reach} >= {percent} * (lo1 + lo2)").select("token", "comp1", "comp2")
-    one, two = (comp.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("comp", "doc", "n", "l", "pos", "ahead", "leader", "d", "bits")], F.expr("n - 1 - pos").alias(f"behind{s}")) for s in "12")
-    two = two.withColumnsRenamed({"token": "_token", "comp2": "_comp2"})
+    links = materialise(first.filter(linked).select("a", "b").unionByName(several), "links")
+    found = components(links)
+    hubs = _hubs(first)
+    cross = _between(shared, found, hubs, percent)
+    discard(shared, stars, hubs, found)
+
+    # bitmaps that differ in more bits than linked sets can differ in tokens; an id with several sets has no bitmap of its own
+    bits = sets.filter("n > 0").groupBy("doc_id").agg(F.first("bits").alias("bits"), F.min("data").alias("lo"), F.max("data").alias("hi")).filter("lo = hi").select("doc_id", "bits")
     differ = " + ".join(f"bit_count(get(bits1, {k}) ^ get(bits2, {k}))" for k in range(PARITY_BITS // 64))
-    # whether a place lies in the prefix for an overlap with a document at least as large, or at most as large
-    short, long = (f"{x} * n{{0}} <= {y} * (n{{0}} + least(l1, l2) - pos{{0}} - 1)" for x, y in ((2 * percent, 100 + percent), (percent, 100)))
-    may_link = [
-        "token = _token AND comp2 = _comp2",
-        f"100 * n1 >= {percent} * n2 AND 100 * n2 >= {percent} * n1 AND {reach} >= {percent} * (n1 + n2)",
-        # the smaller document of a pair needs only the shorter prefix
-        f"CASE WHEN n1 <= n2 THEN {short.format(1)} AND {long.format(2)} ELSE {long.format(1)} AND {short.format(2)} END",
-        # two documents further from their leader than the distance of a link apart can't be linked
-        f"(leader1 <> leader2 OR d1 IS NULL OR d2 IS NULL OR abs(d1 - d2) <= {1 - percent / 100 + 1e-9})",
-        # nor can those whose bitmaps differ in more bits than linked sets can differ in tokens
-        f"(bits1 IS NULL OR bits2 IS NULL OR {2 * percent} * (n1 + n2) <= {100 + percent} * (n1 + n2 - ({differ})))",
-    ]
-    # a condition of the join and not a filter on it, so that it holds before a row is made
-    cross = (
-        ways.join(one, ["token", "comp1"])
-        .join(two, F.expr(" AND ".join(may_link)))
-        .select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b"), F.least("l1", "l2").alias("l"), (F.col("n1") + F.col("n2")).alias("n"), F.least("behind1", "behind2").alias("behind"))
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("k"), F.min("l").alias("l"), F.min("behind").alias("behind"), F.max("n").alias("n"))
-        # all common tokens up to the last one in the prefixes are counted, unless a pair's row was left out above, and then it is no link
-        .filter(f"k >= l AND (k + behind) * {100 + percent} >= {percent} * n")
-        .select("a", "b")
-    )
-    cross = cross.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _verify(materialise(cross, "cross"), docs, "second")
-    return members, links.unionByName(second.filter(linked).select("a", "b"))
+    new = cross.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    new = new.join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits1")), "a", "left").join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits2")), "b", "left")
+    new = new.filter(f"bits1 IS NULL OR bits2 IS NULL OR {2 * percent} * n <= {100 + percent} * (n - ({differ}))").select("a", "b")
+    new = materialise(new, "new")
+    second = _verify(new, own, "second", _overlap, "common long, all long")
+    out = materialise(links.unionByName(second.filter(linked).select("a", "b")), "links")
+    discard(seen, cross, new, first, second, links, copies)
+    return members, out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80) -> DataFrame:
@@ -258,7 +349,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     members, links = shingle_links(own, percent)
-    found = materialise(components(links), "found")
+    found = components(links)
+    discard(links)
     named = members.join(found, members["rep"] == found["node"], "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
     if docs.columns == [doc_id, text]:
         return named.withColumnRenamed("n", "n_shingles")

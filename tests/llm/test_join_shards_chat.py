@@ -106,6 +106,30 @@ def test_join_multi_match(spark, monkeypatch):
     assert got == brute_components(docs)
 
 
+def test_join_large_group(spark, monkeypatch):
+    """A group of near copies on both sides of the threshold: the pairs of the second step stay near the group's size."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(400)]
+    base = [rng.choice(words) for _ in range(150)]
+    docs = []
+    for k in range(500):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = rng.choice(words[:12])
+        docs.append((k, " ".join(w)))
+    pairs = []
+    between = ngram_join._between
+    monkeypatch.setattr(ngram_join, "_between", lambda *a: pairs.append(between(*a)) or pairs[-1])
+    counted = []
+    verify = ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda p, *a: counted.append((p.count(), pairs[-1].count() if pairs else 0)) or verify(p, *a))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(docs)
+    assert 50 < sum(c != 0 for _, c in got.values()) < 450  # both kinds are many
+    (stars, _), (verified, candidates) = counted
+    assert stars < 10 * len(docs) and candidates < 10 * len(docs) and verified <= candidates
+
+
 def test_join_odd_rows(odd, empty):
     out = ngram_join.near_duplicates(odd)
     rows = out.collect()
