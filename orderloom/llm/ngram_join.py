@@ -214,7 +214,7 @@ def _between(shared: DataFrame, found: DataFrame, hubs: DataFrame, percent: int)
     held = held.select(
         "token", "doc", *[F.col(c).cast("long").alias(c) for c in ("n", "l", "pos")], (F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1).alias("ahead"),
         F.coalesce("component", "doc").alias("comp"), F.coalesce("hub", "doc").alias("hub"), F.coalesce("c", F.col("n").cast("long")).alias("c"), F.coalesce("d", F.lit(0.0)).alias("d"),
-        F.coalesce("tail", F.lit(0)).cast("long").alias("tail"), F.coalesce(bit, F.lit(True)).alias("of_hub"),
+        F.coalesce("tail", F.lit(0)).cast("long").alias("tail"), F.coalesce(bit, F.lit(True)).alias("of_hub"), F.coalesce(F.log2(F.col("tail") + F.lit(1.0)), F.lit(0.0)).cast("int").alias("part"),
     )
     held = materialise(held, "held")
     # lists that still hold more than one component
@@ -223,11 +223,12 @@ def _between(shared: DataFrame, found: DataFrame, hubs: DataFrame, percent: int)
     discard(held, open_)
 
     both, t = 100 + percent, percent
-    lists = rows.groupBy("token", "hub", "comp").agg(
+    # the parts of a list go by the tail, so that a few documents of a long tail don't stand for all
+    lists = rows.groupBy("token", "hub", "comp", "part").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("ahead").alias("ahead"), F.max(F.expr("n - 1 - pos")).alias("behind"), F.max("c").alias("c"), F.max("tail").alias("tail"), F.min("of_hub").alias("of_hub"))
     lists = materialise(lists, "lists")
     wide = lists.groupBy("token", "hub").agg(
-        F.count(F.lit(1)).alias("k"), F.min("comp").alias("comp"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("ahead").alias("ahead"), F.max("behind").alias("behind"), F.max("tail").alias("tail"))
+        F.min("comp").alias("comp"), F.max("comp").alias("last"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("ahead").alias("ahead"), F.max("behind").alias("behind"), F.max("tail").alias("tail"))
     wide = materialise(wide, "wide")
     sided = lambda df, k: df.select("token", *[F.col(c).alias(f"{c}{k}") for c in df.columns if c != "token"])
     sizes = f"100 * hi1 >= {t} * lo2 AND 100 * hi2 >= {t} * lo1"
@@ -235,19 +236,19 @@ def _between(shared: DataFrame, found: DataFrame, hubs: DataFrame, percent: int)
     reach = f"(least(ahead1, ahead2) + 1 + least(behind1, behind2)) * {both}"
     near = f"{sizes} AND {reach} >= {t} * (lo1 + lo2)"
     # lists of one hub: only those whose overlap with it, or a token that it lacks, leaves room for a link with the smallest document there
-    room = wide.filter("k > 1").select("token", "hub", F.col("lo").alias("_lo"), F.col("tail").alias("_tail"))
+    room = wide.filter("comp < last").select("token", "hub", F.col("lo").alias("_lo"), F.col("tail").alias("_tail"))
     alive = lists.join(room, ["token", "hub"]).filter(f"NOT of_hub OR {both} * (c + greatest(tail, _tail)) >= {t} * (lo + greatest(_lo, CEIL({t} * lo / 100)))").drop("_lo", "_tail")
     alive = materialise(alive, "alive")
-    within = sided(alive, 1).withColumnRenamed("hub1", "hub").join(sided(alive, 2).withColumnRenamed("hub2", "hub"), ["token", "hub"])
+    within = sided(alive, 1).withColumn("hub2", F.col("hub1")).join(sided(alive, 2), ["token", "hub2"])
     within = within.filter(f"comp1 < comp2 AND {near} AND (NOT of_hub1 OR {both} * (least(c1, c2) + greatest(tail1, tail2)) >= {t} * (lo1 + lo2))")
-    within = within.select("token", F.col("hub").alias("hub1"), "comp1", F.col("hub").alias("hub2"), "comp2")
     # and lists of two hubs
-    hubs2 = sided(wide, 1).join(sided(wide, 2), "token").filter(f"hub1 < hub2 AND (k1 > 1 OR k2 > 1 OR comp1 <> comp2) AND {near}").select("token", "hub1", "hub2")
-    across = hubs2.join(sided(lists, 1), ["token", "hub1"]).join(sided(lists, 2), ["token", "hub2"]).filter(f"comp1 <> comp2 AND {near}").select("token", "hub1", "comp1", "hub2", "comp2")
-    ways = materialise(within.unionByName(across), "ways")
+    hubs2 = sided(wide, 1).join(sided(wide, 2), "token").filter(f"hub1 < hub2 AND (comp1 < last1 OR comp2 < last2 OR comp1 <> comp2) AND {near}").select("token", "hub1", "hub2")
+    across = hubs2.join(sided(lists, 1), ["token", "hub1"]).join(sided(lists, 2), ["token", "hub2"]).filter(f"comp1 <> comp2 AND {near}")
+    kept = ["token", *[f"{c}{k}" for k in "12" for c in ("hub", "comp", "part")], *[f"{c}2 AS {c}_" for c in ("lo", "hi", "ahead", "behind", "c", "tail")]]
+    ways = materialise(within.selectExpr(*kept).unionByName(across.selectExpr(*kept)), "ways")
 
     one = rows.select("token", *[F.col(c).alias(f"{c}1") for c in rows.columns if c != "token"], F.expr("n - 1 - pos").alias("behind1"))
-    two = rows.select(F.col("token").alias("_token"), *[F.col(c).alias({"comp": "_comp2", "hub": "_hub2"}.get(c, f"{c}2")) for c in rows.columns if c != "token"], F.expr("n - 1 - pos").alias("behind2"))
+    two = rows.select(F.col("token").alias("_token"), *[F.col(c).alias({"comp": "_comp2", "hub": "_hub2", "part": "_part2"}.get(c, f"{c}2")) for c in rows.columns if c != "token"], F.expr("n - 1 - pos").alias("behind2"))
     # whether a place lies in the prefix for an overlap with a document at least as large, or at most as large
     short, long = (f"{x} * n{{0}} <= {y} * (n{{0}} + least(l1, l2) - pos{{0}} - 1)" for x, y in ((2 * t, both), (t, 100)))
     # the smaller document of a pair needs only the shorter prefix
@@ -255,15 +256,23 @@ def _between(shared: DataFrame, found: DataFrame, hubs: DataFrame, percent: int)
     # a pair of one hub whose overlaps with it are too small needs a common token that the hub lacks; any such token of its prefixes will do
     apart = f"(hub1 = _hub2 AND {both} * (least(c1, c2) + greatest(tail1, tail2)) < {t} * (n1 + n2))"
     may_link = [
-        "token = _token AND comp2 = _comp2 AND hub2 = _hub2",
+        "token = _token AND comp2 = _comp2 AND hub2 = _hub2 AND part2 = _part2",
         f"100 * n1 >= {t} * n2 AND 100 * n2 >= {t} * n1 AND {reach} >= {t} * (n1 + n2)",
         f"CASE WHEN {apart} THEN NOT of_hub1 ELSE {prefixes} END",
         # two documents further from their hub than the distance of a link apart can't be linked
         f"(hub1 <> _hub2 OR abs(d1 - d2) <= {1 - t / 100 + 1e-9})",
     ]
-    # a condition of the join and not a filter on it, so that it holds before a row is made
+    # what of these already holds for a document and the whole other list
+    may_meet = [
+        "token = _token AND comp1 = _comp1 AND hub1 = _hub1 AND part1 = _part1",
+        f"100 * n1 >= {t} * lo_ AND 100 * hi_ >= {t} * n1 AND (least(ahead1, ahead_) + 1 + least(behind1, behind_)) * {both} >= {t} * (n1 + lo_)",
+        f"(hub1 <> hub2 OR NOT of_hub1 OR {both} * (least(c1, c_) + greatest(tail1, tail_)) >= {t} * (n1 + lo_))",
+    ]
+    one = one.withColumnsRenamed({"token": "_token", "comp1": "_comp1", "hub1": "_hub1", "part1": "_part1"})
+    # conditions of the joins and not filters on them, so that they hold before a row is made
     cross = (
-        ways.join(one, ["token", "hub1", "comp1"])
+        ways.join(one, F.expr(" AND ".join(may_meet)))
+        .drop("_token")
         .join(two, F.expr(" AND ".join(may_link)))
         .select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b"), F.least("l1", "l2").alias("l"), (F.col("n1") + F.col("n2")).alias("n"), F.least("behind1", "behind2").alias("behind"), F.expr(apart).alias("apart"))
         .groupBy("a", "b")
