@@ -56,6 +56,24 @@ def running_sum(df: DataFrame, totals: DataFrame, group: list[str], bucket: str,
     return df.join(before, [*group, bucket]).withColumn(out, F.col("_before") + F.sum(weight).over(within)).drop("_before")
 
 
+def range_running(df: DataFrame, group: list[str], order: list[str], weight: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, parts): df, written, with `out`, the sum of `weight` over the group's rows up to and with this one in `order`.
+
+    The rows are sorted by range into as many parts as the session shuffles to (column _part, which rises with the order), so
+    that no task has more of a hot group than a part; sums before each part come from the parts' totals (parts: _part, _total
+    and the group). Rows equal in `order` share one part and come in any order.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialise(df.repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    parts = materialise(placed.groupBy(*group, "_part").agg(F.sum(weight).alias("_total")), "parts")
+    # of each group at most as many rows as there are parts
+    before = parts.withColumn("_before", F.coalesce(F.sum("_total").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_total")
+    within = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = materialise(placed.join(before, [*group, "_part"]).withColumn(out, F.col("_before") + F.sum(weight).over(within)).drop("_before"), "running")
+    discard(placed)
+    return rows, parts
+
+
 #: A table of at most so many ids (16 bytes each) may be broadcast.
 BROADCAST_ROWS = 1_000_000
 

@@ -3,13 +3,13 @@
 from .chat import op5_chat
 from .language import op2_language_id
 from .media import op9_media
-from .mixing import op3_mix_sources
-from .ngram_join import op10_ngram_join
+from .mixing import OP3_SQL, op3_mix_sources
+from .ngram_join import OP10_SQL, op10_ngram_join
 from .packing import op6_pack
 from .quality import OP1_SQL, op1_line_frequency
 from .sharding import op8_shards
 from .url_reputation import OP7_SQL, op7_url_reputation
-from .warc import op4_warc
+from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
@@ -25,5 +25,8 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_frequency": OP1_SQL,
+    "op3_mix_sources": OP3_SQL,
+    "op4_warc": OP4_SQL,
     "op7_url_reputation": OP7_SQL,
+    "op10_ngram_join": OP10_SQL,
 }

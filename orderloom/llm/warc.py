@@ -362,6 +362,21 @@ def read_archive(spark: SparkSession, path: str, payload: bool = True, verify: b
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are read with their payloads, which are held against their digests; revisits by their headers alone."""
     path = scratch_path(spark, "warc")
     write_pages(table(spark, sf_dir, "pages"), path)
-    return read_archive(spark, path, payload=False, verify=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    responses = read_archive(spark, path, payload=False, verify=True, where=[("record_type", "=", "response")]).select(*columns)
+    revisits = read_archive(spark, path, payload=False, where=[("record_type", "=", "revisit"), ("refers_to", "not null", None)]).select(*columns)
+    return responses.unionByName(revisits)
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, COALESCE(html, '') AS html FROM pages), d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS top FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(10 * (k // 8) + 1 AS BIGINT), 10) AS BIGINT) >> (35 - 5 * (k % 8))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM d
+"""

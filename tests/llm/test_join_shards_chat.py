@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orderloom.llm import chat, ngram_join, sharding
@@ -245,6 +246,18 @@ def test_pipeline_stages(spark, sf, odd):
         assert stage(spark, odd.drop("n_words").withColumnRenamed("host", "n_chars").limit(0), sf).count() == 0
 
 
+def test_pipeline_leaves_clashing_columns(spark, sf, odd):
+    """Null and odd rows, and columns named like what the operators make, through every stage."""
+    docs = odd.withColumns({"_copy": F.lit("keep"), "n_chars": F.lit(7), "epochs_taken": F.lit("e"), "_source": F.lit("s"), "component_id": F.lit("c")})
+    extra = ["n_words", "size", "kept", "shard", "score", "host", "_id", "offset", "_copy", "epochs_taken", "_source", "component_id"]
+    want = {tuple(r) for r in docs.select(extra).collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and {tuple(r) for r in out.select(extra).collect()} <= want, name
+    packed = corpus_pipeline.packed(spark, docs, sf).collect()
+    assert sum(r["start"] == 0 for r in packed) == docs.count()
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
 

@@ -17,48 +17,75 @@ from orderloom.llm import mixing, packing
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def fill_targets(sizes, weights, share, epochs):
+    targets, left, open_ = [0.0] * len(sizes), share * sum(sizes), [i for i, s in enumerate(sizes) if s > 0]
+    while open_:
+        total = sum(weights[i] for i in open_)
+        full = [i for i in open_ if left * weights[i] / total > epochs * sizes[i]]
+        for i in full or open_:
+            targets[i] = float(epochs * sizes[i]) if full else left * weights[i] / total
+        if not full:
+            break
+        left -= sum(epochs * sizes[i] for i in full)
+        open_ = [i for i in open_ if i not in set(full)]
+    return targets
+
+
 def brute_mix(rows, weights=(3, 1, 2), share=1.5):
     """(source, size, hash) of each row -> times each row is taken, by serving all queues from one list."""
     sources = sorted({r[0] for r in rows}, key=lambda s: (s is None, s or ""))
     total = {s: sum(r[1] for r in rows if r[0] == s) for s in sources}
-    targets = dict(zip(sources, mixing.fill_targets([total[s] for s in sources], [weights[i % 3] for i in range(len(sources))], share, 2), strict=True))
+    targets = dict(zip(sources, fill_targets([total[s] for s in sources], [weights[i % 3] for i in range(len(sources))], share, 2), strict=True))
     served = []
     for s in sources:
         at = 0
         for epoch in range(2):
-            for r in sorted((r for r in rows if r[0] == s), key=lambda r: (r[3], r[2])):
+            for r in sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[1])):
                 at += r[1]
                 if targets[s] > 0:
-                    served.append((at / targets[s], "n" if s is None else "v" + s, r[2], r))
+                    served.append((at / targets[s], "n" if s is None else "v" + s, r[2], r[1], r))
     taken, spent, budget = defaultdict(int), 0, int(sum(targets.values()) + 1e-6)
-    for f, _, _, r in sorted(served, key=lambda x: x[:3]):
+    for f, _, _, _, r in sorted(served, key=lambda x: x[:4]):
         if spent + r[1] > budget:
             break
         spent += r[1]
-        taken[r[4]] += 1
+        taken[r[3]] += 1
     return taken, targets, total
 
 
-def test_fill_targets():
-    assert mixing.fill_targets([10, 10, 10], [3, 1, 2], 1.5, 2) == [20.0, 25 / 3, 50 / 3]
-    assert mixing.fill_targets([], [], 1.5, 2) == [] and mixing.fill_targets([0, 0], [1, 1], 1.5, 2) == [0.0, 0.0]
-    t = mixing.fill_targets([1, 100, 5], [3, 1, 2], 1.5, 2)
-    assert t[0] == 2 and t[2] == 10 and abs(sum(t) - 159) < 1e-9
+def targets_of(spark, sizes, weights, share):
+    df = spark.createDataFrame([(f"v{i:03}", n) for i, n in enumerate(sizes)], "_source string, _source_size long")
+    return [r["_target"] for r in sorted(mixing._with_targets(df, weights, share, 2).collect())]
+
+
+def test_targets(spark):
+    for sizes, weights, share in (([10, 10, 10], (3, 1, 2), 1.5), ([], (3, 1, 2), 1.5), ([0, 0], (1, 1), 1.5), ([1, 100, 5], (3, 1, 2), 1.5), ([7, 0, 900, 3, 3, 50, 1], (3, 1, 2), 1.5), ([4, 5], (1, 2), 3.0)):
+        got, want = targets_of(spark, sizes, weights, share), fill_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, 2)
+        assert got == pytest.approx(want)
+    assert fill_targets([10, 10, 10], [3, 1, 2], 1.5, 2) == [20.0, 25 / 3, 50 / 3]
+
+
+def test_mix_without_broadcast(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    key = lambda df: sorted((r["doc_id"], r["taken"], r["target"]) for r in df.collect())
+    want = key(mixing.mix_sources(docs))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert key(mixing.mix_sources(docs)) == want
 
 
 def test_mix_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
     got = {r["doc_id"]: r for r in mixing.mix_sources(docs).collect()}
-    hashes = {r["in_doc_id"]: (r["_hash"], r["_bucket"]) for r in mixing._sized(docs, "text", "source").collect()}
-    rows = [(r["source"], len(WORD.findall(r["text"] or "")), *hashes[r["doc_id"]], r["doc_id"]) for r in docs.collect()]
+    hashes = {r["in_doc_id"]: r["_hash"] for r in mixing._sized(docs, "text", "source").collect()}
+    rows = [(r["source"], len(WORD.findall(r["text"] or "")), hashes[r["doc_id"]], r["doc_id"]) for r in docs.collect()]
     taken, targets, total = brute_mix(rows)
     for r in rows:
-        g = got[r[4]]
-        assert (g["size"], g["source_size"], g["epochs_taken"], g["taken"]) == (r[1], total[r[0]], taken[r[4]], r[1] * taken[r[4]])
+        g = got[r[3]]
+        assert (g["size"], g["source_size"], g["epochs_taken"], g["taken"]) == (r[1], total[r[0]], taken[r[3]], r[1] * taken[r[3]])
         assert abs(g["target"] - targets[r[0]]) < 1e-6
     longest = max(r[1] for r in rows)
     for s in targets:
-        assert abs(sum(got[r[4]]["taken"] for r in rows if r[0] == s) - targets[s]) <= 2 * longest
+        assert abs(sum(got[r[3]]["taken"] for r in rows if r[0] == s) - targets[s]) <= 2 * longest
 
 
 def test_mix_odd_rows(odd, empty, spark):
@@ -69,8 +96,6 @@ def test_mix_odd_rows(odd, empty, spark):
     again = mixing.mix_sources(odd)
     key = lambda rs: sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in rs)
     assert key(rows) == key(again.collect())
-    with pytest.raises(ValueError):
-        mixing.mix_sources(odd, max_sources=1)
     wordless = mixing.mix_sources(spark.createDataFrame([(1, None, "a"), (2, " ", "b")], "doc_id long, text string, source string"))
     assert {(r["size"], r["taken"], r["target"]) for r in wordless.collect()} == {(0, 0, 0.0)}
 
