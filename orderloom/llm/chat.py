@@ -1,25 +1,31 @@
 """Chat formatting: roles of a transcript's lines by a hidden Markov model, then one canonical rendering for each turn.
 
-Method. The states are the roles, each beginning or going on with a turn; a line emits a speaker marker and line features. The
-model is counted from labelled turns, with add-one smoothing. Viterbi finds the best states of a whole transcript exactly, also
-where a transcript is too long for one task: each block of it becomes a max-plus matrix from the state before it to its last
-state, the matrices are chained, and then each block is traced back between its two known states.
+Method. A transcript is a run of lines; nothing tells where its turns begin. The states are the roles, each beginning a turn,
+going on with it, or at a blank line in it; a line emits a speaker marker and line features. The model is counted from labelled
+turns, with add-one smoothing. Viterbi finds the best states of a whole transcript exactly, of many transcripts at once; where
+one is longer than a block of lines, each block becomes a max-plus matrix from the state before it to its last state, the
+matrices are chained, and then each block is traced back between its two known states.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_of, materialise, table
+from .common import discard, key_of, materialise, range_running, table
 
-#: Source turns in a block.
+#: Lines in a block, and lines that one task call works on at once (as many blocks as that takes).
 BLOCK = 1024
+LINES = 50_000
+#: States of a role: at the first line of a turn, at a later one, at a later one that is blank.
+BEGIN, INSIDE, GAP = range(3)
 #: Speaker markers: fixed words that open a turn in common transcript styles.
 MARKERS = {
     "system": ("system", "context", "setup"),
@@ -29,8 +35,8 @@ MARKERS = {
 _MARKER = re.compile(r"\s*(?:#{1,6}\s*|\*{1,2}|\[|<\|?)?(%s)(?:\|?>|\]|\*{1,2})?(?:\s*:\*{0,2}|(?<=[>\]*]))\s*" % "|".join(w for ws in MARKERS.values() for w in sorted(ws, key=len, reverse=True)), re.IGNORECASE)
 _HEADING = re.compile(r"\s*#{1,6}\s*(%s)\s*$" % "|".join(w for ws in MARKERS.values() for w in ws), re.IGNORECASE)
 _CLASS = {w: i + 1 for i, ws in enumerate(MARKERS.values()) for w in ws}
-#: Values that each feature of a line can have: marker class, first line of a source turn, first of the transcript, question, length, list or code.
-FEATURES = (len(MARKERS) + 1, 2, 2, 2, 4, 2)
+#: Values that each feature of a line can have: marker class, question, length, list or code.
+FEATURES = (len(MARKERS) + 1, 2, 4, 2)
 
 
 def marker(line: str) -> tuple[int, str]:
@@ -39,24 +45,24 @@ def marker(line: str) -> tuple[int, str]:
     return (_CLASS[m[1].lower()], line[m.end() :]) if m else (0, line)
 
 
-def features(line: str, opens: bool, first: bool) -> tuple[int, ...]:
+def features(line: str) -> tuple[int, ...]:
     kind, rest = marker(line)
     n = len(rest)
-    return kind, int(opens), int(first), int(rest.rstrip().endswith("?")), (n > 0) + (n > 40) + (n > 200), int(rest.lstrip()[:2] in ("- ", "* ", "``", "1."))
+    return kind, int(rest.rstrip().endswith("?")), (n > 0) + (n > 40) + (n > 200), int(rest.lstrip()[:2] in ("- ", "* ", "``", "1."))
 
 
 @dataclass
 class RoleModel:
-    """roles; start (2 * roles), step (2 * roles, 2 * roles) and, by feature, emit (2 * roles, values): log probabilities. State 2 * r begins a turn of role r, 2 * r + 1 goes on with it."""
+    """roles; start (3 * roles), step (3 * roles, 3 * roles) and, by feature, emit (3 * roles, values): log probabilities. State 3 * r + BEGIN, INSIDE or GAP is of role r."""
 
     roles: list[str]
     start: np.ndarray
     step: np.ndarray
     emit: list[np.ndarray]
 
-    def scores(self, rows: list[tuple[int, ...]]) -> np.ndarray:
-        x = np.array(rows)
-        return sum(e[:, x[:, i]].T for i, e in enumerate(self.emit))
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """(lines, states) of the lines' features (lines, len(FEATURES))."""
+        return sum(e[:, rows[:, i]].T for i, e in enumerate(self.emit))
 
 
 def _lines(text: str | None) -> list[str]:
@@ -64,38 +70,38 @@ def _lines(text: str | None) -> list[str]:
 
 
 def _count_lines(t: pa.Table, index: dict[str, int]) -> np.ndarray:
-    """Counts by state and feature value, flat, of labelled source turns (columns role, raw, first).
+    """Counts by state and feature value, by state and next state of the same turn, and by last state, flat, of labelled turns (columns role, raw)."""
+    n = 3 * len(index)
+    counts = [np.zeros((n, k)) for k in FEATURES]
+    step, last = np.zeros((n, n)), np.zeros(n)
+    for role, raw in zip(t["role"].to_pylist(), t["raw"].to_pylist(), strict=True):
+        r, before = index[role], None
+        for i, line in enumerate(_lines(raw)):
+            state = 3 * r + (BEGIN if i == 0 else INSIDE if line.strip() else GAP)
+            for c, v in zip(counts, features(line), strict=True):
+                c[state, v] += 1
+            if before is not None:
+                step[before, state] += 1
+            before = state
+        last[before] += 1
+    return np.concatenate([c.ravel() for c in [*counts, step, last]])
 
-    Each turn counts in two forms: in a row of its own, and within one text of the whole transcript, where only the first line
-    of the transcript opens a row. So a turn may begin at any line, and the edge of a row is no condition for it.
-    """
-    counts = [np.zeros((2 * len(index), k)) for k in FEATURES]
-    inner = np.zeros((2 * len(index), 2))
-    for role, raw, first in zip(*(t[c].to_pylist() for c in ("role", "raw", "first")), strict=True):
-        r, lines = index[role], _lines(raw)
-        for i, line in enumerate(lines):
-            state = 2 * r + (i > 0)
-            for opens in (i == 0, first and i == 0):
-                for c, v in zip(counts, features(line, opens, first and i == 0), strict=True):
-                    c[state, v] += 1
-            inner[state, int(i + 1 < len(lines))] += 1
-    return np.concatenate([c.ravel() for c in [*counts, inner]])
-
-
-def fit_roles(turns: DataFrame, max_roles: int = 64) -> RoleModel | None:
+
+def fit_roles(turns: DataFrame) -> RoleModel | None:
     """The model of labelled turns (conv_id, turn, role, raw), counted over all of them; None without any.
 
-    Rows of null role or conversation are passed over. At most max_roles roles, else ValueError.
+    Rows of null role, conversation or turn are passed over. Repeated rows count as often as they come. The model has three
+    states for each distinct role, so roles must be a small vocabulary: its size goes with their number squared.
     """
     rows = turns.filter("role IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL")
-    roles = sorted(r[0] for r in rows.select("role").distinct().limit(max_roles + 1).collect())
-    if len(roles) > max_roles:
-        raise ValueError(f"more than {max_roles} roles")
+    roles = sorted(r[0] for r in rows.select("role").distinct().collect())  # the states of the model
     if not roles:
         return None
     index = {r: i for i, r in enumerate(roles)}
-    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("last"))
-    pairs = rows.select("conv_id", "turn", "role").join(before, ["conv_id", "turn"], "left").groupBy("last", "role").agg(F.count(F.lit(1)).alias("n")).collect()  # at most (max_roles + 1) * max_roles
+    # a turn that several rows repeat is one place in the order of roles
+    places = rows.groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    before = places.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("last"))
+    pairs = places.join(before, ["conv_id", "turn"], "left").groupBy("last", "role").agg(F.count(F.lit(1)).alias("n")).collect()  # at most (roles + 1) * roles
 
     def count(batches):
         total = 0
@@ -104,58 +110,68 @@ def fit_roles(turns: DataFrame, max_roles: int = 64) -> RoleModel | None:
         if not np.isscalar(total):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "n"])
 
-    own = rows.select("role", "raw", (F.col("turn") == 0).alias("first")).mapInArrow(count, "k long, n double")
-    n = 2 * len(roles)
-    flat = np.zeros(n * (sum(FEATURES) + 2))
-    for r in own.groupBy("k").agg(F.sum("n").alias("n")).collect():  # one row a state and feature value
+    n = 3 * len(roles)
+    sizes = [*[n * k for k in FEATURES], n * n, n]
+    flat = np.zeros(sum(sizes))
+    for r in rows.select("role", "raw").mapInArrow(count, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():  # one row a state and value
         flat[r["k"]] = r["n"]
-    parts = np.split(flat, np.cumsum([n * k for k in FEATURES]))
-    emit = [np.log((p.reshape(n, -1) + 1) / (p.reshape(n, -1) + 1).sum(axis=1, keepdims=True)) for p in parts[:-1]]
-    goes_on = (parts[-1].reshape(n, 2) + 1) / (parts[-1].reshape(n, 2) + 1).sum(axis=1, keepdims=True)
+    *emit, inner, last = np.split(flat, np.cumsum(sizes)[:-1])
+    emit = [np.log((p.reshape(n, -1) + 1) / (p.reshape(n, -1) + 1).sum(axis=1, keepdims=True)) for p in emit]
+    inner = inner.reshape(n, n)
     turn = np.ones((len(roles) + 1, len(roles)))
     for r in pairs:
         turn[len(roles) if r["last"] is None else index[r["last"]], index[r["role"]]] += r["n"]
     turn /= turn.sum(axis=1, keepdims=True)
     step = np.zeros((n, n))
     for s in range(n):
-        step[s, s | 1] = goes_on[s, 1]
-        step[s, ::2] = goes_on[s, 0] * turn[s // 2]
+        r = s // 3
+        goes_on = inner[s, 3 * r + 1 : 3 * r + 3] + 1
+        total = goes_on.sum() + last[s] + 1
+        step[s, 3 * r + 1 : 3 * r + 3] = goes_on / total
+        step[s, ::3] = (last[s] + 1) / total * turn[r]
     start = np.zeros(n)
-    start[::2] = turn[-1]
+    start[::3] = turn[-1]
     with np.errstate(divide="ignore"):
         return RoleModel(roles, np.log(start), np.log(step), emit)
 
 
-def _read(t: pa.Table) -> tuple[list[tuple[object, int, str]], list[tuple[int, ...]]]:
-    """(turn, line number, line) and features of a block's lines, in order."""
-    t = t.sort_by([("_order", "ascending"), ("_tie", "ascending")])
-    lines, rows = [], []
-    for turn, raw, first in zip(*(t[c].to_pylist() for c in ("turn", "raw", "_first")), strict=True):
-        for i, line in enumerate(_lines(raw)):
-            lines.append((turn, i, line))
-            rows.append(features(line, i == 0, first and i == 0))
-    return lines, rows
+def _by_length(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first lines, lengths) of units, longest first."""
+    size = np.diff(starts)
+    order = np.argsort(-size, kind="stable")
+    return order, starts[:-1][order], size[order]
 
 
-def _block_matrix(model: RoleModel, e: np.ndarray) -> np.ndarray:
-    """Best scores from each state before the block (the last row: from the start) to each state of its last line."""
-    v = np.vstack([model.step, model.start]) + e[0]
-    for row in e[1:]:
-        v = (v[:, :, None] + model.step).max(axis=1) + row
-    return v
+def block_matrices(model: RoleModel, e: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each unit (rows starts[i] to starts[i + 1] of the scores e): best scores from each state before it (the last row: from the start) to each state of its last line."""
+    order, first, size = _by_length(starts)
+    v = np.vstack([model.step, model.start])[None] + e[first][:, None, :]
+    for t in range(1, size[0] if len(size) else 0):
+        k = np.searchsorted(-size, -t)  # units longer than t
+        v[:k] = (v[:k, :, :, None] + model.step).max(axis=2) + e[first[:k] + t][:, None, :]
+    out = np.empty_like(v)
+    out[order] = v
+    return out
 
 
-def _trace(model: RoleModel, e: np.ndarray, entry: int, last: int) -> list[int]:
-    v = (model.start if entry < 0 else model.step[entry]) + e[0]
-    back = []
-    for row in e[1:]:
-        w = v[:, None] + model.step
-        back.append(w.argmax(axis=0))
-        v = w.max(axis=0) + row
-    out = [last]
-    for b in reversed(back):
-        out.append(int(b[out[-1]]))
-    return out[::-1]
+def best_paths(model: RoleModel, e: np.ndarray, starts: np.ndarray, entry: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The best states of all lines of all units; entry: the state before a unit (-1: its transcript begins there); last: that of its last line (-1: the best)."""
+    order, first, size = _by_length(starts)
+    entry, last = entry[order], last[order]
+    v = np.where((entry < 0)[:, None], model.start, model.step[np.maximum(entry, 0)]) + e[first]
+    back = np.zeros(e.shape, "i2")
+    for t in range(1, size[0] if len(size) else 0):
+        k = np.searchsorted(-size, -t)
+        w = v[:k, :, None] + model.step
+        back[first[:k] + t] = w.argmax(axis=1)
+        v[:k] = w.max(axis=1) + e[first[:k] + t]
+    states = np.zeros(len(e), "i8")
+    now = np.where(last < 0, v.argmax(axis=1), last) if len(v) else last
+    for t in range((size[0] if len(size) else 0) - 1, -1, -1):
+        k = np.searchsorted(-size, -t)
+        states[first[:k] + t] = now[:k]
+        now[:k] = back[first[:k] + t, now[:k]]
+    return states
 
 
 def render(role: str, lines: list[str], goes_on: bool) -> str:
@@ -164,25 +180,44 @@ def render(role: str, lines: list[str], goes_on: bool) -> str:
     return text if goes_on else f"<|{role}|>\n{text}"
 
 
+def _features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for lines in batches:
+        yield pd.Series([features(x) for x in lines], dtype=object)
+
+
+def _units(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(lines in order, starts of the blocks, features) of a bucket of blocks."""
+    t = t.sort_by([("_conv", "ascending"), ("_at", "ascending")]).combine_chunks()
+    conv, block = t["_conv"].to_numpy(), t["_block"].to_numpy()
+    starts = np.concatenate([np.flatnonzero(np.concatenate([[True], (conv[1:] != conv[:-1]) | (block[1:] != block[:-1])])), [len(t)]])
+    return t, starts, np.array(t["_f"].to_pylist(), "i8").reshape(len(t), len(FEATURES))
+
+
 def parse_transcripts(turns: DataFrame, model: RoleModel | None) -> DataFrame:
     """A row for each turn found in the transcripts that the rows of turns (conv_id, turn, raw) make up in order of turn.
 
-    Columns: conv_id, start_turn and start_line (where the turn begins), role, goes_on (the turn began before a block's edge),
-    n_lines, text (canonical). Null raw: an empty line. Null turn: before all others. Null conv_id: one transcript of its own.
-    Ties in turn go by text. A table without rows, or no model (nothing labelled), gives no rows. Roles come from the model alone.
+    The rows are pieces of one text, joined by line ends; where a piece begins tells the model nothing. Columns: conv_id,
+    start_turn and start_line (the piece and its line where the turn begins), role, goes_on (the turn began before a block's
+    edge), n_lines, text (canonical). Null raw: an empty line. Null turn: before all others. Null conv_id: one transcript of
+    its own. Ties in turn go by a hash of the text; repeated rows are lines again. A table without rows, or no model (nothing
+    labelled), gives no rows. Roles come from the model alone. Other columns of turns are left out.
     """
     schema = f"conv_id {dict(turns.dtypes)['conv_id']}, start_turn long, start_line int, role string, goes_on boolean, n_lines int, text string"
     if model is None:
         return turns.sparkSession.createDataFrame([], schema)
-    order = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
-    # rows without a turn have no order but their text's, so they are blocks by its hash
-    block = F.when(F.col("turn").isNull(), F.pmod(F.xxhash64("raw"), F.lit(BLOCK)) - (1 << 40)).otherwise(F.floor(order / BLOCK))
-    own = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "raw").withColumns({"_conv": key_of(F.col("conv_id")), "_order": order, "_tie": F.xxhash64("raw"), "_block": block.cast("long"), "_first": order <= 0})
-    own = materialise(own, "turns")
+    split = F.split(F.coalesce("raw", F.lit("")), "\n")
+    own = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "raw").withColumns({"_conv": key_of(F.col("conv_id")), "_order": F.coalesce(F.col("turn").cast("long"), F.lit(-1)), "_tie": F.xxhash64("raw"), "_n": F.size(split).cast("long")})
+    # line numbers of a transcript; one may hold a third of all rows, so they come from sums over parts
+    numbered, parts = range_running(own, ["_conv"], ["_order", "_tie"], "_n", "_end")
+    lines = numbered.select("conv_id", "_conv", "turn", (F.col("_end") - F.col("_n")).alias("_from"), F.posexplode(split).alias("_i", "_line"))
+    lines = lines.select("conv_id", "_conv", "turn", "_i", "_line", (F.col("_from") + F.col("_i")).alias("_at"), F.pandas_udf(_features, "array<int>").asNondeterministic()("_line").alias("_f"))
+    lines = materialise(lines.withColumn("_block", F.floor(F.col("_at") / BLOCK).cast("long")), "lines")
+    discard(numbered, parts)
 
     def matrices(t: pa.Table) -> pa.Table:
-        m = _block_matrix(model, model.scores(_read(t)[1]))
-        return pa.table({"_conv": t["_conv"][:1], "_block": t["_block"][:1], "_m": pa.array([m.ravel().tolist()], pa.list_(pa.float64()))})
+        t, starts, f = _units(t)
+        m = block_matrices(model, model.scores(f), starts)
+        return pa.table({"_conv": t["_conv"].take(pa.array(starts[:-1])), "_block": t["_block"].take(pa.array(starts[:-1])), "_m": pa.array([x.ravel().tolist() for x in m], pa.list_(pa.float64()))})
 
     def chained(t: pa.Table) -> pa.Table:
         t = t.sort_by("_block")
@@ -203,41 +238,59 @@ def parse_transcripts(turns: DataFrame, model: RoleModel | None) -> DataFrame:
         return pa.table({"_conv": t["_conv"], "_block": t["_block"], "_entry": pa.array([-1, *ends[:-1]], pa.int32()), "_last": pa.array(ends, pa.int32())})
 
     def traced(t: pa.Table) -> pa.Table:
-        lines, rows = _read(t)
-        states = _trace(model, model.scores(rows), t["_entry"][0].as_py(), t["_last"][0].as_py())
-        cuts = [i for i, s in enumerate(states) if i == 0 or s % 2 == 0] + [len(states)]
-        out = []
-        for a, z in zip(cuts, cuts[1:], strict=False):
-            role, goes_on = model.roles[states[a] // 2], states[a] % 2 == 1
-            out.append((lines[a][0], lines[a][1], role, goes_on, z - a, render(role, [x[2] for x in lines[a:z]], goes_on)))
-        columns = list(zip(*out, strict=True))
-        types = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.string()]
-        conv = pa.chunked_array([pa.concat_arrays([t["conv_id"][:1].combine_chunks()] * len(out))])
-        return pa.table([conv, *[pa.array(c, k) for c, k in zip(columns, types, strict=True)]], names=["conv_id", "start_turn", "start_line", "role", "goes_on", "n_lines", "text"])
-
-    ends = own.groupBy("_conv", "_block").applyInArrow(matrices, "_conv string, _block long, _m array<double>")
-    ends = ends.groupBy("_conv").applyInArrow(chained, "_conv string, _block long, _entry int, _last int")
-    both = own.join(materialise(ends, "ends"), ["_conv", "_block"])
-    return both.groupBy("_conv", "_block").applyInArrow(traced, schema)
-
-
-#: Marker styles of the transcripts that the registered query parses: (user, assistant, system); None: no markers.
-STYLES = (("User: ", "Assistant: ", "System: "), ("### Instruction:\n", "### Response:\n", "### System:\n"), ("Human: ", "AI: ", "Context: "), ("**Q:** ", "**A:** ", "[system] "), None)
+        t, starts, f = _units(t)
+        entry, last = (t[c].to_numpy()[starts[:-1]] for c in ("_entry", "_last"))
+        states = best_paths(model, model.scores(f), starts, entry, last)
+        opens = states % 3 == BEGIN
+        cut = opens.copy()
+        cut[starts[:-1]] = True
+        cuts = np.append(np.flatnonzero(cut), len(t))
+        text = t["_line"].to_pylist()
+        roles = [model.roles[s // 3] for s in states[cuts[:-1]]]
+        goes_on = ~opens[cuts[:-1]]
+        at = pa.array(cuts[:-1])
+        return pa.table({
+            "conv_id": t["conv_id"].take(at), "start_turn": t["turn"].take(at), "start_line": t["_i"].take(at), "role": pa.array(roles, pa.string()), "goes_on": pa.array(goes_on), "n_lines": pa.array(np.diff(cuts), pa.int32()),
+            "text": pa.array([render(r, text[a:z], bool(g)) for r, a, z, g in zip(roles, cuts, cuts[1:], goes_on, strict=False)], pa.string()),
+        })
+
+    buckets = lines.count() // LINES + 1
+    bucket = F.pmod(F.xxhash64("_conv", "_block"), F.lit(buckets)).alias("_bucket")
+    # transcripts of more than one block
+    long = materialise(lines.filter("_block > 0").select("_conv").distinct(), "long")
+    if long.isEmpty():
+        ended = lines.withColumns({"_entry": F.lit(-1), "_last": F.lit(-1)})
+    else:
+        parts = lines.join(long, "_conv", "left_semi").withColumn("_bucket", bucket)
+        ends = materialise(parts.groupBy("_bucket").applyInArrow(matrices, "_conv string, _block long, _m array<double>"), "matrices")
+        ends = materialise(ends.groupBy("_conv").applyInArrow(chained, "_conv string, _block long, _entry int, _last int"), "ends")
+        ended = lines.join(ends, ["_conv", "_block"], "left").withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("_entry", "_last")})
+    return ended.withColumn("_bucket", bucket).groupBy("_bucket").applyInArrow(traced, schema)
+
+
+#: Styles of the transcripts that the registered query parses: markers of (user, assistant, system); BLANK: none, turns apart by a blank line; None: none at all.
+BLANK = "blank"
+STYLES = (("User: ", "Assistant: ", "System: "), ("### Instruction:\n", "### Response:\n", "### System:\n"), ("Human: ", "AI: ", "Context: "), ("**Q:** ", "**A:** ", "[system] "), BLANK, None)
+
+
+def style_of(conv_id: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(11), conv_id), F.lit(len(STYLES)))
 
 
 def raw_turn(conv_id: Column, role: Column, text: Column) -> Column:
     """The turn as a transcript has it: its text behind its role's marker, in a style that goes by the conversation."""
-    style = F.pmod(F.xxhash64(F.lit(11), conv_id), F.lit(len(STYLES)))
-    out = text
+    style, out = style_of(conv_id), text
     for k, s in enumerate(STYLES):
-        if s:
+        if s == BLANK:
+            out = F.when(style == k, F.concat(F.coalesce(text, F.lit("")), F.lit("\n"))).otherwise(out)
+        elif s:
             mark = F.when(role == "user", s[0]).when(role == "assistant", s[1]).when(role == "system", s[2]).otherwise("")
             out = F.when(style == k, F.concat(mark, F.coalesce(text, F.lit("")))).otherwise(out)
     return out
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcripts made of the conversations, in five marker styles, parsed by a model of three quarters of them."""
+    """Transcripts made of the conversations, in six styles, parsed by a model of three quarters of them."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", raw_turn(F.col("conv_id"), F.col("role"), F.col("text")).alias("raw"))
     known = turns.filter(F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4)) != 2)
     return parse_transcripts(turns, fit_roles(known))
