@@ -14,21 +14,26 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def eq(a: Column, b, same_type: bool = True) -> Column:
-    """a == b: null equals null, NaN equals nothing, and values of different types (same_type False) are never equal."""
+def _family(a: Column) -> Column:
+    """Numbers of all kinds are one family of types; a bare null is of none. Spark folds this to a constant."""
+    kind = F.typeof(a)
+    return F.when(kind.rlike("int$|^(double|float|decimal.*)$"), "number").when(kind == "void", F.lit(None)).otherwise(kind)
+
+
+def eq(a: Column, b) -> Column:
+    """a == b: null equals null, NaN equals nothing, and a value never equals one of another type, as 5 and '5'."""
     b = _c(b)
-    if not same_type:
-        return F.lit(False)
-    return a.eqNullSafe(b) & ~_nan(a)
+    differ = F.coalesce(_family(a) != _family(b), F.lit(False))
+    return F.when(differ, a.isNull() & b.isNull()).otherwise(a.eqNullSafe(b) & ~_nan(a))
 
 
-def ne(a: Column, b, same_type: bool = True) -> Column:
-    return ~eq(a, b, same_type)
+def ne(a: Column, b) -> Column:
+    return ~eq(a, b)
 
 
 def _nan(a: Column) -> Column:
-    """Whether a is NaN, for a column of any type."""
-    return F.coalesce(F.isnan(a.try_cast("double")), F.lit(False))
+    """Whether a is a NaN of a floating type; the text "NaN" is a text like any other."""
+    return F.when(F.typeof(a).isin("float", "double"), F.coalesce(F.isnan(a.try_cast("double")), F.lit(False))).otherwise(False)
 
 
 def _ordered(a: Column, b, how) -> Column:
@@ -83,9 +88,13 @@ def div(a: Column, b) -> Column:
 
 
 def floor_div(a: Column, b) -> Column:
-    """Quotient rounded towards minus infinity, as a double; NaN where b is 0."""
+    """Quotient rounded towards minus infinity, as a double; NaN where b is 0, either side is NaN, or a is infinite."""
     b = _c(b)
-    return F.when(b == 0, F.lit(NAN)).otherwise(F.floor(a / b).cast("double"))
+    x, y = a.cast("double"), b.cast("double")
+    q = x / F.when(y != 0, y)
+    # a double from 2 ** 53 on is whole; a finite number by an infinite one is 0 or, with unlike signs, just below
+    whole = F.when(F.abs(q) >= float(1 << 53), q).when(F.abs(y) == float("inf"), F.when((x < 0) != (y < 0), F.when(x == 0, 0.0).otherwise(-1.0)).otherwise(0.0)).otherwise(F.floor(q).cast("double"))
+    return F.when((y == 0) | F.isnan(x) | F.isnan(y) | (F.abs(x) == float("inf")), F.lit(NAN)).otherwise(whole)
 
 
 def as_type(a: Column, kind: str) -> Column:
@@ -121,8 +130,13 @@ def sha256_chain(a: Column, rounds: int) -> Column:
 
 
 def truthy(a: Column, kind: str) -> Column:
-    """Python truth: not null, and neither 0 nor an empty text."""
-    return F.coalesce(a != "" if kind == "string" else a != 0, F.lit(False))
+    """Python truth: not null, and neither false nor 0 nor an empty text."""
+    return F.coalesce(a if kind == "boolean" else a != "" if kind == "string" else a != 0, F.lit(False))
+
+
+def as_json(*columns: Column | str) -> Column:
+    """The columns as a JSON object; null fields are written."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
 def bucket_label(a: Column, bounds: list[float]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
 DEFAULT_BOUNDS = (0.1, 0.5, 1.0, 2.0, 5.0)
 
 
@@ -25,13 +27,14 @@ def state_quantity(df: DataFrame, state: str, quantity: str) -> DataFrame:
 
 
 def order_summaries(df: DataFrame, product: str, center: str, channel: str, state: str, price: str, quantity: str, noise: float = 0.0, seed: int = 42) -> dict[str, DataFrame]:
-    """The three summaries in one pass: grouping sets, told apart by their grouping id, over one scan and one shuffle.
+    """The three summaries in one pass: grouping sets, told apart by their grouping id, over one scan and one shuffle; written, so that each summary reads its own rows.
 
     noise: each price is scaled by a factor drawn evenly from 1 - noise to 1 + noise.
     """
     own = df.select(product, center, channel, state, F.col(quantity).alias("_q"), (F.col(price) * (1 + (2 * F.rand(seed) - 1) * noise) if noise else F.col(price)).alias("_p"))
     sets = own.groupingSets([[F.col(product), F.col(center)], [F.col(channel)], [F.col(state)]], product, center, channel, state)
     both = sets.agg(F.grouping_id().alias("_set"), F.sum(F.col("_p") * F.col("_q")).alias("total_valor"), F.sum("_q").alias("total_qtd"))
+    both = materialise(both, "summaries")
     return {
         "orders_summary": both.filter("_set = 3").select(product, center, "total_valor", "total_qtd"),
         "canal_summary": both.filter("_set = 13").select(channel, "total_valor"),

@@ -35,18 +35,20 @@ def distinct_names(names: Iterable[str]) -> list[str]:
 def with_ordinal(df: DataFrame, order: list[Column | str], name: str = ORDINAL) -> DataFrame:
     """Add the place of each row, from 0, in the given order.
 
-    Counts of range partitions are summed up on the driver, a row each, so that no task gets all rows. The partitions are
-    written first, as Spark draws their bounds anew for each job.
+    Range partitions are sorted and numbered within, in one shuffle, and written: rows that tie keep their places whenever the
+    frame is read. Where each partition begins is a sum of counts, a row a partition.
     """
-    ranged = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordinal")
-    counts = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    numbered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    numbered = materialise(numbered, "ordinal")
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = {r["_part"]: r["n"] for r in numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()}
     before, at = [], 0
     for p in sorted(counts):
         before.append((p, at))
         at += counts[p]
-    starts = F.create_map(*[F.lit(x) for pair in before for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn(name, (starts[F.col("_part")] + within).cast("long")).drop("_part")
+    starts = df.sparkSession.createDataFrame(before, "_part long, _start long")
+    placed = numbered.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return placed.withColumn(name, F.col("_start") + within).drop("_part", "_start", "_at")
 
 
 def project(df: DataFrame, names: list[str]) -> DataFrame:
@@ -94,15 +96,15 @@ def shape(df: DataFrame) -> tuple[int, int]:
 
 def row(df: DataFrame, i: int, order: list[Column | str]) -> dict:
     """The row at place i in the given order."""
-    found = with_ordinal(df, order).filter(F.col(ORDINAL) == i).drop(ORDINAL).first() if i >= 0 else None
+    found = df.orderBy(*order).offset(i).first() if i >= 0 else None
     if found is None:
         raise IndexError(i)
     return found.asDict()
 
 
 def slice_rows(df: DataFrame, start: int, end: int, order: list[Column | str]) -> DataFrame:
-    """Rows at places start (inclusive) to end (exclusive)."""
-    return with_ordinal(df, order).filter((F.col(ORDINAL) >= start) & (F.col(ORDINAL) < end)).drop(ORDINAL)
+    """Rows at places start (inclusive) to end (exclusive): each task keeps its first `end` rows, so this is for places near the front."""
+    return df.orderBy(*order).offset(start).limit(max(0, end - start))
 
 
 def set_value(df: DataFrame, name: str, i: int, value, order: list[Column | str]) -> DataFrame:
@@ -208,6 +210,17 @@ def apply_frame(df: DataFrame, fn: Callable[..., DataFrame], **params) -> DataFr
     return df.transform(fn, **params)
 
 
+def apply_chunks(df: DataFrame, fn: Callable, schema: str, rows: int, order: list[Column | str]) -> DataFrame:
+    """fn (a pandas frame to a pandas frame) of each chunk of so many rows in the given order; what it numbers begins anew in each."""
+    placed = with_ordinal(df, order).withColumn("_chunk", F.floor(F.col(ORDINAL) / rows))
+    own = df.columns
+
+    def run(chunk):
+        return fn(chunk.sort_values(ORDINAL)[own].reset_index(drop=True))
+
+    return placed.groupBy("_chunk").applyInPandas(run, schema)
+
+
 def apply_pair(fn: Callable[..., DataFrame], history: DataFrame, new: DataFrame, **params) -> DataFrame:
     """A function of two frames, history and new rows."""
     return fn((history, new), **params)

@@ -38,7 +38,7 @@ def run_tasks(tasks: list[Task]) -> dict[str, object]:
 class Pipeline:
     """Reads sources, applies a transform by name of source or by kind of processing, and writes what comes out.
 
-    A source that fails is noted in `errors`, and the others go on.
+    A source, transform or output that fails is noted in `errors` by its name, and the others go on.
     """
 
     spark: SparkSession
@@ -56,11 +56,18 @@ class Pipeline:
         return out
 
     def transform(self, specs: list[SourceSpec], frames: dict[str, DataFrame]) -> dict[str, DataFrame | dict[str, DataFrame]]:
-        same = lambda df: df
-        return {s.name: self.transforms.get(s.name, self.transforms.get(s.processing, same))(frames[s.name]) for s in specs if s.name in frames}
+        out = {}
+        for s in specs:
+            if s.name in frames:
+                fn = self.transforms.get(s.name, self.transforms.get(s.processing, lambda df: df))
+                try:
+                    out[s.name] = fn(frames[s.name])
+                except Exception as e:  # noqa: BLE001  nor one transform
+                    self.errors[s.name] = f"{type(e).__name__}: {e}"
+        return out
 
     def run(self, specs: list[SourceSpec], target: str, kind: str = "sqlite", mode: str = "replace") -> dict[str, float]:
-        return load_outputs(self.transform(specs, self.extract(specs)), target, kind=kind, mode=mode)
+        return load_outputs(self.transform(specs, self.extract(specs)), target, kind=kind, mode=mode, errors=self.errors)
 
 
 def counted(df: DataFrame, name: str):

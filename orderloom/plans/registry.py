@@ -93,14 +93,20 @@ def a6_group_by(spark, sf_dir):
     return X.group_by(_t(spark, sf_dir, "lineitem"), "l_partkey", F.sum, ["l_quantity"])
 
 
-@query("SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1")
+def _placed(df: DataFrame) -> DataFrame:
+    """df with `place`, from 0, of each row in the order that df has."""
+    return X.with_ordinal(df.withColumn("_id", F.monotonically_increasing_id()), ["_id"], "place").drop("_id")
+
+
+@query("SELECT *, ROW_NUMBER() OVER (ORDER BY n DESC, first) - 1 AS place FROM (SELECT event_type, COUNT(*) AS n, MIN(event_id) AS first FROM events GROUP BY 1)")
 def a8_value_counts(spark, sf_dir):
-    return X.value_counts(_t(spark, sf_dir, "events"), "event_type", first="event_id")
+    events = _t(spark, sf_dir, "events")
+    return J.lookup(_placed(X.value_counts(events, "event_type", first="event_id")), events.groupBy(F.col("event_type").alias("k")).agg(F.min("event_id").alias("first")), "event_type", "k")
 
 
-@query(f"SELECT DISTINCT {_GAP} AS kind FROM events")
+@query(f"SELECT kind, ROW_NUMBER() OVER (ORDER BY first) - 1 AS place FROM (SELECT {_GAP} AS kind, MIN(event_id) AS first FROM events GROUP BY 1)")
 def a9_unique(spark, sf_dir):
-    return X.unique(_gaps(spark, sf_dir), "kind", first="event_id")
+    return _placed(X.unique(_gaps(spark, sf_dir), "kind", first="event_id"))
 
 
 @query("SELECT (SELECT COUNT(*) FROM customer) AS clientes, (SELECT COUNT(*) FROM orders) AS pedidos, (SELECT SUM(l_quantity) FROM lineitem) AS itens, (SELECT ROUND(SUM(o_totalprice), 2) FROM orders) AS receita")
@@ -237,9 +243,14 @@ def t7_top10_by_revenue(spark, sf_dir):
     return X.top_k(a12_product_revenue(spark, sf_dir), 10, "receita", ["p_name"])
 
 
-@query(f"SELECT event_id, {_GAP} AS kind FROM events")
+@query(f"SELECT event_id, {_GAP} AS kind, ROW_NUMBER() OVER (ORDER BY {_GAP} ASC NULLS FIRST, event_id DESC) - 1 AS place FROM events")
 def t1_sort_values(spark, sf_dir):
-    return X.sort_values(_gaps(spark, sf_dir), ["kind", "event_id"], [True, False]).select("event_id", "kind")
+    return _placed(X.sort_values(_gaps(spark, sf_dir), ["kind", "event_id"], [True, False])).select("event_id", "kind", "place")
+
+
+@query(f"SELECT event_id, {_GAP} AS kind, ROW_NUMBER() OVER (ORDER BY {_GAP} DESC NULLS LAST, event_id) - 1 AS place FROM events")
+def t2_sort_by(spark, sf_dir):
+    return _placed(X.sort_values(_gaps(spark, sf_dir), ["kind", "event_id"], [False, True])).select("event_id", "kind", "place")
 
 
 @query("SELECT event_id, ts FROM events WHERE event_type <> 'error' ORDER BY ts, event_id LIMIT 100")
@@ -247,9 +258,9 @@ def t9_oldest_batch(spark, sf_dir):
     return _t(spark, sf_dir, "events").filter("event_type <> 'error'").orderBy("ts", "event_id").limit(100).select("event_id", "ts")
 
 
-@query("SELECT DISTINCT c_mktsegment FROM customer")
+@query("SELECT c_mktsegment, ROW_NUMBER() OVER (ORDER BY c_mktsegment) - 1 AS place FROM (SELECT DISTINCT c_mktsegment FROM customer)")
 def t10_sorted_distinct(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select("c_mktsegment").distinct().orderBy("c_mktsegment")
+    return _placed(X.sort_values(_t(spark, sf_dir, "customer").select("c_mktsegment").distinct(), "c_mktsegment"))
 
 
 # set operations and projection
@@ -278,7 +289,7 @@ def p6_drop_column(spark, sf_dir):
 @query("SELECT n_nationkey, n_name, n_regionkey, CAST(NULL AS VARCHAR) AS nota FROM nation UNION ALL SELECT 99, 'NOWHERE', 0, 'nova'")
 def p8_append(spark, sf_dir):
     row = spark.createDataFrame([(99, "NOWHERE", 0, "nova")], "n_nationkey int, n_name string, n_regionkey int, nota string")
-    return X.vstack([_t(spark, sf_dir, "nation"), row])
+    return X.append(_t(spark, sf_dir, "nation"), row.first().asDict()).select("n_nationkey", "n_name", "n_regionkey", "nota")
 
 
 @query("SELECT COUNT(*) AS n, 11 AS columns FROM lineitem")
@@ -337,9 +348,9 @@ def f7_isin(spark, sf_dir):
     return _t(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("F", "P")).select("o_orderkey")
 
 
-@query("SELECT p_partkey FROM part WHERE regexp_matches(NULLIF(p_type, 'none'), '(?i)steel|brass')")
+@query("SELECT p_partkey FROM part WHERE regexp_matches(NULLIF(p_type, 'none'), '(?i)eco|promo')")
 def f9_contains(spark, sf_dir):
-    return X.where(_t(spark, sf_dir, "part"), S.contains_ci(F.col("p_type"), "steel|brass")).select("p_partkey")
+    return X.where(_t(spark, sf_dir, "part"), S.contains_ci(F.col("p_type"), "eco|promo")).select("p_partkey")
 
 
 @query("SELECT event_id FROM events WHERE COALESCE(NULLIF(event_type, 'error'), '') <> '' AND COALESCE(user_id % 7, 0) <> 0")
@@ -415,9 +426,9 @@ def c18_sha256_chain(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", S.sha256_chain(F.concat_ws("|", "c_name", "c_mktsegment"), 3).alias("digest"))
 
 
-@query("""SELECT n_nationkey, '{"nome":"' || n_name || '","regiao":' || n_regionkey || '}' AS endereco_json FROM nation""")
+@query("""SELECT n_nationkey, '{"nome":' || CASE WHEN n_regionkey = 0 THEN 'null' ELSE '"' || n_name || '"' END || ',"regiao":' || n_regionkey || '}' AS endereco_json FROM nation""")
 def c20_to_json(spark, sf_dir):
-    return _t(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("nome"), F.col("n_regionkey").alias("regiao"))).alias("endereco_json"))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", S.as_json(F.when(F.col("n_regionkey") != 0, F.col("n_name")).alias("nome"), F.col("n_regionkey").alias("regiao")).alias("endereco_json"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")

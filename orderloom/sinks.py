@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.merges import additive_merge, replace_by_key
+from .scratch import discard, materialise
 from .sources.sqlite import write_table
 
 MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
 
 
+class Conflict(Exception):
+    """Another writer made the version that this one was about to make."""
+
+
 class VersionedTable:
     """A Parquet table whose merges write a new version beside the old one, and then switch to it.
 
-    A version counts once its marker is there, so a failed write changes nothing; the version being read is never overwritten.
+    A version is a marker file that names its folder and that one writer alone can create, so a failed write changes nothing,
+    the version being read is never overwritten, and of two writers one gets Conflict; add, replace and update then read anew
+    and try again.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -31,26 +39,48 @@ class VersionedTable:
         if not self._fs.exists(root):
             return 0
         names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return max([int(n[1:]) for n in names if n.startswith("v") and self._fs.exists(self._at(f"{self.path}/{n}/_SUCCESS"))], default=0)
-
-    def read(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.path}/v{v}") if v else None
-
-    def write(self, df: DataFrame) -> int:
-        v = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
+        return max([int(n[1:].split(".")[0]) for n in names if n.startswith("v")], default=0)
+
+    def _folder(self, version: int) -> str:
+        return self.spark.read.text(f"{self.path}/v{version}").first()[0]
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        v = self.version() if version is None else version
+        return self.spark.read.parquet(f"{self.path}/{self._folder(v)}") if v else None
+
+    def write(self, df: DataFrame, version: int | None = None) -> int:
+        """Write the version after `version` (the last one, if None); Conflict if it is there by then."""
+        v = (self.version() if version is None else version) + 1
+        folder = f"data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        try:
+            out = self._fs.create(self._at(f"{self.path}/v{v}"), False)
+        except Exception as e:  # noqa: BLE001  by the file system's own kind of error: the marker is there
+            self._fs.delete(self._at(f"{self.path}/{folder}"), True)
+            raise Conflict(f"version {v} of {self.path}") from e
+        out.write(bytearray(folder.encode()))
+        out.close()
         return v
 
+    def update(self, change: Callable[[DataFrame | None], DataFrame | None]) -> int:
+        """Write what `change` makes of the table as it is (None: nothing to write), anew after each conflict."""
+        while True:
+            v = self.version()
+            new = change(self.read(v))
+            if new is None:
+                return v
+            try:
+                return self.write(new, v)
+            except Conflict:
+                continue
+
     def add(self, delta: DataFrame, keys: list[str], values: list[str]) -> int:
         """Add delta's values to the totals of their keys."""
-        now = self.read()
-        return self.write(additive_merge(now, delta, keys, values) if now is not None else additive_merge(delta.limit(0), delta, keys, values))
+        return self.update(lambda now: additive_merge(delta.limit(0) if now is None else now, delta, keys, values))
 
     def replace(self, new: DataFrame, keys: list[str]) -> int:
         """Put new rows in place of those of the same keys."""
-        now = self.read()
-        return self.write(replace_by_key(now if now is not None else new.limit(0), new, keys))
+        return self.update(lambda now: replace_by_key(new.limit(0) if now is None else now, new, keys))
 
 
 def timed(name: str, table: str, fn: Callable[[], None], log: str | None = None) -> float:
@@ -64,15 +94,25 @@ def timed(name: str, table: str, fn: Callable[[], None], log: str | None = None)
     return ms
 
 
-def load_outputs(outputs: dict[str, DataFrame | dict[str, DataFrame]], target: str, prefix: str = "output_", kind: str = "sqlite", mode: str = "append", log: str | None = None) -> dict[str, float]:
-    """Write each output to prefix + name, each frame of a dict to prefix + name_key; frames without rows are passed over. Milliseconds by table."""
+def load_outputs(outputs: dict[str, DataFrame | dict[str, DataFrame]], target: str, prefix: str = "output_", kind: str = "sqlite", mode: str = "append", log: str | None = None, errors: dict[str, str] | None = None) -> dict[str, float]:
+    """Write each output to prefix + name, each frame of a dict to prefix + name_key; frames without rows are passed over. Milliseconds by table.
+
+    errors: outputs that fail are noted there by table, and the others go on; without it, the first failure is raised.
+    """
     flat: dict[str, DataFrame] = {}
     for name, x in outputs.items():
         flat |= {f"{prefix}{name}_{k}": v for k, v in x.items()} if isinstance(x, dict) else {f"{prefix}{name}": x}
     took = {}
     for table, df in flat.items():
-        if not df.isEmpty():
-            took[table] = timed("load", table, lambda df=df, table=table: write_to(df, target, table, kind, mode), log)
+        try:
+            df = materialise(df, "output")  # run once, then looked at and written
+            if not df.isEmpty():
+                took[table] = timed("load", table, lambda df=df, table=table: write_to(df, target, table, kind, mode), log)
+            discard(df)
+        except Exception as e:  # noqa: BLE001  one output must not stop the others
+            if errors is None:
+                raise
+            errors[table] = f"{type(e).__name__}: {e}"
     return took
 
 

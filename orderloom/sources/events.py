@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..scratch import materialise
+
 ORDER_MESSAGE = (
     "id int, cliente_id int, produto_id int, categoria_id int, produto string, quantidade int, preco_unitario float, valor_total float, data_pedido string, hora_pedido string, "
     "mes int, ano int, canal_venda string, centro_logistico_mais_proximo string, cidade_cliente string, estado_cliente string, dias_para_entrega int, registrado_em string"
@@ -48,6 +50,24 @@ def claim_batch(events: DataFrame, n: int = 100) -> tuple[DataFrame, DataFrame]:
     return batch, rest
 
 
+def claim_from(table, n: int = 100) -> DataFrame:
+    """claim_batch of a VersionedTable of events: the claim is written, and of two that claim at once one reads anew, so no event is claimed twice."""
+    taken: list[DataFrame] = []
+
+    def change(events: DataFrame | None) -> DataFrame | None:
+        taken.clear()
+        if events is None:
+            return None
+        batch, rest = claim_batch(events, n)
+        taken.append(materialise(batch, "claimed"))
+        return None if taken[0].isEmpty() else rest
+
+    table.update(change)
+    if not taken:
+        raise ValueError("no events table")
+    return taken[0]
+
+
 class File(InputPartition):
     def __init__(self, path: str):
         self.path = path

@@ -42,15 +42,19 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, has_h
 def read_lines(spark: SparkSession, path: str, delimiter: str, columns: list[str] | None = None, has_header: bool = True, keep_blank: bool = False) -> DataFrame:
     """Plain split of lines, no quotes; empty fields are empty strings. Lines of another width than the header's are dropped.
 
+    The header is the first line of the first file that isn't blank; a file's own first line goes only if it is the same.
     keep_blank: blank lines become rows of nulls instead, and widths are not checked (short rows end in nulls). Without a header
     and names, columns are col_0, col_1, ...
     """
-    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_block_start").alias("_at"), F.col("_metadata.file_path").alias("_file"))
-    first = lines.filter(strip(F.col("value")) != "").limit(1).collect()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    # a row a file: its first line that isn't blank
+    heads = lines.filter((F.col("_at") == 0) & (strip(F.col("value")) != "")).groupBy("_file").agg(F.min(F.struct("_id", "value")).alias("_head"))
+    first = heads.select("_file", "_head.value").orderBy("_file").limit(1).collect()
     parts = [x.strip() for x in first[0]["value"].split(delimiter)] if first else []
     names = columns or (parts if has_header else [f"col_{i}" for i in range(len(parts))])
     if has_header and first:
-        lines = lines.filter(F.col("value") != first[0]["value"])
+        headers = heads.filter(F.col("_head.value") == first[0]["value"]).select("_file", F.col("_head._id").alias("_id"))
+        lines = lines.join(headers, ["_file", "_id"], "left_anti")
     cells = split_plain(F.col("value"), delimiter)
     rows = lines.withColumn("_c", cells)
     blank = strip(F.col("value")) == ""
@@ -64,7 +68,8 @@ def read_json(spark: SparkSession, path: str, records_path: str | list[str] | tu
 
     A path that leads nowhere, or a document that doesn't parse, gives an empty frame.
     """
-    docs = spark.read.text(path, wholetext=True).select(F.expr("try_parse_json(value)").alias("v"))
+    whole = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("value"))
+    docs = whole.select(F.expr("try_parse_json(value)").alias("v"))
     keys = [records_path] if isinstance(records_path, str) else list(records_path or [])
     at = "$" + "".join(f"['{k}']" for k in keys)
     items = docs.select(F.explode(F.expr(f"try_variant_get(v, \"{at}\", 'array<variant>')")).alias("r")).filter(F.expr("schema_of_variant(r) LIKE 'OBJECT%'"))

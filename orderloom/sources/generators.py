@@ -30,7 +30,7 @@ def orders(spark: SparkSession, n: int, seed: int = 42, kind: str = "csv", custo
     df = spark.range(n).select(
         (F.floor(r(1) * customers) + 1).cast("int").alias("cliente_id"), (F.floor(r(2) * PRODUCTS) + 1).cast("int").alias("produto_id"), (F.floor(r(3) * CATEGORIES) + 1).cast("int").alias("categoria_id"),
         weighted(r(4), tuple(range(1, 11)), QUANTITY_WEIGHTS[kind]).cast("int").alias("quantidade"),
-        F.make_timestamp_ntz(F.lit(2023), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("_t0"), F.floor(r(5) * 63_072_000).alias("_s"),
+        F.make_timestamp_ntz(F.lit(2023), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("_t0"), F.floor(r(5) * 31_536_000).alias("_s"),
         pick(6, CHANNELS).alias("canal_venda"), pick(7, CENTERS).alias("centro_logistico_mais_proximo"), pick(8, STATES).alias("estado_cliente"), (F.floor(r(9) * 10) + 1).cast("int").alias("dias_para_entrega"),
     )
     price = F.round(20 + F.pmod(F.xxhash64("produto_id"), F.lit(398_000)) / 100, 2)

@@ -35,7 +35,7 @@ def _kind(declared: str) -> str:
 @dataclass
 class Rows(InputPartition):
     low: int
-    high: int
+    high: int | None
 
 
 class SqliteReader(DataSourceReader):
@@ -51,16 +51,25 @@ class SqliteReader(DataSourceReader):
 
     def partitions(self) -> list[Rows]:
         with sqlite3.connect(self.path) as con:
-            low, high = con.execute(f"SELECT COALESCE(MIN(rowid), 0), COALESCE(MAX(rowid), -1) FROM {quoted(self.table)}").fetchone()
+            try:
+                view = con.execute("SELECT 1 FROM sqlite_master WHERE type = 'view' AND name = ?", [self.table]).fetchone()
+                if view:
+                    return [Rows(0, None)]
+                low, high = con.execute(f"SELECT COALESCE(MIN(rowid), 0), COALESCE(MAX(rowid), -1) FROM {quoted(self.table)}").fetchone()
+            except sqlite3.OperationalError:
+                low = high = None  # a table without row ids
+        if low is None:
+            return [Rows(0, None)]  # read by one task, as a view is
         return [Rows(a, min(a + ROWS - 1, high)) for a in range(low, high + 1, ROWS)] or [Rows(0, -1)]
 
     def read(self, partition: Rows) -> Iterator[tuple]:
         names = ", ".join(quoted(f.name) for f in self.schema)
-        cond = " AND ".join(["rowid BETWEEN ? AND ?", *self.where])
+        whole = partition.high is None
+        cond = " AND ".join([*([] if whole else ["rowid BETWEEN ? AND ?"]), *self.where]) or "TRUE"
         make = [{"bigint": lambda v: v if isinstance(v, int) else None, "double": lambda v: float(v) if isinstance(v, (int, float)) else None, "boolean": lambda v: None if v is None else bool(v)}.get(f.dataType.simpleString(), lambda v: None if v is None else str(v)) for f in self.schema]
         con = sqlite3.connect(self.path)
         try:
-            for row in con.execute(f"SELECT {names} FROM {quoted(self.table)} WHERE {cond}", [partition.low, partition.high, *self.values]):
+            for row in con.execute(f"SELECT {names} FROM {quoted(self.table)} WHERE {cond}", [*([] if whole else [partition.low, partition.high]), *self.values]):
                 yield tuple(m(v) for m, v in zip(make, row, strict=True))
         finally:
             con.close()
@@ -94,8 +103,8 @@ class Part(WriterCommitMessage):
 class SqliteWriter(DataSourceWriter):
     """Each task inserts in one transaction; SQLite takes one writer at a time, so writers wait. Tables are made before the tasks start."""
 
-    def __init__(self, path: str, table: str, columns: list[str]):
-        self.path, self.table, self.columns = path, table, columns
+    def __init__(self, path: str, table: str, columns: list[str], keys: list[str], updates: dict[str, str]):
+        self.path, self.table, self.columns, self.keys, self.updates = path, table, columns, keys, updates
 
     def write(self, rows: Iterator) -> Part:
         con = sqlite3.connect(self.path, timeout=300)
@@ -103,6 +112,9 @@ class SqliteWriter(DataSourceWriter):
         try:
             with con:
                 sql = f"INSERT INTO {quoted(self.table)} ({', '.join(map(quoted, self.columns))}) VALUES ({', '.join('?' * len(self.columns))})"
+                if self.keys:
+                    sets = ", ".join(f"{quoted(c)} = {e}" for c, e in self.updates.items())
+                    sql += f" ON CONFLICT ({', '.join(map(quoted, self.keys))}) DO " + (f"UPDATE SET {sets}" if sets else "NOTHING")
                 con.executemany(sql, (tuple(r) for r in rows))
                 n = con.total_changes
         finally:
@@ -126,7 +138,7 @@ class SqliteDataSource(DataSource):
         return kind(self.options["path"], self.options["table"], schema, json.loads(self.options.get("where", "[]")))
 
     def writer(self, schema: StructType, overwrite: bool) -> SqliteWriter:
-        return SqliteWriter(self.options["path"], self.options["table"], schema.names)
+        return SqliteWriter(self.options["path"], self.options["table"], schema.names, json.loads(self.options.get("keys", "[]")), json.loads(self.options.get("updates", "{}")))
 
 
 def table_columns(path: str, table: str) -> list[tuple[str, str]]:
@@ -180,3 +192,17 @@ def write_table(df: DataFrame, path: str, table: str, if_exists: str = "append",
             con.execute(f"DROP TABLE {quoted(table)}")
         con.execute(f"CREATE TABLE IF NOT EXISTS {quoted(table)} ({', '.join(f'{quoted(c)} {kinds.get(t, "TEXT")}' for c, t in df.dtypes)})")
     df.coalesce(1).write.format("sqlite").option("path", path).option("table", table).mode("append").save()
+
+
+def upsert_table(df: DataFrame, path: str, table: str, keys: list[str], updates: dict[str, str] | None = None) -> None:
+    """Insert rows; a row of keys that are there updates it by `updates`: column to SQL expression, where `excluded` is the new row (default: all other columns take its values).
+
+    Without the table, one is made whose primary key are `keys`; else these need a unique index. One partition, one
+    transaction: a retry after a failure begins anew.
+    """
+    updates = {c: f"excluded.{quoted(c)}" for c in df.columns if c not in keys} if updates is None else updates
+    register(df.sparkSession)
+    kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL", "boolean": "BOOLEAN"}
+    with sqlite3.connect(path) as con:
+        con.execute(f"CREATE TABLE IF NOT EXISTS {quoted(table)} ({', '.join(f'{quoted(c)} {kinds.get(t, "TEXT")}' for c, t in df.dtypes)}, PRIMARY KEY ({', '.join(map(quoted, keys))}))")
+    df.coalesce(1).write.format("sqlite").option("path", path).option("table", table).option("keys", json.dumps(keys)).option("updates", json.dumps(updates)).mode("append").save()

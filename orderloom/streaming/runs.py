@@ -31,17 +31,24 @@ def incremental_lines(spark: SparkSession, folder: str, max_files: int = 100) ->
 def merge_stream(df: DataFrame, table: VersionedTable, keys: list[str], values: list[str], checkpoint: str) -> StreamingQuery:
     """Add each micro-batch's sums to the table's totals.
 
-    The batch's number is kept with the totals, so that a batch that is run again after a failure is not added twice.
+    The number of the last batch of each query (of each checkpoint) is kept with the totals, in `_done`, so that a batch that is
+    run again after a failure is not added twice, and another query's batches of the same numbers are.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        now = table.read()
-        done = -1 if now is None else (now.agg(F.max("_batch")).first()[0] if "_batch" in now.columns else -1)
-        if done is not None and number <= done:
-            return
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
         new = batch.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
-        both = new if now is None else now.select(*keys, *values).unionByName(new)
-        table.write(both.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values]).withColumn("_batch", F.lit(number)))
+
+        def change(now: DataFrame | None) -> DataFrame | None:
+            kept = now.select("_done").first() if now is not None and "_done" in now.columns else None
+            done = dict(kept[0]) if kept else {}  # an entry a query
+            if number <= done.get(query, -1):
+                return None
+            both = new if now is None else now.select(*keys, *values).unionByName(new)
+            marks = F.create_map(*[F.lit(x) for q, n in (done | {query: number}).items() for x in (q, n)]).cast("map<string,long>")
+            return both.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values]).withColumn("_done", marks)
+
+        table.update(change)
 
     return start(df, merge, checkpoint)
 

@@ -3,6 +3,7 @@
 import json
 import os
 import sqlite3
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,9 @@ def test_lines(spark, tmp_path):
     kept = rows(files.read_lines(spark, p, "|", keep_blank=True))
     assert (None, None) in kept and ("3", None) in kept and len(kept) == 5
     assert files.read_lines(spark, p, "|", has_header=False).columns == ["col_0", "col_1"]
+    write(tmp_path / "m.txt", "\na|b\na|b\n5|6\n")
+    write(tmp_path / "n.txt", "x|y\na|b\n")
+    assert rows(files.read_lines(spark, str(tmp_path / "[mn].txt"), "|")) == [("5", "6"), ("a", "b"), ("a", "b"), ("x", "y")]
 
 
 def test_json(spark, tmp_path):
@@ -48,6 +52,8 @@ def test_json(spark, tmp_path):
     assert files.read_json(spark, p, "nowhere").count() == 0
     bad = write(tmp_path / "bad.json", "{oops")
     assert files.read_json(spark, bad).count() == 0
+    (tmp_path / "latin.json").write_bytes('[{"a": "é"}]'.encode("latin-1"))
+    assert rows(files.read_json(spark, str(tmp_path / "latin.json"), encoding="ISO-8859-1")) == [("é",)]
     root = write(tmp_path / "root.json", '[{"a": 1}]')
     assert files.read_json(spark, root).count() == 1
 
@@ -94,6 +100,14 @@ def test_sqlite(spark, tmp_path):
     with pytest.raises(ValueError):
         sqlite.read_table(spark, db, "u")
     assert set(sqlite.load_tables(spark, db, ("t",))) == {"t"}
+    with sqlite3.connect(db) as con:
+        con.execute("CREATE VIEW v AS SELECT id, name FROM t WHERE id = 1")
+        con.execute("CREATE TABLE w (k TEXT PRIMARY KEY, n INTEGER) WITHOUT ROWID")
+        con.execute("INSERT INTO w VALUES ('a', 1)")
+    assert sqlite.read_table(spark, db, "v").count() == 2 and rows(sqlite.read_table(spark, db, "w")) == [("a", 1)]
+    sqlite.upsert_table(spark.createDataFrame([("a", 5), ("b", 2)], "k string, n int"), db, "w", ["k"], {"n": "n + excluded.n"})
+    sqlite.upsert_table(spark.createDataFrame([("b", 7)], "k string, n int"), db, "w", ["k"])
+    assert rows(sqlite.read_table(spark, db, "w")) == [("a", 6), ("b", 7)]
 
 
 def test_specs(spark, tmp_path):
@@ -114,6 +128,11 @@ def test_versioned_table(spark, tmp_path):
     assert t.version() == 2 and rows(t.read()) == [("a", 2.0)]
     t.replace(spark.createDataFrame([("a", 9.0), ("b", 1.0)], "k string, v double"), ["k"])
     assert rows(t.read()) == [("a", 9.0), ("b", 1.0)]
+    with pytest.raises(sinks.Conflict):
+        t.write(d, t.version() - 1)
+    with ThreadPoolExecutor(4) as pool:  # no update of writers at once is lost
+        list(pool.map(lambda _: t.add(d, ["k"], ["v"]), range(4)))
+    assert rows(t.read()) == [("a", 13.0), ("b", 1.0)]
 
 
 def test_streams(spark, tmp_path):
@@ -129,6 +148,10 @@ def test_streams(spark, tmp_path):
     t = sinks.VersionedTable(spark, f"file://{tmp_path}/totals")
     runs.merge_stream(src(), t, ["produto"], ["quantidade"], str(tmp_path / "c2")).awaitTermination()
     assert t.read().first()["quantidade"] == 6
+    runs.merge_stream(src(), t, ["produto"], ["quantidade"], str(tmp_path / "c2")).awaitTermination()
+    assert t.read().first()["quantidade"] == 6  # nothing new
+    runs.merge_stream(src(), t, ["produto"], ["quantidade"], str(tmp_path / "c4")).awaitTermination()
+    assert t.read().first()["quantidade"] == 12  # another query's batches count
     q = runs.running_totals(src(), ["produto"], {"n": F.lit(1)}).writeStream.format("memory").queryName("totals").outputMode("update").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("totals").agg(F.max("n")).first()[0] == 3
@@ -174,9 +197,10 @@ def test_tasks():
 def test_pipeline(spark, tmp_path):
     write(tmp_path / "p.csv", "produto,quantidade\nA,2\nB,3\n")
     specs = [spec.SourceSpec("p", "csv", "p.csv", processing="orders"), spec.SourceSpec("gone", "csv", str(tmp_path / "gone.csv"))]
-    pipe = Pipeline(spark, {"orders": lambda df: {"all": df, "none": df.limit(0)}}, (str(tmp_path),))
+    specs.append(spec.SourceSpec("bad", "csv", "p.csv", processing="broken"))
+    pipe = Pipeline(spark, {"orders": lambda df: {"all": df, "none": df.limit(0)}, "broken": lambda df: df.select("no such column")}, (str(tmp_path),))
     db = str(tmp_path / "o.db")
-    assert set(pipe.run(specs, db)) == {"output_p_all"} and "gone" in pipe.errors
+    assert set(pipe.run(specs, db)) == {"output_p_all"} and set(pipe.errors) == {"gone", "bad"}
     assert sqlite.read_table(spark, db, "output_p_all").count() == 2
     df, seen = counted(spark.range(5), "five")
     df.count()

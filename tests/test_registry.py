@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+import orderloom.plans.io_queries  # noqa: F401
 from orderloom.plans.registry import ORACLES, QUERIES
 
 

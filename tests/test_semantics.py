@@ -26,6 +26,11 @@ def test_division(spark):
     assert math.isnan(got[0]) and math.isnan(got[1]) and got[2:] == [2.0, None, None]
     got = col(spark, S.floor_div(F.col("a"), F.col("b")), [(-7.0, 2.0), (7.0, 2.0), (1.0, 0.0)], "a double, b double")
     assert got[:2] == [-4.0, 3.0] and math.isnan(got[2])
+    nan, inf = float("nan"), float("inf")
+    pairs = [(nan, 2.0), (inf, 2.0), (2.0, nan), (5.0, inf), (-5.0, inf), (5.0, -inf), (0.0, -inf), (1e300, 7.0), (-1e17, 3.0), (None, 2.0), (2.0, None)]
+    for (a, b), g in zip(pairs, col(spark, S.floor_div(F.col("a"), F.col("b")), pairs, "a double, b double"), strict=True):
+        want = None if a is None or b is None else a // b
+        assert g == want or (math.isnan(g) and math.isnan(want)), (a, b, g, want)
 
 
 def test_comparisons(spark):
@@ -37,7 +42,9 @@ def test_comparisons(spark):
     assert col(spark, S.ne(a, b), rows, kind) == [False, True, True, True, True, True]
     assert col(spark, S.lt(a, b), rows, kind) == [False, False, False, False, False, True]
     assert col(spark, S.ge(a, b), rows, kind) == [False] * 6
-    assert col(spark, S.eq(F.col("x"), 5, same_type=False), ["5"], "x string") == [False]
+    assert col(spark, S.eq(F.col("x"), 5), ["5", "x", None], "x string") == [False] * 3 and col(spark, S.eq(F.col("x"), 5), [5, 6], "x int") == [True, False]
+    assert col(spark, S.eq(F.col("x"), 5.0), [5, 6], "x int") == [True, False] and col(spark, S.eq(F.col("x"), None), [None, 6], "x int") == [True, False]
+    assert col(spark, S.eq(F.col("x"), "NaN"), ["NaN", "a"], "x string") == [True, False] and col(spark, S.lt(F.col("x"), "zz"), ["nan"], "x string") == [True]
     assert col(spark, S.le(F.col("x"), "b"), ["a", "c", None], "x string") == [True, False, False]
 
 
@@ -48,6 +55,8 @@ def test_nulls_and_nan(spark):
     assert col(spark, S.is_null(F.col("x")), [None, nan]) == [True, False]
     assert col(spark, S.as_type(F.col("x"), "int"), ["3", "3.7", "x", None], "x string") == [3, None, None, None]
     assert col(spark, S.truthy(F.col("x"), "int"), [0, 1, None], "x int") == [False, True, False]
+    assert col(spark, S.truthy(F.col("x"), "boolean"), [True, False, None], "x boolean") == [True, False, False]
+    assert col(spark, S.as_json(F.col("x")), [None, 1], "x int") == ['{"x":null}', '{"x":1}']
     assert col(spark, S.truthy(F.col("x"), "string"), ["", "0", None], "x string") == [False, True, False]
     assert col(spark, S.as_text(F.col("x"), "boolean"), [True, None], "x boolean") == ["True", None]
 
