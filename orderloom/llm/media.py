@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import enclose, materialise, release, table
+from .common import discard, enclose, materialise, release, table
 
 #: A text's bytes fill whole blocks; an image row has WIDTH of them.
 BLOCK = 576
@@ -160,7 +160,7 @@ def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def text_media(docs: DataFrame, text: str = "text", form: str = "pgm") -> DataFrame:
-    """docs without the text, with n_bytes and media (binary): the text's bytes as an image. Null text: as empty. Columns named like an output are replaced."""
+    """docs without the text, with n_bytes and media (binary): the text's bytes as an image. Null text: as empty. Equal texts, repeated rows too, get equal images; an empty table stays empty. Columns named like an output are replaced."""
     own = enclose(docs)
     t = F.col(f"in_{text}")
     own = own.withColumns({"n_bytes": F.octet_length(F.coalesce(t, F.lit(""))).cast("long"), "media": _encode(form)(t)})
@@ -168,13 +168,29 @@ def text_media(docs: DataFrame, text: str = "text", form: str = "pgm") -> DataFr
 
 
 def media_features(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with the features of an image column: size, digests of samples and stored bytes, difference hash and NPY tile. Null media: nulls. Equal media get equal features."""
+    """df with the features of an image column: size, digests of samples and stored bytes, difference hash and NPY tile. Null media: nulls. Equal media get equal features; an empty table stays empty. Columns named like an output are replaced."""
     own = enclose(df).withColumn("_f", F.pandas_udf(_features, FEATURES).asNondeterministic()(F.col(f"in_{media}")))
     names = [x.split()[0] for x in FEATURES.split(", ")]
     return release(own.select("*", *[F.col(f"_f.{n}").alias(n) for n in names]), names)
 
 
+def write_tiles(df: DataFrame, path: str | None = None, media: str = "media") -> DataFrame:
+    """The features of an image column (media_features) with their NPY tiles, written as Parquet to `path` (a scratch table, if None) and read back, without the media."""
+    found = media_features(df, media).drop(media)
+    if path is None:
+        return materialise(found, "tiles")
+    found.write.parquet(path)
+    return df.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def read_tile(data: bytes) -> np.ndarray:
+    return np.lib.format.read_array(io.BytesIO(data), allow_pickle=False)
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is made of the stored hash and tile."""
     stored = materialise(text_media(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
+    tiles = write_tiles(stored)
+    discard(stored)
     feature = F.concat_ws("-", "dhash", F.hex(F.crc32("tile")))
-    return media_features(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return tiles.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

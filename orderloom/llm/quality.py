@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, enclose, key_of, materialise, release, salts, table
+from .common import SPACE, discard, enclose, key_of, materialise, release, salts, table
 from .components import components
 
 SALTS = 16
+LONG = 1 << 16
+#: Texts with frequent lines are broadcast if they and the hashes of these lines come to so many bytes at most, by a count before.
+BROADCAST_BYTES = 32 << 20
 #: Least hashes of a text's word windows that stand for it, and how many of these look for near copies.
 SKETCH, KEYS = 128, 8
 
@@ -30,8 +33,8 @@ def with_base_metrics(df: DataFrame, text: str) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed for the column `text`.
 
     Windows of three words are hashed; the low bits of each hash give way to the window's index, so that one sort of plain
-    longs brings equal windows together and still tells where they are. Two different windows of one text of n words count as
-    equal with a chance of about n * n / 2 ** (64 - log2(n)).
+    longs brings equal windows together and still tells where they are. In texts of more than LONG words, where this would
+    leave few bits, whole hashes are sorted with the index beside them.
     """
     t, w, s, at = F.coalesce(F.col(text), F.lit("")), F.col("_w"), F.col("_s"), F.col("_at")
     df = df.withColumn("_w", _words(t)).withColumn("_n", F.size(w)).withColumn("_b", F.ceil(F.log2(F.col("_n") + F.lit(2.0))).cast("int"))
@@ -41,14 +44,18 @@ def with_base_metrics(df: DataFrame, text: str) -> DataFrame:
         F.sequence(F.lit(0), n - 3),
         lambda i: shift("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), b).bitwiseOR(i.cast("long")),
     )
-    df = df.withColumn("_s", F.when(n >= 4, F.sort_array(windows)).otherwise(F.array().cast("array<bigint>")))
+    pairs = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.cast("long").alias("i"))))
+    df = df.withColumn("_s", F.when((n >= 4) & (n <= LONG), F.sort_array(windows)).otherwise(F.array().cast("array<bigint>")))
     same = lambda x, y: F.coalesce(shift("shiftrightunsigned", x, b) == shift("shiftrightunsigned", y, b), F.lit(False))
     twice = F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | (same(x, F.get(s, i - 1))))
     low = shift("shiftleft", F.lit(1).cast("long"), b) - 1
-    df = df.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low))))
+    df = df.withColumn("_p", F.when(n > LONG, pairs))
+    p, near = F.col("_p"), lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+    long_twice = F.transform(F.filter(p, lambda x, i: near(x, F.get(p, i + 1)) | near(x, F.get(p, i - 1))), lambda x: x["i"])
+    df = df.withColumn("_at", F.sort_array(F.when(n > LONG, long_twice).otherwise(F.transform(twice, lambda x: x.bitwiseAND(low)))))
     covered = F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, i + 1) - p, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
     df = df.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_START)))
-    own = [c for c in df.columns if c not in ("_w", "_n", "_b", "_s", "_at", "_lines")]
+    own = [c for c in df.columns if c not in ("_w", "_n", "_b", "_s", "_p", "_at", "_lines")]
     found = {
         "n_words": n.cast("long"),
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
@@ -98,17 +105,23 @@ def near_copies(docs: DataFrame, text: str, host: str, percent: int = 80) -> Dat
     return components(links.select(F.col("_node").alias("a"), F.col("_leader").alias("b")))
 
 
-def frequent_lines(docs: DataFrame, text: str, host: str, max_docs: int = 10, max_share: float = 0.02, near_once: bool = False) -> tuple[DataFrame, DataFrame]:
+def _text_key(text: Column, doc_id: Column | None) -> Column:
+    """What counts as one document: its id and text, or (doc_id None) its text alone."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")) if doc_id is None else F.concat_ws("|", key_of(doc_id), text)))
+
+
+def frequent_lines(docs: DataFrame, text: str, host: str, max_docs: int = 10, max_share: float = 0.02, near_once: bool = False, doc_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines, frequent): the lines of each distinct text, and the (host, line) pairs above both limits.
 
     A line is frequent if more than max_docs distinct documents of the host hold it and these are more than max_share of the
-    host's distinct documents. Copies of one text count as one document, so that a copied document is not taken for
-    boilerplate; with near_once, near copies count as one document too. lines: _host, _text (MD5), _line (hash), _chars (of
-    that line in all copies of the text).
+    host's distinct documents. Documents are told apart by doc_id; without it, copies of one text count as one document, so
+    that a copied document is not taken for boilerplate; with near_once, near copies count as one too. lines: _host, _text (a
+    digest of the document), _line (hash), _chars (of that line in all rows of the document).
     """
+    own = F.col(doc_id) if doc_id else None
     lines = (
         docs.filter(F.col(text).isNotNull())
-        .select(key_of(F.col(host)).alias("_host"), F.unhex(F.md5(F.col(text))).alias("_text"), F.explode(F.split(F.col(text), "\n")).alias("_raw"))
+        .select(key_of(F.col(host)).alias("_host"), _text_key(F.col(text), own).alias("_text"), F.explode(F.split(F.col(text), "\n")).alias("_raw"))
         .withColumn("_raw", _normal(F.col("_raw")))
         .filter(F.col("_raw") != "")
         .groupBy("_host", "_text", F.xxhash64("_raw").alias("_line"))
@@ -149,21 +162,27 @@ def removed_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = 10, max_share: float = 0.02, max_removed: float = 0.7, near_once: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = 10, max_share: float = 0.02, max_removed: float = 0.7, copies_once: bool = False, near_once: bool = False, doc_id: str = "doc_id") -> DataFrame:
     """docs with the base metrics, base_failed, removed_share, clean_text (frequent lines removed), depleted and kept.
 
     A document is depleted if frequent lines make more than max_removed of its characters; it is kept if it is neither
-    depleted nor base_failed. near_once: near copies count as one document of their host. Null text: no words, so base_failed; clean_text null. Null host: a host of its own. Empty
+    depleted nor base_failed. Lines are counted by distinct documents (doc_id); copies_once: copies of one text are one
+    document of their host; near_once: near copies are too. Null text: no words, so base_failed; clean_text null. Null host: a host of its own. Empty
     tables give empty results. Equal rows get equal results. Input columns named like an output are replaced.
     """
-    lines, frequent = frequent_lines(docs, text, host, max_docs, max_share, near_once)
-    # a text may have copies in a third of all rows, so what is removed from it is dealt out in salted copies
-    gone = removed_lines(lines, frequent).withColumn("_salt", salts(SALTS))
+    by = None if copies_once or near_once else doc_id
+    lines, frequent = frequent_lines(docs, text, host, max_docs, max_share, near_once, by)
+    gone = materialise(removed_lines(lines, frequent), "gone")
+    size = gone.agg(F.sum(F.length("_host") + 8 * F.size("_gone") + 64)).first()[0] or 0
+    few = size <= BROADCAST_BYTES
+    # beyond that, a text may have copies in a third of all rows, so what is removed from it is dealt out in salted copies
+    gone = F.broadcast(gone) if few else gone.withColumn("_salt", salts(SALTS))
+    discard(lines)
     own = enclose(docs)
     t = F.col(f"in_{text}")
     spread = F.xxhash64(*[F.col(c) for c in own.columns if dict(own.dtypes)[c] in ("bigint", "int", "string") and c != f"in_{text}"] or [F.lit(0)])
-    own = own.withColumns({"_host": key_of(F.col(f"in_{host}")), "_text": F.unhex(F.md5(F.coalesce(t, F.lit("")))), "_salt": F.pmod(spread, F.lit(SALTS)).cast("int")})
-    out = with_base_metrics(own, f"in_{text}").join(gone, ["_host", "_text", "_salt"], "left")
+    own = own.withColumns({"_host": key_of(F.col(f"in_{host}")), "_text": _text_key(t, F.col(f"in_{by}") if by else None), "_salt": F.pmod(spread, F.lit(SALTS)).cast("int")})
+    out = with_base_metrics(own, f"in_{text}").join(gone, ["_host", "_text"] + ["_salt"] * (not few), "left")
     kept_lines = F.filter(F.split(t, "\n"), lambda x: ~F.array_contains(F.col("_gone"), F.xxhash64(_normal(x))))
     out = out.withColumns({
         "removed_share": F.coalesce(F.col("_removed"), F.lit(0.0)),
@@ -175,7 +194,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("removed_share", 6).alias("removed_share"))
+    return quality_rules(docs, copies_once=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("removed_share", 6).alias("removed_share"))
 
 
 OP1_SQL = r"""

@@ -1,10 +1,12 @@
-"""Balanced label propagation: documents that share a hub move to one shard under capacity quotas.
-
-Method. Every document begins in a shard by hash. In each round a join tells linked documents in which shards their hubs'
-documents are; those outside their hub's leading shard ask to move there. Between two shards as many may change places as ask for
-it both ways; beyond these a shard admits, group by group, as many linked documents as its quota has room for. The others
-stay and may ask again. A last step moves the surplus of each shard, unlinked documents first, into the
-shards that are short, so that counts differ by one at most. Only linked documents take part in the rounds.
+"""Balanced label propagation: linked documents move towards the shards of their neighbours under capacity quotas.
+
+Links are given as hubs: documents of a hub are neighbours, an edge is a hub of two documents, and a document may have many
+hubs. Method. Every document begins in a shard by hash. In each round a join tells a linked document in which shards its
+neighbours are; it asks to move to the shard with most of them. Between two shards as many may change places as ask for it
+both ways; beyond these a shard admits, group by group, as many linked documents as its quota has room for. The others stay and
+may ask again. Documents of several hubs ask in every other round, by a hash, as neighbours that move at once would only swap.
+Rounds end when the number of cut links (pairs of neighbours in different shards) has had no new minimum for two of them. A last step
+moves the surplus of each shard, unlinked documents first, into the shards that are short, so that counts differ by one at most.
 """
 
 from __future__ import annotations
@@ -12,12 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import enclose, materialise, release, running_sum, salts, table
+from .common import discard, enclose, materialise, release, running_sum, salts, table
 
 SHARDS = 24
 #: A shard may hold so much more linked documents than its even share during the rounds; the last step passes on the surplus, whole groups but for one at each border.
 SLACK = 0.25
-ROUNDS = 8
 BUCKETS = 1024
 SALTS = 16
 
@@ -42,60 +43,102 @@ def _row_ids(df: DataFrame, keys: list[str]) -> DataFrame:
 def _quotas(asked: dict[tuple[int, int], int], room: dict[int, int]) -> list[tuple[int, int, int]]:
     """(from, to, number) of documents that may move: as many each way as ask for it the other way, and what room is left, shared by the asking."""
     swaps = {k: min(n, asked.get(k[::-1], 0)) for k, n in asked.items()}
-    rest = {k: n - swaps[k] for k, n in asked.items()}
     out = []
-    for k, n in asked.items():
-        total = sum(m for j, m in rest.items() if j[1] == k[1])
-        out.append((*k, swaps[k] + min(rest[k], room.get(k[1], 0) * rest[k] // total if total else 0)))
+    for to in {k[1] for k in asked}:
+        rest = {k: n - swaps[k] for k, n in asked.items() if k[1] == to and n > swaps[k]}
+        total, left = sum(rest.values()), room.get(to, 0)
+        share = {k: min(n, left * n // total) for k, n in rest.items()}
+        left = min(left, total) - sum(share.values())
+        for k in sorted(rest, key=lambda k: (share[k] - rest[k], k)):  # what rounding leaves over
+            share[k] += left > 0 and share[k] < rest[k]
+            left = min(room.get(to, 0), total) - sum(share.values())
+        out += [(*k, swaps[k] + share.get(k, 0)) for k in asked if k[1] == to]
     return out
 
 
-def _moves(linked: DataFrame, counts: dict[int, int], limit: int, shards: int) -> DataFrame:
-    """_id and _to of the linked documents (a written table: _id, _hub, shard) that change their shard in this round."""
-    held = linked.groupBy("_hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-    lead = held.groupBy("_hub").agg(F.max(F.struct("n", F.pmod(F.xxhash64("_hub", "shard"), F.lit(1 << 20)).alias("h"), "shard")).alias("m")).select("_hub", F.col("m.shard").alias("_to"))
-    # a hub may have a third of all documents, so its row is dealt out in salted copies
-    asks = linked.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(lead.withColumn("_salt", salts(SALTS)), ["_hub", "_salt"]).filter("shard <> _to")
+def cut_links(members: DataFrame, nodes: DataFrame) -> int:
+    """Pairs of neighbours in different shards, counted once for each hub that links them. members: _id, _hub; nodes: _id, shard."""
+    held = members.join(nodes.select("_id", "shard"), "_id").groupBy("_hub", "shard").agg(F.count(F.lit(1)).alias("n"))
+    pairs = lambda n: (n * (n - 1) / 2).cast("decimal(38,0)")
+    hubs = held.groupBy("_hub").agg((pairs(F.sum("n")) - F.sum(pairs(F.col("n")))).alias("cut"))
+    return int(hubs.agg(F.sum("cut")).first()[0] or 0)
+
+
+def _moves(members: DataFrame, linked: DataFrame, counts: dict[int, int], limit: int, shards: int, turn: int) -> DataFrame:
+    """_id and _to of the linked documents (written tables: _id, _hub; and _id, _hub, _hubs, shard) that change their shard in this round."""
+    room = {s: max(0, limit - counts.get(s, 0)) for s in range(shards)}
+    full = [s for s, n in room.items() if not n] or [-1]
+    placed = members.join(linked.select("_id", "shard", "_hubs"), "_id")
+    held = placed.groupBy("_hub", "shard").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("shard", "_to")
+    # a hub may have a third of all documents, so its rows (one a shard) are dealt out in salted copies
+    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
+    votes = placed.withColumn("_salt", salt).join(held.withColumn("_salt", salts(SALTS)), ["_hub", "_salt"])
+    # the group of a single hub goes to one shard, its documents counted alike; else a document goes by its neighbours, without itself
+    own = (F.col("_hubs") > 1) & (F.col("shard") == F.col("_to"))
+    votes = votes.groupBy("_id", "_to").agg(F.sum(F.col("n") - own.cast("int")).alias("n"), F.min("_hub").alias("_first"), F.first("shard").alias("shard"))
+    # nobody waits for a full shard, and one that is in it leaves at a tie
+    votes = votes.filter(~F.col("_to").isin(full) | (F.col("_to") == F.col("shard")))
+    rank = F.when(F.col("_to").isin(full), -1).otherwise(F.pmod(F.xxhash64("_first", "_to"), F.lit(1 << 20)))
+    best = votes.groupBy("_id").agg(F.max(F.struct("n", rank.alias("h"), "_to"))["_to"].alias("_to"), F.max(F.when(F.col("_to") == F.col("shard"), F.col("n"))).alias("_here"), F.max("n").alias("_there"))
+    asks = linked.join(best, "_id").filter((F.col("shard") != F.col("_to")) & ((F.col("_hubs") == 1) | ((F.col("_there") > F.coalesce("_here", F.lit(0))) & (F.pmod(F.xxhash64(F.lit(turn), "_id"), F.lit(2)) == 0))))
     # groups stay together in the order of admission; a large group's salts lie in buckets next to each other
-    place = F.pmod(F.xxhash64(F.lit(5), "_hub"), F.lit(BUCKETS // SALTS)) * SALTS + F.col("_salt")
+    place = F.pmod(F.xxhash64(F.lit(5), "_hub"), F.lit(BUCKETS // SALTS)) * SALTS + salt
     asks = materialise(asks.select("_id", "_hub", "shard", "_to", place.cast("int").alias("_place")), "asks")
     asked = {(r["shard"], r["_to"]): r["n"] for r in asks.groupBy("shard", "_to").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a pair of shards
-    quotas = _quotas(asked, {s: max(0, limit - counts.get(s, 0)) for s in range(shards)})
+    quotas = _quotas(asked, room)
     plan = linked.sparkSession.createDataFrame(quotas, "shard int, _to int, _quota long")
-    return _numbered(asks, ["shard", "_to"], "_place", ["_hub", "_id"], "_nth").join(F.broadcast(plan), ["shard", "_to"]).filter("_nth < _quota").select("_id", "_to")
+    moves = materialise(_numbered(asks, ["shard", "_to"], "_place", ["_hub", "_id"], "_nth").join(F.broadcast(plan), ["shard", "_to"]).filter("_nth < _quota").select("_id", "_to"), "moves")
+    discard(asks)
+    return moves
 
 
 def _counts(df: DataFrame) -> dict[int, int]:
     return {r["shard"]: r["n"] for r in df.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a shard
 
 
-def balanced_shards(docs: DataFrame, hub: Column, keys: list[str], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def balanced_shards(docs: DataFrame, hub: Column | None, keys: list[str], shards: int = SHARDS, links: DataFrame | None = None) -> DataFrame:
     """docs with shard (0 to shards - 1) and slot (gapless from 0 in each shard); shards' row counts are at most one apart.
 
-    Documents of an equal, non-null hub are linked. keys: columns that tell rows apart (rows equal in them are interchangeable).
-    Null hub: not linked. An empty table gives an empty result. Input columns named like an output are replaced.
+    Documents of an equal, non-null hub are linked, and so are those of a hub in `links` (the first of keys, hub: string), such
+    as hubs_of_edges makes of an edge table; documents that links name but docs lacks are passed over. keys: columns that tell
+    rows apart (rows equal in them are interchangeable). Null hub: not linked. An empty table gives an empty result. Input
+    columns named like an output are replaced.
     """
     own = enclose(docs)
     in_keys = [f"in_{k}" for k in keys]
-    own = own.withColumn("_hub", hub)
+    own = own.withColumn("_hub", F.lit(None).cast("string") if hub is None else hub)
     own = _row_ids(own, in_keys)
-    narrow = materialise(own.select("_id", "_hub"), "nodes")
+    narrow = materialise(own.select("_id", "_hub", F.col(in_keys[0]).alias("_key")), "narrow")
     total = narrow.count()
-    names = narrow.filter("_hub IS NOT NULL").groupBy("_hub").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("_hub")
-    start = F.pmod(F.xxhash64(F.lit(31), "_id"), F.lit(shards)).cast("int")
-    spread = narrow.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(names.withColumns({"_salt": salts(SALTS), "_linked": F.lit(True)}), ["_hub", "_salt"], "left")
-    nodes = materialise(spread.select("_id", "_hub", F.coalesce("_linked", F.lit(False)).alias("linked"), start.alias("shard")), "nodes")
-    alone = nodes.filter("NOT linked").select("_id", "_hub", "linked", "shard")
-    linked = nodes.filter("linked")
+    members = narrow.filter("_hub IS NOT NULL").select("_id", F.concat(F.lit("h").cast("binary"), F.col("_hub").cast("binary")).alias("_hub"))
+    if links is not None:
+        given = links.select(F.col(keys[0]).alias("_key"), F.concat(F.lit("l"), F.col("hub")).cast("binary").alias("_hub"))
+        members = members.unionByName(narrow.select("_id", "_key").join(given, "_key").select("_id", "_hub")).distinct()
+    members = materialise(members, "hubs")
+    names = members.groupBy("_hub").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("_hub")
+    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
+    members = materialise(members.withColumn("_salt", salt).join(names.withColumn("_salt", salts(SALTS)), ["_hub", "_salt"]).select("_id", "_hub"), "members")
+    start = F.pmod(F.xxhash64(F.lit(31), "_id"), F.lit(shards)).cast("int").alias("shard")
+    linked = materialise(members.groupBy("_id").agg(F.min("_hub").alias("_hub"), F.count(F.lit(1)).alias("_hubs")).select("_id", "_hub", "_hubs", start), "linked")
+    alone = narrow.join(members.select("_id"), "_id", "left_anti").select("_id", F.lit(None).cast("binary").alias("_hub"), F.lit(False).alias("linked"), start)
     limit = int(total * (1 + SLACK)) // shards  # unlinked documents make room in the last step
-    for _ in range(rounds if total else 0):
-        moves = materialise(_moves(linked.select("_id", "_hub", "shard"), _counts(linked), limit, shards), "moves")
-        if moves.isEmpty():
-            break
-        linked = materialise(linked.join(moves, "_id", "left").select("_id", "_hub", "linked", F.coalesce("_to", "shard").alias("shard")), "linked")
-    even = materialise(_evened(alone.unionByName(linked), total, shards), "even")
-    out = own.join(even, "_id")
-    return release(out, ["shard", "slot"])
+    cut = cut_links(members, linked)
+    turn = stale = 0
+    while cut and stale < 2:
+        moves = _moves(members, linked, _counts(linked), limit, shards, turn)
+        new = materialise(linked.join(moves, "_id", "left").select("_id", "_hub", "_hubs", F.coalesce("_to", "shard").alias("shard")), "linked")
+        left = cut_links(members, new)
+        discard(moves, linked)
+        linked, cut, stale, turn = new, min(cut, left), 0 if left < cut else stale + 1, turn + 1
+    even = materialise(_evened(alone.unionByName(linked.select("_id", "_hub", F.lit(True).alias("linked"), "shard")), total, shards), "even")
+    discard(narrow, members, linked)
+    return release(own.join(even, "_id"), ["shard", "slot"])
+
+
+def hubs_of_edges(edges: DataFrame, key: str) -> DataFrame:
+    """(key, hub) of an edge table (a, b): a hub for each edge. Loops, edges with a null and repeats add nothing."""
+    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias(key), F.concat_ws("-", "a", "b").alias("hub"))
 
 
 def _evened(nodes: DataFrame, total: int, shards: int) -> DataFrame:

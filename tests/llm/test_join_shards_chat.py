@@ -174,6 +174,18 @@ def test_shards_hot_group(spark):
     assert sum(len(s) > 1 for g, s in where.items() if g != "hot") <= 10
 
 
+def test_shards_by_edges(spark):
+    """Chains of documents, linked by pairs alone: neighbours share a shard but at the borders, and the cut falls."""
+    n = 960
+    edges = [(i, i + 1) for i in range(n - 1) if i % 8 != 7] + [(5, 5), (None, 3), (1, 0), (n + 7, 3)]
+    docs = spark.createDataFrame([(i,) for i in range(n)], "doc_id long")
+    out = sharding.balanced_shards(docs, None, ["doc_id"], 6, sharding.hubs_of_edges(spark.createDataFrame(edges, "a long, b long"), "doc_id")).collect()
+    check_shards(out, 6)
+    at = {r["doc_id"]: r["shard"] for r in out}
+    kept = [at[a] == at[b] for a, b in edges if a is not None and b in at and a in at and a != b]
+    assert np.mean(kept) > 0.55  # by hash alone it is a sixth
+
+
 def test_shards_odd_rows(odd, empty):
     out = sharding.balanced_shards(odd, sharding.F.md5("in_text"), ["doc_id", "text"])
     check_shards(out.collect())

@@ -49,11 +49,33 @@ def test_lines_leave_and_depleted_documents_go(spark):
     line = " ".join(f"common{i}" for i in range(60))
     rows = [(k, f"{own(k)}\n{line.upper()}  ", "a") for k in range(20)] + [(100, f"{line}\n{line}", "a"), (101, line, "b")]
     rows += [(200 + k, own(999), "a") for k in range(50)]  # copies of one text are one document
-    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), copies_once=True).collect()}
     assert all(got[k]["clean_text"] == own(k) and got[k]["kept"] for k in range(20))
     assert got[100]["depleted"] and not got[100]["kept"] and got[100]["clean_text"] == ""
     assert got[101]["kept"] and got[101]["clean_text"] == line
     assert all(got[200 + k]["kept"] for k in range(50))
+    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(got[200 + k]["kept"] for k in range(50)) and got[101]["kept"] and all(got[k]["clean_text"] == own(k) for k in range(20))  # by documents, copies count
+
+
+def test_long_text_repeats(spark, monkeypatch):
+    """The two ways to find repeated windows agree."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(n)) for n in (3, 4, 30, 300, 3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda: {r["doc_id"]: r["n_repeat_words"] for r in quality.with_base_metrics(df, "text").collect()}
+    want = found()
+    monkeypatch.setattr(quality, "LONG", 0)
+    assert found() == want
+
+
+def test_many_frequent_lines(spark, sf, monkeypatch):
+    """Beyond the limit of a broadcast the same rows come from a join."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    key = lambda: sorted((r["doc_id"], r["removed_share"], r["kept"], r["clean_text"]) for r in quality.quality_rules(docs, max_docs=2, max_share=0.0).collect())
+    want = key()
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", -1)
+    assert key() == want and any(r[1] > 0 for r in want)
 
 
 def test_quality_odd_rows(odd, empty):
