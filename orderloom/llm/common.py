@@ -85,10 +85,12 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str, limit: int = BRO
 
 #: Rows of whole texts in one Arrow batch; Spark's own default holds five times as many in each Python worker.
 BATCH_ROWS = 2000
+BATCH_BYTES = 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS rows, unless it already asks for fewer."""
+    """Lower the session's Arrow batches to BATCH_BYTES, and to BATCH_ROWS rows unless it already asks for fewer; this lasts, as frames run later."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -26,7 +26,7 @@ SAMPLE_CHARS = 100_000
 #: Of the sample, one text in CALIBRATE is kept out of the counts; score and rejection are calibrated on these.
 CALIBRATE = 5
 #: Texts are scored in slices of at most so many code points, to bound memory.
-SLICE = 1 << 19
+SLICE = 1 << 17
 SPACE = np.uint32(32)
 _R = np.uint64(0x9E3779B97F4A7C15)
 PREDICTION = "lang_pred string, score double, entropy double, rejected boolean"

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, enclose, materialise, release, table
+from .common import bound_batches, discard, enclose, materialise, release, table
 
 #: A text's bytes fill whole blocks; an image row has WIDTH of them.
 BLOCK = 576
@@ -161,6 +161,7 @@ def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def text_media(docs: DataFrame, text: str = "text", form: str = "pgm") -> DataFrame:
     """docs without the text, with n_bytes and media (binary): the text's bytes as an image. Null text: as empty. Equal texts, repeated rows too, get equal images; an empty table stays empty. Columns named like an output are replaced."""
+    bound_batches(docs.sparkSession)
     own = enclose(docs)
     t = F.col(f"in_{text}")
     own = own.withColumns({"n_bytes": F.octet_length(F.coalesce(t, F.lit(""))).cast("long"), "media": _encode(form)(t)})

@@ -84,6 +84,11 @@ def _sum_segments(t: pa.Table) -> pa.Table:
     return pa.table({"doc_id": t.column("doc_id")[:1], "data": pa.array([zlib.compress(total.astype("<u4").tobytes(), 1)], pa.binary())})
 
 
+def _bands(excess: np.ndarray) -> np.ndarray:
+    """The place of a token in the order by its counter, a byte each."""
+    return np.ceil(np.log2(excess + 1)).clip(0, 31).astype("u1")
+
+
 def _excess(counts: np.ndarray) -> np.ndarray:
     """Expected other documents of a token by its counter: what exceeds the counter's usual load and three deviations of it."""
     usual = counts.mean()
@@ -92,14 +97,13 @@ def _excess(counts: np.ndarray) -> np.ndarray:
 
 
 class _Order:
-    """The order of tokens, from rare to frequent, and the prefixes that it gives, by the sketch's excess counts."""
+    """The order of tokens, from rare to frequent, and the prefixes that it gives, by the sketch's excess counts and their bands."""
 
-    def __init__(self, excess: np.ndarray, percent: int):
-        self.excess, self.percent = excess, percent
-        self.band = np.ceil(np.log2(excess + 1)).clip(0, 31).astype("u8")
+    def __init__(self, sketch: tuple[np.ndarray, np.ndarray], percent: int):
+        (self.excess, self.band), self.percent = sketch, percent
 
     def ranks(self, s: np.ndarray) -> np.ndarray:
-        return (self.band[(s & _MASK).astype("i8")] << np.uint64(58)) | (s >> np.uint64(6))
+        return (self.band[(s & _MASK).astype("i8")].astype("u8") << np.uint64(58)) | (s >> np.uint64(6))
 
     def prefix(self, s: np.ndarray) -> tuple[np.ndarray, int]:
         """(ranks of the l-prefix in order, l) of a set."""
@@ -302,7 +306,8 @@ def shingle_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     counts = np.zeros(1 << SKETCH_BITS, "u4")
     for r in sketch.collect():  # of fixed size: at most 4 bytes a counter
         counts[r["doc_id"] * _SEGMENT : (r["doc_id"] + 1) * _SEGMENT] = np.frombuffer(zlib.decompress(r["data"]), "<u4")
-    held = spark.sparkContext.broadcast(_excess(counts))
+    excess = _excess(counts)
+    held = spark.sparkContext.broadcast((excess, _bands(excess)))
 
     # classes of equal sets; a class may hold a third of all rows, so its representative is dealt out in salted copies
     classes = sets.filter("n > 0").groupBy("data").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).filter("k > 1 AND rep IS NOT NULL")
@@ -346,6 +351,7 @@ def shingle_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     second = _verify(new, own, "second", _overlap, "common long, all long")
     out = materialise(links.unionByName(second.filter(linked).select("a", "b")), "links")
     discard(seen, cross, new, first, second, links, copies)
+    held.unpersist()
     return members, out
 
 

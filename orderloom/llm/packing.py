@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import enclose, materialise, release, table
+from .common import bound_batches, enclose, materialise, release, table
 from .karmarkar_karp import windows
 
 CAPACITY = 4096
@@ -27,8 +27,9 @@ CAPACITY = 4096
 PIECE = 1024
 #: Tokens that one batch has on average: its pieces are partitioned in one task's memory.
 BATCH = 1 << 20
-#: A worker forgets the ids of its words when it knows so many.
-KNOWN_WORDS = 900_000
+#: A worker forgets the ids of its words when it knows so many; runs of more characters than LONG_RUN are not remembered.
+KNOWN_WORDS = 200_000
+LONG_RUN = 64
 END_ID = 2
 
 # white space on which Python and the tokenizer disagree, letters whose lower case depends on context, and special tokens
@@ -66,14 +67,17 @@ class WordIds(dict):
                 ids += self.word(m[2])
         else:
             ids = self.encode(run)
-        self[run] = ids
+        if len(run) <= LONG_RUN:
+            self[run] = ids
         return ids
 
     def word(self, w: str) -> bytes:
         ids = self.words.get(w)
         if ids is None:
             mapped = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
-            ids = self.words[w] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            if len(w) <= LONG_RUN:
+                self.words[w] = ids
         return ids
 
     def of(self, text: str) -> bytes:
@@ -136,6 +140,7 @@ def pack_documents(docs: DataFrame, text: str = "text", capacity: int = CAPACITY
     Pieces of one sequence have gapless offsets from 0. An empty table gives an empty result. Repeated rows are packed as often
     as they are there. Input columns named like an output are replaced.
     """
+    bound_batches(docs.sparkSession)
     own = enclose(docs)
     t = f"in_{text}"
     rest = [c for c in own.columns if c != t]

@@ -8,7 +8,7 @@ import numpy as np
 
 WORDS = 5
 #: Texts are hashed in slices of about so many bytes, cut at white space, to bound memory.
-SLICE = 1 << 19
+SLICE = 1 << 18
 _R = 0x9E3779B97F4A7C15
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
 
