@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 from collections.abc import Callable
@@ -48,18 +49,32 @@ class VersionedTable:
         v = self.version() if version is None else version
         return self.spark.read.parquet(f"{self.path}/{self._folder(v)}") if v else None
 
+    def _mark(self, marker, folder: str) -> None:
+        """Create the marker, or raise if it is there."""
+        if self._fs.getScheme() == "file":  # Hadoop's local create looks first and creates after; a link does both at once
+            path = marker.toUri().getPath()
+            whole = f"{os.path.dirname(path)}/.{folder}"
+            with open(whole, "w") as f:
+                f.write(folder)
+            try:
+                os.link(whole, path)
+            finally:
+                os.remove(whole)
+            return
+        out = self._fs.create(marker, False)
+        out.write(bytearray(folder.encode()))
+        out.close()
+
     def write(self, df: DataFrame, version: int | None = None) -> int:
         """Write the version after `version` (the last one, if None); Conflict if it is there by then."""
         v = (self.version() if version is None else version) + 1
         folder = f"data-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{folder}")
         try:
-            out = self._fs.create(self._at(f"{self.path}/v{v}"), False)
+            self._mark(self._at(f"{self.path}/v{v}"), folder)
         except Exception as e:  # noqa: BLE001  by the file system's own kind of error: the marker is there
             self._fs.delete(self._at(f"{self.path}/{folder}"), True)
             raise Conflict(f"version {v} of {self.path}") from e
-        out.write(bytearray(folder.encode()))
-        out.close()
         return v
 
     def update(self, change: Callable[[DataFrame | None], DataFrame | None]) -> int:
