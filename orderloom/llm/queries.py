@@ -7,6 +7,7 @@ from .mixing import OP3_SQL, op3_mix_sources
 from .ngram_join import OP10_SQL, op10_ngram_join
 from .packing import op6_pack
 from .quality import OP1_SQL, op1_line_frequency
+from .repeats import op11_repeats
 from .sharding import op8_shards
 from .url_reputation import OP7_SQL, op7_url_reputation
 from .warc import OP4_SQL, op4_warc
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_media": op9_media,
     "op10_ngram_join": op10_ngram_join,
+    "op11_repeats": op11_repeats,
 }
 ORACLES = {
     "op1_line_frequency": OP1_SQL,
