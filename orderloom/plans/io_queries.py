@@ -14,7 +14,7 @@ from ..operators import aggregates as A
 from ..operators import frame as X
 from ..operators import joins as J
 from ..scratch import materialise, scratch_path
-from ..sinks import VersionedTable, load_outputs, write_to
+from ..sinks import KeyedTable, VersionedTable, load_outputs, write_to
 from ..sources import events, files, generators, spec, sqlite
 from ..streaming import runs
 from .pipeline import Pipeline, Task, run_tasks, top_products
@@ -266,13 +266,33 @@ def r4_incremental_files(spark, sf_dir):
 def r9_merged_totals(spark, sf_dir):
     """Totals that two streams with checkpoints of their own add to."""
     own = _t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("canal"), F.lit(1).cast("long").alias("n"), "o_orderkey")
-    t = VersionedTable(spark, scratch_path(spark, "totals"))
+    t = KeyedTable(spark, scratch_path(spark, "totals"), ["canal"])
     for part in ("o_orderkey % 2 = 0", "o_orderkey % 2 <> 0"):
         landing = _landed(own.filter(part).drop("o_orderkey"))
-        runs.merge_stream(events.message_stream(spark, landing, "canal string, n long"), t, ["canal"], ["n"], scratch_path(spark, "stream")).awaitTermination()
+        runs.merge_parts_stream(events.message_stream(spark, landing, "canal string, n long"), t, ["n"], scratch_path(spark, "stream")).awaitTermination()
     return t.read().select("canal", "n")
 
 
+@query("SELECT l_partkey AS k, SUM(l_linenumber * CASE WHEN l_partkey % 50 = 7 THEN 2 ELSE 1 END) AS v FROM lineitem GROUP BY 1")
+def k4_merge_by_parts(spark, sf_dir):
+    """A delta of a few keys rewrites only the parts of the table that hold them."""
+    items = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("v"))
+    total = lambda df: df.groupBy("k").agg(F.sum("v").alias("v"))
+    t = KeyedTable(spark, scratch_path(spark, "totals"), ["k"])
+    t.add(total(items), ["v"])
+    t.add(total(items.filter("k % 50 = 7")), ["v"])
+    return t.read()
+
+
+@query("SELECT user_id, CASE WHEN user_id % 10 = 3 THEN 'new' ELSE 'old' END AS state, MAX(value) AS value FROM events GROUP BY 1")
+def k5_replace_by_parts(spark, sf_dir):
+    last = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.lit("old").alias("state"), F.max("value").alias("value"))
+    t = KeyedTable(spark, scratch_path(spark, "state"), ["user_id"])
+    t.replace(last)
+    t.replace(last.filter("user_id % 10 = 3").withColumn("state", F.lit("new")))
+    return t.read()
+
+
 @query("SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1")
 def r5_timed_trigger(spark, sf_dir):
     """Micro-batches by a time trigger until all that is there is done, then a stop."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sinks import VersionedTable
+from ..sinks import KeyedTable, VersionedTable
 
 
 def start(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, every_ms: int | None = None) -> StreamingQuery:
@@ -53,6 +53,16 @@ def merge_stream(df: DataFrame, table: VersionedTable, keys: list[str], values:
     return start(df, merge, checkpoint)
 
 
+def merge_parts_stream(df: DataFrame, table: KeyedTable, values: list[str], checkpoint: str) -> StreamingQuery:
+    """merge_stream into a table by parts: each micro-batch rewrites only the parts that hold its keys, and each part knows which batches it has."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        table.add(batch.groupBy(*table.keys).agg(*[F.sum(v).alias(v) for v in values]), values, (query, number))
+
+    return start(df, merge, checkpoint)
+
+
 def running_totals(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
     """Totals kept as streaming state; write them in update mode."""
     return df.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
