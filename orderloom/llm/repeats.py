@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import bound_batches, discard, enclose, keep_ids, materialise, release, table
+from .common import bound_batches, discard, enclose, materialise, release, table
 
 #: Bytes of an anchor, and of texts that are hashed at once (a power of two).
 K = 32
@@ -34,8 +34,6 @@ CHUNK = 6 << 20
 HOT = 4096
 #: Window starts in a strip of such an anchor's columns.
 STRIP = 4
-#: Spans of all texts are broadcast if they come to so many bytes at most, by a count before.
-BROADCAST_BYTES = 32 << 20
 _BASE = 0x9E3779B97F4A7C15
 PIECES = "_h long, _g long, _k long, _d long, _first long, _run int, _a int"
 
@@ -305,7 +303,7 @@ def repeated_runs(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFra
     k = min(K, length)
     counted = docs.mapInArrow(partial(_pieces, length=length, k=k, counts=True), "_h long, _n long")
     often = materialise(counted.groupBy("_h").agg(F.sum("_n").alias("_n")).filter("_n > 1").select("_h"), "often")
-    pieces = materialise(keep_ids(docs.mapInArrow(partial(_pieces, length=length, k=k, counts=False), PIECES), often, "_h", "left_semi"), "pieces")
+    pieces = materialise(docs.mapInArrow(partial(_pieces, length=length, k=k, counts=False), PIECES).join(often, "_h"), "pieces")
     # equal pieces are one, cut from the text of the least key
     distinct = materialise(
         pieces.groupBy("_h", "_g")
@@ -353,9 +351,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     t, i = F.col(f"in_{text}"), F.col(f"in_{doc_id}")
     narrow = own.filter(F.octet_length(t) >= length).select(*[c.alias(n) for n, c in _keys(t, i).items()], t.alias("_text"))
     runs = repeated_runs(narrow, length, hot)
-    size = runs.agg(F.sum(F.size("_runs") * 24 + 64)).first()[0] or 0
     keyed = own.withColumns(_keys(t, i) | {"_text": t})
-    joined = keyed.join(F.broadcast(runs) if size <= BROADCAST_BYTES else runs, ["_k", "_d"], "left")
+    joined = keyed.join(runs, ["_k", "_d"], "left")
     names = [f"`{c}`" for c in own.columns]
     schema = StructType(own.schema.fields).add("removed_spans", ArrayType(StructType().add("start", "long").add("length", "long"))).add("kept_bytes", "binary")
     return release(joined.select(*names, "_text", "_runs").mapInArrow(_kept, schema), ["removed_spans", "kept_bytes"])
