@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.semantics import split_plain, strip
+from .records import read_records
 
 DELIMITERS = (",", ";", "|", "\t")
 SNIFF = 4096
@@ -17,8 +18,8 @@ ORDER_FIELDS = {"produto": "produto", "quantidade": "quantidade", "centro": "cen
 
 def _head(spark: SparkSession, path: str, encoding: str) -> str:
     """The first characters of a file, or of the first file of a folder, read by Spark so that any file system will do."""
-    first = spark.read.format("text").option("encoding", encoding).load(path).limit(50).collect()
-    return "\n".join(r[0] for r in first)[:SNIFF]
+    first = spark.read.text(path).select(F.substring(F.col("value").cast("binary"), 1, SNIFF)).limit(50).collect()
+    return b"\n".join(bytes(r[0]) for r in first).decode(encoding, "replace")[:SNIFF]
 
 
 def sniff_delimiter(sample: str, candidates: tuple[str, ...] = DELIMITERS) -> str:
@@ -27,16 +28,8 @@ def sniff_delimiter(sample: str, candidates: tuple[str, ...] = DELIMITERS) -> st
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, has_header: bool = True, encoding: str = "utf-8") -> DataFrame:
-    """Quoted delimited text; all values are stripped strings. Short rows end in nulls, long rows are cut.
-
-    Without a header, columns are col0, col1, ... A missing path raises. An empty field is null.
-    """
-    sep = delimiter or sniff_delimiter(_head(spark, path, encoding))
-    reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", has_header).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-    df = reader.csv(path)
-    if not has_header:
-        df = df.toDF(*[f"col{i}" for i in range(len(df.columns))])
-    return df.select(*[strip(F.col(f"`{c}`")).alias(c.strip()) for c in df.columns])
+    """Quoted delimited text as read_records reads it; without a delimiter, the most frequent of DELIMITERS in the first characters. A missing path raises."""
+    return read_records(spark, path, delimiter or sniff_delimiter(_head(spark, path, encoding)), has_header, encoding)
 
 
 def read_lines(spark: SparkSession, path: str, delimiter: str, columns: list[str] | None = None, has_header: bool = True, keep_blank: bool = False) -> DataFrame:
