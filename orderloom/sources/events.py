@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import os
 from collections.abc import Iterator
 
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..scratch import materialise
+from .claims import last_offset, open_folder
 
 ORDER_MESSAGE = (
     "id int, cliente_id int, produto_id int, categoria_id int, produto string, quantidade int, preco_unitario float, valor_total float, data_pedido string, hora_pedido string, "
@@ -74,25 +77,35 @@ class File(InputPartition):
 
 
 class NamedFilesReader(DataSourceStreamReader):
-    """Files of a folder in order of name; the offset is the last name, so files of lesser names that come later are never read."""
+    """Files of a folder in order of name; the offset is the last name, so files of lesser names that come later are never read.
 
-    def __init__(self, folder: str, suffix: str):
-        self.folder, self.suffix = folder, suffix
+    A batch takes max_files files at most (0: all), counted from the offset the stream has got to.
+    """
 
-    def _names(self) -> list[str]:
-        return sorted(n for n in os.listdir(self.folder) if n.endswith(self.suffix) and not n.startswith((".", "_")))
+    def __init__(self, folder: str, suffix: str, max_files: int = 0, start: str = ""):
+        self.folder, self.suffix, self.max_files, self.at = folder, suffix, max_files, start
+
+    def _files(self) -> dict[str, str]:
+        """Paths by name, in order of name."""
+        fs, base = open_folder(self.folder)
+        found = {f.base_name: f.path for f in fs.get_file_info(FileSelector(base)) if f.is_file}
+        return {n: found[n] for n in sorted(found) if n.endswith(self.suffix) and not n.startswith((".", "_"))}
 
     def initialOffset(self) -> dict:
         return {"name": ""}
 
     def latestOffset(self) -> dict:
-        return {"name": max(self._names(), default="")}
+        new = [n for n in self._files() if n > self.at]
+        if new:
+            self.at = new[min(self.max_files or len(new), len(new)) - 1]
+        return {"name": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[File]:
-        return [File(os.path.join(self.folder, n)) for n in self._names() if start["name"] < n <= end["name"]]
+        return [File(path) for n, path in self._files().items() if start["name"] < n <= end["name"]]
 
     def read(self, partition: File) -> Iterator[tuple[str, str]]:
-        with open(partition.path, encoding="utf-8", errors="replace") as f:
+        fs, _ = open_folder(self.folder)
+        with io.TextIOWrapper(fs.open_input_stream(partition.path), encoding="utf-8", errors="replace") as f:
             for line in f:
                 yield os.path.basename(partition.path), line.rstrip("\r\n")
 
@@ -101,7 +114,7 @@ class NamedFilesReader(DataSourceStreamReader):
 
 
 class NamedFiles(DataSource):
-    """Format "named_files". Options: path (a folder that the cluster shares), suffix. Columns: file, value."""
+    """Format "named_files". Options: path (a folder that the cluster shares), suffix, maxfiles, start. Columns: file, value."""
 
     @classmethod
     def name(cls) -> str:
@@ -111,12 +124,16 @@ class NamedFiles(DataSource):
         return "file string, value string"
 
     def streamReader(self, schema) -> NamedFilesReader:
-        return NamedFilesReader(self.options["path"], self.options.get("suffix", ""))
+        return NamedFilesReader(self.options["path"], self.options.get("suffix", ""), int(self.options.get("maxfiles", "0")), self.options.get("start", ""))
 
 
-def files_by_name(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
+def files_by_name(spark: SparkSession, folder: str, suffix: str = "", max_files: int = 0, checkpoint: str | None = None) -> DataFrame:
+    """A stream of the lines of files by name. max_files holds it back: so many files a batch, k files in k / max_files batches rounded up; hand in
+    the checkpoint of the query then, as a stream that is taken up counts its files from there."""
     spark.dataSource.register(NamedFiles)
-    return spark.readStream.format("named_files").option("path", folder).option("suffix", suffix).load()
+    reader = spark.readStream.format("named_files").option("path", folder).option("suffix", suffix).option("maxfiles", max_files)
+    at = last_offset(spark, checkpoint) if checkpoint else None
+    return (reader.option("start", at["name"]) if at else reader).load()
 
 
 def files_after(spark: SparkSession, names: list[str], marker: str | None) -> tuple[list[str], str | None]:
