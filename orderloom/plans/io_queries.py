@@ -15,8 +15,8 @@ from ..operators import frame as X
 from ..operators import joins as J
 from ..scratch import materialise, scratch_path
 from ..sinks import KeyedTable, VersionedTable, load_outputs, write_to
-from ..sources import events, files, generators, spec, sqlite
-from ..streaming import runs
+from ..sources import claims, events, files, generators, spec, sqlite
+from ..streaming import runs, state
 from .pipeline import Pipeline, Task, run_tasks, top_products
 from .registry import _gaps, _placed, _round, _t, query
 
@@ -59,6 +59,18 @@ def s1_read_csv(spark, sf_dir):
     return files.read_csv(spark, _csv(padded, "csv"), ",")
 
 
+@query(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS col0, 'st \"' || o_orderstatus || '\",' || chr(10) || o_orderpriority AS col1, o_orderstatus || '\"x' AS col2 FROM orders"
+    " UNION ALL SELECT NULL, NULL, NULL FROM orders WHERE o_orderkey % 7 = 0"
+)
+def s1_quoted_records(spark, sf_dir):
+    """Quoted separators, quotes and line breaks, a quote within a plain field, and blank lines."""
+    own = _t(spark, sf_dir, "orders")
+    quoted = F.concat(F.lit('"st ""'), "o_orderstatus", F.lit('"",\n'), "o_orderpriority", F.lit('"'))
+    record = F.concat_ws(",", F.col("o_orderkey").cast("string"), quoted, F.concat("o_orderstatus", F.lit('"x')))
+    return files.read_csv(spark, _text(own.select(F.concat(record, F.when(F.col("o_orderkey") % 7 == 0, F.lit("\n")).otherwise(F.lit("")))), "csv"), ",", has_header=False)
+
+
 @query(f"SELECT {_CUSTOMER} FROM customer")
 def s2_sniffed_delimiter(spark, sf_dir):
     return files.read_csv(spark, _csv(_customers(spark, sf_dir), "csv", "|"))
@@ -240,6 +252,36 @@ def s10_second_claim(spark, sf_dir):
     return events.claim_from(t, 100).select("event_pk")
 
 
+@query("SELECT event_id AS event_pk FROM events ORDER BY ts, event_id LIMIT 100 OFFSET 100")
+def s10_claimed_stream(spark, sf_dir):
+    """The second run of a stream of claims over one checkpoint; the events table stays as it is."""
+    own = _t(spark, sf_dir, "events").select(F.col("event_id").alias("event_pk"), F.col("ts").alias("timestamp_received"))
+    table, check, out = scratch_path(spark, "events"), scratch_path(spark, "stream"), scratch_path(spark, "claims")
+    own.repartitionByRange(4, "timestamp_received").sortWithinPartitions("timestamp_received").write.parquet(table)
+    for _ in range(2):
+        runs.start(claims.claimed_events(spark, table, 100, check), lambda df, k: df.write.parquet(f"{out}/{k}"), check).awaitTermination()
+    return spark.read.parquet(f"{out}/1").select("event_pk")
+
+
+@query("SELECT CAST(n_regionkey // 2 AS BIGINT) AS batch, COUNT(*) AS n FROM nation GROUP BY 1")
+def r12_files_held_back(spark, sf_dir):
+    """Five files, two a batch, over a stream that is stopped and taken up."""
+    folder, out, check = _folder(spark, "named"), scratch_path(spark, "batches"), scratch_path(spark, "stream")
+    names = _t(spark, sf_dir, "nation").select("n_regionkey", "n_name").collect()  # a table of fixed size
+
+    def land(*regions):
+        for k in regions:
+            with open(f"{folder}/f{k}.txt", "w", encoding="utf-8") as f:
+                f.write("".join(f"{r['n_name']}\n" for r in names if r["n_regionkey"] == k))
+        q = runs.start(events.files_by_name(spark, folder, ".txt", 2, check), lambda df, k: df.withColumn("batch", F.lit(k).cast("long")).write.mode("overwrite").parquet(f"{out}/{k}"), check, every_ms=50)
+        q.processAllAvailable()
+        q.stop()
+
+    land(0, 1)
+    land(2, 3, 4)
+    return spark.read.parquet(f"{out}/*").groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT 'f' || CAST(n_regionkey AS VARCHAR) || '.txt' AS file, n_name AS value FROM nation WHERE n_regionkey > 0")
 def s15_files_by_name(spark, sf_dir):
     """Files in order of name, over two runs; a file of a lesser name that comes late is never read."""
@@ -312,6 +354,47 @@ def r8_paired_streams(spark, sf_dir):
     return _streamed(runs.pair_streams(*sides, "k").select("n_nationkey", "r_name"))
 
 
+def _changes(spark, df: DataFrame, mode: str, check: str, out: str) -> None:
+    """Run a stateful stream over all that is there; each micro-batch's rows go to a folder of their own."""
+    with state.state_store(spark):
+        write = lambda b, k: b.write.mode("overwrite").parquet(f"{out}/{k}")
+        q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", check).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, event_type AS field, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def r10_keyed_map(spark, sf_dir):
+    """A map of fields by user as streaming state, over two runs that share a checkpoint; the last change of each field."""
+    landing, check, out = scratch_path(spark, "landing"), scratch_path(spark, "stream"), scratch_path(spark, "changes")
+    own = _t(spark, sf_dir, "events").select("user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        own.filter(part).write.mode("append").parquet(landing)
+        _changes(spark, state.keyed_map(spark.readStream.schema(own.schema).parquet(landing), "user_id", "event_type", "value", "ts", "event_id", "3650 days"), "update", check, out)
+    return spark.read.parquet(f"{out}/*").groupBy("key", "field").agg(F.max_by("value", "changes").alias("value"))
+
+
+@query(
+    "WITH l AS (SELECT o_orderkey AS k, o_orderstatus AS st, o_orderdate AS t FROM orders WHERE o_orderkey % 3 <> 0),"
+    " r AS (SELECT l_orderkey AS k, max(l_returnflag) AS f, max(l_shipdate) AS t FROM lineitem WHERE l_orderkey % 3 <> 1 GROUP BY 1),"
+    " w AS (SELECT least((SELECT max(t) FROM l), (SELECT max(t) FROM r)) AS w)"
+    " SELECT CAST(COALESCE(l.k, r.k) AS VARCHAR) AS key, st AS o_orderstatus, f AS l_returnflag, CASE WHEN r.k IS NULL THEN 'no right' WHEN l.k IS NULL THEN 'no left' ELSE 'paired' END AS state"
+    " FROM l FULL JOIN r ON l.k = r.k, w WHERE (l.k IS NOT NULL AND r.k IS NOT NULL) OR COALESCE(l.t, r.t) + INTERVAL 252 HOUR <= w"
+)
+def r8_pair_barrier(spark, sf_dir):
+    """Orders and their items' last delivery as they meet; what no other half has reached in 10.5 days of event time comes alone."""
+    left = _t(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"), "o_orderstatus")
+    items = _t(spark, sf_dir, "lineitem").filter("l_orderkey % 3 <> 1")
+    right = items.groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_shipdate").cast("timestamp").alias("ts"), F.max("l_returnflag").alias("l_returnflag"))
+    sides = []
+    for df in (left, right):
+        path = scratch_path(spark, "landing")
+        df.write.parquet(path)
+        sides.append(spark.readStream.schema(df.schema).parquet(path))
+    out = scratch_path(spark, "pairs")
+    _changes(spark, state.pair_barrier(*sides, "id", "ts", 252 * 3_600_000), "append", scratch_path(spark, "stream"), out)
+    return spark.read.parquet(f"{out}/*").select("key", F.get_json_object("left", "$.o_orderstatus").alias("o_orderstatus"), F.get_json_object("right", "$.l_returnflag").alias("l_returnflag"), "state")
+
+
 @query("SELECT user_id, MAX(value) AS value FROM events GROUP BY 1")
 def r10_keyed_state(spark, sf_dir):
     """A keyed map that batches update: of each key the largest value so far."""
