@@ -28,9 +28,9 @@ from .common import bound_batches, discard, enclose, materialise, release, table
 
 #: Bytes of an anchor, and of texts that are hashed at once (a power of two).
 K = 32
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Bytes of pieces that one call sorts at least (whole anchors), and distinct pieces of an anchor from which it is cut into strips.
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 HOT = 4096
 #: Window starts in a strip of such an anchor's columns.
 STRIP = 4
@@ -137,8 +137,10 @@ def repeated_starts(text: np.ndarray, offsets: np.ndarray, column: np.ndarray, l
     size = np.diff(offsets)
     end, m = column + size, len(size)
     matrix = np.zeros((int(end.max()) if m else 0, m), np.uint8)
-    piece = np.repeat(np.arange(m), size)
-    matrix[np.arange(len(piece)) - np.repeat(offsets[:-1] - offsets[0], size) + column[piece], piece] = text[offsets[0] : offsets[-1]]
+    for lo in range(0, m, 1024):  # a few pieces at a time, as their places take many times their bytes
+        some = slice(lo, min(lo + 1024, m))
+        piece = np.repeat(np.arange(some.start, some.stop), size[some])
+        matrix[np.arange(len(piece)) - np.repeat(offsets[some] - offsets[lo], size[some]) + column[piece], piece] = text[offsets[lo] : offsets[some.stop]]
     entering = np.argsort(end, kind="stable")
     bounds = np.searchsorted(end[entering], np.arange(len(matrix) + 2))
     order, common = np.empty(0, np.int64), np.empty(0, np.int32)
