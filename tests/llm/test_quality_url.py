@@ -58,6 +58,75 @@ def test_lines_leave_and_depleted_documents_go(spark):
     assert not any(got[200 + k]["kept"] for k in range(50)) and got[101]["kept"] and all(got[k]["clean_text"] == own(k) for k in range(20))  # by documents, copies count
 
 
+def _near_rows(seed):
+    """Chains and groups of near copies among plain texts, with lines that several components share."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    shared = [" ".join(word() for _ in range(9)) for _ in range(4)]
+    rows = []
+    for g in range(9):
+        lines = [[word() for _ in range(20)] for _ in range(4)]
+        for k in range(rng.choice([1, 5, 14])):
+            if k:  # each next one of a chain differs a little from the one before
+                lines = [list(x) for x in lines]
+                lines[rng.randrange(4)][rng.randrange(20)] = word()
+            text = "\n".join(" ".join(x) for x in lines)
+            if g % 2:
+                text += "\n" + shared[g % 4].upper()
+            rows.append((len(rows), text, rng.choice(["a", "b", None]) if g % 3 == 0 else "a"))
+    for k in range(40):
+        rows.append((len(rows), "\n".join([" ".join(word() for _ in range(30)), rng.choice(shared), " ".join(word() for _ in range(30))]), rng.choice(["a", "b"])))
+    return rows + [(10_000, None, "a"), (10_001, "", "a"), rows[0], (10_002, rows[0][1], "b")]
+
+
+def _brute_near_once(rows, max_docs, max_removed):
+    """Kept and clean text of each row, by sets of windows, all pairs, and components counted by line and host."""
+    texts = sorted({t for _, t, _ in rows if t is not None})
+    sets = []
+    for t in texts:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+                linked += 1
+    normal = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
+    held = {}
+    for _, t, host in rows:
+        for line in (t or "").split("\n"):
+            if t is not None and normal(line):
+                held.setdefault((host, normal(line)), set()).add(find(texts.index(t)))
+    out = []
+    for i, t, host in rows:
+        lines = (t or "").split("\n")
+        gone = [len(held.get((host, normal(x)), ())) > max_docs for x in lines]
+        total = sum(len(normal(x)) for x in lines)
+        removed = sum(len(normal(x)) for x, g in zip(lines, gone, strict=True) if g) / total if total else 0
+        n, *_, repeats = brute(t)
+        out.append((i, None if t is None else "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), not (n < 50 or 100 * repeats > 50 * n) and removed <= max_removed))
+    return out, linked
+
+
+def test_near_copies_count_once_by_exact_components(spark):
+    for seed in (1, 2):
+        rows = _near_rows(seed)
+        want, linked = _brute_near_once(rows, 3, 0.7)
+        assert linked > 50
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        got = quality.quality_rules(docs, max_docs=3, max_share=0.0, near_once=True).select("doc_id", "clean_text", "kept").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+        assert any(t is not None and t != c for (_, t, _), (_, c, _) in zip(rows, want, strict=True))
+
+
 def test_long_text_repeats(spark, monkeypatch):
     """The two ways to find repeated windows agree."""
     rng = random.Random(5)
