@@ -2,7 +2,7 @@
 
 Method. A transcript is a run of lines; nothing tells where its turns begin. The states are the roles, each beginning a turn,
 going on with it, or at a blank line in it; a line emits a speaker marker and line features. The model is counted from labelled
-turns, with add-one smoothing. Viterbi finds the best states of a whole transcript exactly, of many transcripts at once; where
+turns, with add-one smoothing, for each way of parting turns apart, as a transcript keeps to one way. Viterbi finds the best states of a whole transcript exactly, of many transcripts at once; where
 one is longer than a block of lines, each block becomes a max-plus matrix from the state before it to its last state, the
 matrices are chained, and then each block is traced back between its two known states.
 """
@@ -10,6 +10,7 @@ matrices are chained, and then each block is traced back between its two known s
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +36,12 @@ MARKERS = {
 _MARKER = re.compile(r"\s*(?:#{1,6}\s*|\*{1,2}|\[|<\|?)?(%s)(?:\|?>|\]|\*{1,2})?(?:\s*:\*{0,2}|(?<=[>\]*]))\s*" % "|".join(w for ws in MARKERS.values() for w in sorted(ws, key=len, reverse=True)), re.IGNORECASE)
 _HEADING = re.compile(r"\s*#{1,6}\s*(%s)\s*$" % "|".join(w for ws in MARKERS.values() for w in ws), re.IGNORECASE)
 _CLASS = {w: i + 1 for i, ws in enumerate(MARKERS.values()) for w in ws}
+#: Lengths from which a line falls into the next class.
+LENGTHS = (1, 15, 25, 40, 60, 90, 140, 200, 300, 450, 700)
 #: Values that each feature of a line can have: marker class, question, length, list or code.
-FEATURES = (len(MARKERS) + 1, 2, 4, 2)
+FEATURES = (len(MARKERS) + 1, 2, len(LENGTHS) + 1, 2)
+#: Ways in which a transcript parts its turns, each with states of its own: by markers, by blank lines, or not at all.
+WAYS = 3
 
 
 def marker(line: str) -> tuple[int, str]:
@@ -47,13 +52,12 @@ def marker(line: str) -> tuple[int, str]:
 
 def features(line: str) -> tuple[int, ...]:
     kind, rest = marker(line)
-    n = len(rest)
-    return kind, int(rest.rstrip().endswith("?")), (n > 0) + (n > 40) + (n > 200), int(rest.lstrip()[:2] in ("- ", "* ", "``", "1."))
+    return kind, int(rest.rstrip().endswith("?")), bisect_right(LENGTHS, len(rest)), int(rest.lstrip()[:2] in ("- ", "* ", "``", "1."))
 
 
 @dataclass
 class RoleModel:
-    """roles; start (3 * roles), step (3 * roles, 3 * roles) and, by feature, emit (3 * roles, values): log probabilities. State 3 * r + BEGIN, INSIDE or GAP is of role r."""
+    """roles (of each way of parting turns); start (3 * roles), step (3 * roles, 3 * roles) and, by feature, emit (3 * roles, values): log probabilities. State 3 * r + BEGIN, INSIDE or GAP is of role r."""
 
     roles: list[str]
     start: np.ndarray
@@ -69,13 +73,12 @@ def _lines(text: str | None) -> list[str]:
     return (text or "").split("\n")
 
 
-def _count_lines(t: pa.Table, index: dict[str, int]) -> np.ndarray:
-    """Counts by state and feature value, by state and next state of the same turn, and by last state, flat, of labelled turns (columns role, raw)."""
-    n = 3 * len(index)
+def _count_lines(t: pa.Table, n: int) -> np.ndarray:
+    """Counts by state and feature value, by state and next state of the same turn, and by last state, flat, of labelled turns (columns slot, the number of their way and role, and raw)."""
     counts = [np.zeros((n, k)) for k in FEATURES]
     step, last = np.zeros((n, n)), np.zeros(n)
-    for role, raw in zip(t["role"].to_pylist(), t["raw"].to_pylist(), strict=True):
-        r, before = index[role], None
+    for r, raw in zip(t["slot"].to_pylist(), t["raw"].to_pylist(), strict=True):
+        before = None
         for i, line in enumerate(_lines(raw)):
             state = 3 * r + (BEGIN if i == 0 else INSIDE if line.strip() else GAP)
             for c, v in zip(counts, features(line), strict=True):
@@ -87,52 +90,75 @@ def _count_lines(t: pa.Table, index: dict[str, int]) -> np.ndarray:
     return np.concatenate([c.ravel() for c in [*counts, step, last]])
 
 
+def _marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([features(x)[0] > 0 for x in texts])
+
+
+def ways(rows: DataFrame) -> DataFrame:
+    """conv_id, way of the labelled turns' transcripts: 0 if half of their turns or more begin with a marker, else 1 if half or more end in a blank line, else 2."""
+    text = F.coalesce("raw", F.lit(""))
+    marked = F.pandas_udf(_marked, "boolean")(F.substring_index(text, "\n", 1))
+    blank = F.regexp_like(F.substring_index(text, "\n", -1), F.lit(r"^\s*$"))
+    shares = rows.select("conv_id", marked.cast("int").alias("_marked"), blank.cast("int").alias("_blank")).groupBy("conv_id").agg(F.avg("_marked").alias("m"), F.avg("_blank").alias("b"))
+    return shares.select("conv_id", F.when(F.col("m") >= 0.5, 0).when(F.col("b") >= 0.5, 1).otherwise(2).alias("way"))
+
+
 def fit_roles(turns: DataFrame) -> RoleModel | None:
     """The model of labelled turns (conv_id, turn, role, raw), counted over all of them; None without any.
 
-    Rows of null role, conversation or turn are passed over. Repeated rows count as often as they come. The model has three
-    states for each distinct role, so roles must be a small vocabulary: its size goes with their number squared.
+    Rows of null role, conversation or turn are passed over. Repeated rows count as often as they come. A transcript keeps to
+    one way of parting its turns, so each way that the labelled transcripts have gets states, transitions and emissions of its own,
+    and no step leads from one to another. The model has three states for each way and distinct role, so roles must be a
+    small vocabulary: its size goes with their number squared.
     """
     rows = turns.filter("role IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL")
     roles = sorted(r[0] for r in rows.select("role").distinct().collect())  # the states of the model
     if not roles:
         return None
     index = {r: i for i, r in enumerate(roles)}
+    found = materialise(ways(rows), "ways")
     # a turn that several rows repeat is one place in the order of roles
     places = rows.groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
     before = places.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("last"))
-    pairs = places.join(before, ["conv_id", "turn"], "left").groupBy("last", "role").agg(F.count(F.lit(1)).alias("n")).collect()  # at most (roles + 1) * roles
+    pairs = places.join(before, ["conv_id", "turn"], "left").join(found, "conv_id").groupBy("way", "last", "role").agg(F.count(F.lit(1)).alias("n")).collect()  # at most WAYS * (roles + 1) * roles
+    n = 3 * len(roles) * WAYS
 
     def count(batches):
         total = 0
         for b in batches:
-            total = total + _count_lines(pa.Table.from_batches([b]), index)
+            total = total + _count_lines(pa.Table.from_batches([b]), n)
         if not np.isscalar(total):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "n"])
 
-    n = 3 * len(roles)
     sizes = [*[n * k for k in FEATURES], n * n, n]
     flat = np.zeros(sum(sizes))
-    for r in rows.select("role", "raw").mapInArrow(count, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():  # one row a state and value
+    number = F.create_map(*[F.lit(x) for r, i in index.items() for x in (r, i)])
+    slots = rows.join(found, "conv_id").select((F.col("way") * len(roles) + number[F.col("role")]).alias("slot"), "raw")
+    for r in slots.mapInArrow(count, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():  # one row a state and value
         flat[r["k"]] = r["n"]
     *emit, inner, last = np.split(flat, np.cumsum(sizes)[:-1])
     emit = [np.log((p.reshape(n, -1) + 1) / (p.reshape(n, -1) + 1).sum(axis=1, keepdims=True)) for p in emit]
     inner = inner.reshape(n, n)
-    turn = np.ones((len(roles) + 1, len(roles)))
-    for r in pairs:
-        turn[len(roles) if r["last"] is None else index[r["last"]], index[r["role"]]] += r["n"]
-    turn /= turn.sum(axis=1, keepdims=True)
-    step = np.zeros((n, n))
-    for s in range(n):
-        r = s // 3
-        goes_on = inner[s, 3 * r + 1 : 3 * r + 3] + 1
-        total = goes_on.sum() + last[s] + 1
-        step[s, 3 * r + 1 : 3 * r + 3] = goes_on / total
-        step[s, ::3] = (last[s] + 1) / total * turn[r]
-    start = np.zeros(n)
-    start[::3] = turn[-1]
+    known = {r["way"]: r["n"] for r in found.groupBy("way").agg(F.count(F.lit(1)).alias("n")).collect()}
+    start, step = np.zeros(n), np.zeros((n, n))
+    for way, share in known.items():
+        own = slice(3 * len(roles) * way, 3 * len(roles) * (way + 1))
+        turn = np.ones((len(roles) + 1, len(roles)))
+        for r in pairs:
+            if r["way"] == way:
+                turn[len(roles) if r["last"] is None else index[r["last"]], index[r["role"]]] += r["n"]
+        turn /= turn.sum(axis=1, keepdims=True)
+        for k in range(own.start, own.stop):
+            r = k // 3
+            goes_on = inner[k, 3 * r + 1 : 3 * r + 3] + 1
+            total = goes_on.sum() + last[k] + 1
+            step[k, 3 * r + 1 : 3 * r + 3] = goes_on / total
+            step[k, own][::3] = (last[k] + 1) / total * turn[r % len(roles)]
+        start[own][::3] = turn[-1] * share / sum(known.values())
+    discard(found)
     with np.errstate(divide="ignore"):
-        return RoleModel(roles, np.log(start), np.log(step), emit)
+        return RoleModel(roles * WAYS, np.log(start), np.log(step), emit)
 
 
 def _by_length(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

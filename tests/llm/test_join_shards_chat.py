@@ -355,7 +355,7 @@ def test_pipeline_lines_leave_whatever_the_size_of_the_host(spark, sf):
 def test_chat_turns_within_one_text(spark, sf):
     """Held-out transcripts with markers, each joined to one row: the turns are found at their lines, with their roles."""
     F = chat.F
-    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", chat.raw_turn(F.col("conv_id"), F.col("role"), F.col("text")).alias("raw"), F.pmod(F.xxhash64(F.lit(11), "conv_id"), F.lit(5)).alias("style"))
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", chat.raw_turn(F.col("conv_id"), F.col("role"), F.col("text")).alias("raw"), chat.style_of(F.col("conv_id")).alias("style"))
     held = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4)) == 2
     by = defaultdict(list)
     for r in turns.filter(held & (F.col("style") < 4)).orderBy("conv_id", "turn").collect():
