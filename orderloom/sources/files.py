@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.semantics import split_plain, strip
+from ..scratch import materialise
+from .json_records import json_texts
 from .records import read_records
 
 DELIMITERS = (",", ";", "|", "\t")
@@ -57,17 +59,13 @@ def read_lines(spark: SparkSession, path: str, delimiter: str, columns: list[str
 
 
 def read_json(spark: SparkSession, path: str, records_path: str | list[str] | tuple[str, ...] | None = None, encoding: str = "utf-8") -> DataFrame:
-    """Whole-document JSON: the list at the root, or under a key or a list of keys. Items that aren't objects are dropped.
+    """Whole-document JSON, read in splits: the list at the root, or under a key or a list of keys. Items that aren't objects are dropped.
 
-    A path that leads nowhere, or a document that doesn't parse, gives an empty frame.
+    A path that leads nowhere, a document that is cut short or a list of which an object doesn't parse gives an empty frame.
     """
-    whole = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("value"))
-    docs = whole.select(F.expr("try_parse_json(value)").alias("v"))
     keys = [records_path] if isinstance(records_path, str) else list(records_path or [])
-    at = "$" + "".join(f"['{k}']" for k in keys)
-    items = docs.select(F.explode(F.expr(f"try_variant_get(v, \"{at}\", 'array<variant>')")).alias("r")).filter(F.expr("schema_of_variant(r) LIKE 'OBJECT%'"))
-    text = items.select(F.to_json("r").alias("j"))
-    if text.isEmpty():
+    text = materialise(json_texts(spark, path, keys, encoding), "records")
+    if text.isEmpty() or not text.filter(F.expr("try_parse_json(j) IS NULL")).isEmpty():
         return spark.createDataFrame([], "_empty string").select()
     return _from_text(text)
 
