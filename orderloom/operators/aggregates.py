@@ -91,3 +91,8 @@ def stock_left(products: DataFrame, items: DataFrame, product_id: str, item_prod
     """products' ids and stock less all quantities sold; repeated items add up; it may go below 0."""
     sold = items.groupBy(F.col(item_product).alias("_p")).agg(F.sum(quantity).alias("_q"))
     return products.join(sold, products[product_id] == sold["_p"], "left").select(product_id, (F.col(stock) - F.coalesce("_q", F.lit(0))).alias("estoque"))
+
+
+def runs_by(timed: DataFrame, group: str, time: str) -> DataFrame:
+    """Of each group of timed runs their number, total, least and largest time."""
+    return timed.groupBy(group).agg(F.count(F.lit(1)).cast("int").alias("runs"), F.sum(time).alias("total"), F.min(time).alias("best"), F.max(time).alias("worst"))

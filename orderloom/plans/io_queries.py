@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +13,13 @@ from ..functions import datetimes as D
 from ..functions import semantics as S
 from ..operators import aggregates as A
 from ..operators import frame as X
+from ..operators import dead_letters as L
 from ..operators import joins as J
 from ..scratch import materialise, scratch_path
 from ..sinks import KeyedTable, VersionedTable, load_outputs, write_to
 from ..sources import claims, events, files, generators, spec, sqlite
-from ..streaming import runs, state
-from .pipeline import Pipeline, Task, run_tasks, top_products
+from ..streaming import metrics, runs, state
+from .pipeline import Pipeline, Task, run_concurrently, run_tasks, top_products
 from .registry import _gaps, _placed, _round, _t, query
 
 
@@ -88,6 +90,32 @@ def _document(spark, sf_dir, root: str) -> str:
     return _text(inner.select(F.to_json(F.struct(F.struct("items").alias(root)))), "json")
 
 
+def _documents(records: DataFrame, head: str, tail: str) -> str:
+    """JSON documents of the records (column j: objects), one a partition."""
+
+    def lines(batches):
+        sep = head
+        for b in batches:
+            found = []
+            for j in b.column("j").to_pylist():
+                found.append(sep + j)
+                sep = ","
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([(head if sep == head else "") + tail])], ["value"])
+
+    return _text(records.select("j").mapInArrow(lines, "value string"), "json")
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus || '}{[\"' || o_orderpriority AS st, o_custkey AS cust, l.n AS n FROM orders JOIN (SELECT l_orderkey, COUNT(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey")
+def s4_json_documents(spark, sf_dir):
+    """Nested records with brackets and quotes in their texts, in documents that are read in splits."""
+    items = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber")).alias("items"))
+    own = J.lookup(_t(spark, sf_dir, "orders"), items, "o_orderkey", "l_orderkey")
+    record = F.struct(F.col("o_orderkey").alias("id"), F.concat("o_orderstatus", F.lit('}{["'), "o_orderpriority").alias("st"), F.struct(F.col("o_custkey").alias("key")).alias("cust"), "items")
+    path = _documents(own.select(F.to_json(record).alias("j")).repartition(3), '{"meta": [{"id": -1}], "data": {"pedidos": [', '], "n": 1}}')
+    return files.read_json(spark, path, ["data", "pedidos"]).select(F.col("id").cast("long").alias("id"), "st", F.col("cust.key").cast("long").alias("cust"), F.size("items").cast("long").alias("n"))
+
+
 @query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CASE WHEN n_regionkey > 0 THEN n_name END AS n_name FROM nation")
 def s4_read_json(spark, sf_dir):
     return files.read_json(spark, _document(spark, sf_dir, "data"), ["data", "items"]).select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
@@ -112,8 +140,7 @@ def s6_load_csv_typed(spark, sf_dir):
 def s7_load_json_typed(spark, sf_dir):
     n = files.ORDER_FIELDS
     own = _t(spark, sf_dir, "supplier").select(F.col("s_name").alias(n["produto"]), F.col("s_nationkey").alias(n["quantidade"]), F.lit("c").alias(n["centro"]), F.col("s_acctbal").alias(n["preco"]), F.lit("site").alias(n["canal"]), F.lit("SP").alias(n["uf"]))
-    doc = own.agg(F.collect_list(F.struct(*own.columns)).alias("pedidos")).select(F.to_json(F.struct("pedidos")))
-    return files.load_json(spark, _text(doc, "orders"))
+    return files.load_json(spark, _documents(own.select(F.to_json(F.struct(*own.columns)).alias("j")), '{"pedidos": [', "]}"))
 
 
 @query("SELECT 'csv' AS kind, COUNT(*) AS n FROM customer UNION ALL SELECT 'txt', COUNT(*) FROM customer UNION ALL SELECT 'json', COUNT(*) FROM nation UNION ALL SELECT 'sql', COUNT(*) FROM nation UNION ALL SELECT 'parquet', COUNT(*) FROM customer")
@@ -414,6 +441,45 @@ def r15_tasks(spark, sf_dir):
     return run_tasks([Task("both", lambda a, b: spark.createDataFrame([(a, b)], "nations long, regions long"), ("n", "r")), Task("n", count("nation")), Task("r", count("region"))])["both"]
 
 
+@query("SELECT 'segment' AS kind, c_mktsegment AS k, COUNT(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'status', o_orderstatus, COUNT(*) FROM orders GROUP BY ALL")
+def r15_concurrent_tasks(spark, sf_dir):
+    """Two counts at the same time, and a task that needs both."""
+
+    def counted(kind, table, column):
+        return lambda: materialise(_t(spark, sf_dir, table).groupBy(F.lit(kind).alias("kind"), F.col(column).alias("k")).agg(F.count(F.lit(1)).alias("n")), kind)
+
+    tasks = [Task("both", lambda a, b: a.unionByName(b), ("c", "o")), Task("c", counted("segment", "customer", "c_mktsegment")), Task("o", counted("status", "orders", "o_orderstatus"))]
+    return run_concurrently(spark, tasks)["both"]
+
+
+_FAULTS = """SELECT event_id, concat_ws('; ', CASE WHEN event_id % 10 = 0 THEN 'value: not double' END, CASE WHEN event_id % 7 = 0 THEN 'props: malformed JSON' END,
+  CASE WHEN event_id % 11 = 0 THEN 'event_type: missing' END, CASE WHEN user_id % 13 = 0 THEN 'user_id: ZeroDivisionError' END) AS reason FROM events"""
+
+
+@query(f"SELECT event_id, 'ok' AS reason FROM ({_FAULTS}) WHERE reason = '' UNION ALL SELECT event_id, reason FROM ({_FAULTS}) WHERE reason <> ''")
+def r11_dead_letters(spark, sf_dir):
+    """Planted faults in casts, JSON, required fields and a user function; both ways out of one pass."""
+    own = _t(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_id") % 10 == 0, "x").otherwise(F.col("value").cast("string")).alias("value"), F.when(F.col("event_id") % 7 == 0, '{"a": ').otherwise('{"a": 1}').alias("props"),
+        F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("event_type")).alias("event_type"), "user_id",
+    )
+    good, dead = L.divert(own, [L.Cast("value", "double"), L.Json("props", "a int"), L.Required("event_type"), L.Call("user_id", lambda v: 1 / (v % 13), "double")])
+    good = good.filter("props.a = 1 AND value IS NOT NULL AND user_id IS NOT NULL").select("event_id", F.lit("ok").alias("reason"))
+    return good.unionByName(dead.select(F.get_json_object("raw", "$.event_id").cast("long").alias("event_id"), F.array_join("reasons", "; ").alias("reason")))
+
+
+@query("SELECT 'batch' AS kind, 'orders' AS name, COUNT(*) AS n_rows, 1 AS loads FROM orders UNION ALL SELECT 'stream', 'events', COUNT(*), 3 FROM events")
+def k8_load_metrics(spark, sf_dir):
+    """What a batch load and a stream of three micro-batches have noted."""
+    path, out = scratch_path(spark, "metrics"), scratch_path(spark, "loaded")
+    landing = _landed(_t(spark, sf_dir, "events").select("event_type").repartition(3))
+    with metrics.LoadMetrics(spark, path) as m:
+        m.load("orders", _t(spark, sf_dir, "orders"), lambda df: df.write.parquet(f"{out}/orders"))
+        stream = events.message_stream(spark, landing, "event_type string", 1)
+        stream.writeStream.queryName("events").format("parquet").option("path", f"{out}/events").option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).groupBy("kind", "name").agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).cast("int").alias("loads"))
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS k, c_mktsegment AS segment FROM customer WHERE c_mktsegment = 'BUILDING'")
 def r16_pipeline(spark, sf_dir):
     """A source and a transform that fail leave the others alone."""
@@ -492,9 +558,9 @@ def f13_unprocessed_above_marker(spark, sf_dir):
     return own.filter(~F.col("processed_by_etl") & S.gt(F.col("event_id").cast("string"), "5")).select("event_id")
 
 
-@query("SELECT n_name AS name, ROW_NUMBER() OVER (ORDER BY n_name) - 1 AS place FROM nation WHERE n_name > 'F'")
+@query("SELECT n_name AS name, ROW_NUMBER() OVER (ORDER BY n_name) - 1 AS place FROM nation WHERE n_name > 'NATION_2'")
 def f14_names_above_marker(spark, sf_dir):
-    names, marker = events.files_after(spark, [r[0] for r in _t(spark, sf_dir, "nation").select("n_name").collect()], "F")
+    names, marker = events.files_after(spark, [r[0] for r in _t(spark, sf_dir, "nation").select("n_name").collect()], "NATION_2")
     return spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "name string, place long")
 
 
@@ -504,17 +570,25 @@ def c32_timestamp_comparison(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.unix_seconds(ts).alias("s"), S.gt(ts, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("late"))
 
 
-@query("SELECT 'nan' AS k, TRUE AS same, FALSE AS mixed, FALSE AS number UNION ALL SELECT 'x', FALSE, FALSE, TRUE")
+@query("SELECT event_id, event_type IN ('view', 'click') AS same, FALSE AS mixed, COALESCE(event_id % 4 = 1 AND event_id % 3 <> 0, FALSE) AS number FROM events")
 def f2_odd_values(spark, sf_dir):
     """The text "nan" equals itself, '5' is not 5, and a NaN equals nothing."""
-    own = spark.createDataFrame([("nan", "nan", float("nan")), ("x", "5", 5.0)], "k string, t string, d double")
-    return own.select("k", S.eq(F.col("t"), F.col("k")).alias("same"), S.eq(F.col("t"), 5).alias("mixed"), S.eq(F.col("d"), 5).alias("number"))
+    t = F.when(F.col("event_type") == "view", "nan").otherwise(F.when(F.col("event_type") == "click", "5").otherwise("x"))
+    k = F.when(F.col("event_type") == "view", "nan").otherwise("5")
+    d = F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).when(F.col("event_id") % 4 == 1, F.lit(5.0)).otherwise(F.lit(6.0))
+    own = _t(spark, sf_dir, "events").select("event_id", t.alias("t"), k.alias("k"), d.alias("d"))
+    return own.select("event_id", S.eq(F.col("t"), F.col("k")).alias("same"), S.eq(F.col("t"), 5).alias("mixed"), S.eq(F.col("d"), 5).alias("number"))
 
 
-@query("SELECT * FROM (VALUES (1, CAST(-4.0 AS DOUBLE)), (2, CAST('nan' AS DOUBLE)), (3, CAST('nan' AS DOUBLE)), (4, -1.0), (5, CAST('nan' AS DOUBLE))) v(k, q)")
+@query(
+    "SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST('nan' AS DOUBLE) WHEN 1 THEN CAST('nan' AS DOUBLE) WHEN 2 THEN -1.0 WHEN 3 THEN CAST('nan' AS DOUBLE) ELSE floor(-value / 2.0) END AS q FROM events"
+)
 def c4_odd_quotients(spark, sf_dir):
-    own = spark.createDataFrame([(1, -7.0, 2.0), (2, float("nan"), 2.0), (3, float("inf"), 2.0), (4, 5.0, float("-inf")), (5, 1.0, 0.0)], "k int, a double, b double")
-    return own.select("k", S.floor_div(F.col("a"), F.col("b")).alias("q"))
+    """Quotients of NaN and infinities, by zero, and of values below zero by plain numbers."""
+    k, v = F.col("event_id") % 5, F.col("value")
+    a = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).when(k == 4, -v).otherwise(v)
+    b = F.when(k == 2, F.lit(float("-inf"))).when(k == 3, F.lit(0.0)).otherwise(F.lit(2.0))
+    return _t(spark, sf_dir, "events").select("event_id", S.floor_div(a, b).alias("q"))
 
 
 @query("SELECT mes, receita, ROW_NUMBER() OVER (ORDER BY mes) - 1 AS place FROM (SELECT strftime(l_shipdate, '%Y-%m') AS mes, ROUND(SUM(o_totalprice), 2) AS receita FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)")
@@ -530,31 +604,35 @@ def j10_top_products(spark, sf_dir):
     return X.top_k(_round(A.revenue_by(both, "p_name", "l_extendedprice", "l_quantity"), "receita"), 10, "receita", ["p_name"])
 
 
-@query("SELECT * FROM (VALUES ('ETL', 3, 6.0::DOUBLE, 1.0::DOUBLE, 3.0::DOUBLE), ('MVP', 2, 5.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE)) v(pipeline, runs, total, best, worst)")
+@query("SELECT event_type AS pipeline, CAST(COUNT(*) AS INTEGER) AS runs, ROUND(SUM(value), 2) AS total, MIN(value) AS best, MAX(value) AS worst FROM events GROUP BY 1")
 def a20_benchmark_by_pipeline(spark, sf_dir):
-    timed = X.frame(spark, [["MVP", 1, 3.0], ["MVP", 2, 2.0], ["ETL", 1, 3.0], ["ETL", 2, 2.0], ["ETL", 4, 1.0]], ["pipeline", "workers", "time"])
-    return timed.groupBy("pipeline").agg(F.count(F.lit(1)).cast("int").alias("runs"), F.sum("time").alias("total"), F.min("time").alias("best"), F.max("time").alias("worst"))
+    """Times of runs split by pipeline; the runs are the events, their values the times."""
+    timed = _t(spark, sf_dir, "events").select(F.col("event_type").alias("pipeline"), F.col("value").alias("time"))
+    return _round(A.runs_by(timed, "pipeline", "time"), "total")
 
 
 # generators
 
 
-@query("SELECT 2000 AS n, 0 AS bad, 2023 AS first, 2023 AS last")
+@query("SELECT CAST(COUNT(*) AS INTEGER) AS n, 0 AS bad, 2023 AS first, 2023 AS last FROM orders")
 def s23_generated_orders(spark, sf_dir):
-    own = materialise(generators.orders(spark, 2000), "generated")
+    """As many generated orders as the table has."""
+    own = materialise(generators.orders(spark, _t(spark, sf_dir, "orders").count()), "generated")
     bad = own.filter("quantidade NOT BETWEEN 1 AND 10 OR produto_id NOT BETWEEN 1 AND 29 OR cliente_id NOT BETWEEN 1 AND 500000 OR dias_para_entrega NOT BETWEEN 1 AND 10 OR valor_total <> round(preco_unitario * quantidade, 2)")
     return own.agg(F.count(F.lit(1)).cast("int").alias("n"), F.lit(bad.count()).cast("int").alias("bad"), F.min("ano").alias("first"), F.max("ano").alias("last"))
 
 
-@query("SELECT 7 AS tables, 0 AS orphans")
+@query("SELECT 7 AS tables, 0 AS orphans, COUNT(*) AS pedidos, (SELECT COUNT(*) FROM customer) AS clientes FROM orders")
 def s24_generated_star_schema(spark, sf_dir):
-    star = generators.star_schema(spark)
+    """Sized as the tables are."""
+    star = generators.star_schema(spark, customers=_t(spark, sf_dir, "customer").count(), products=_t(spark, sf_dir, "part").count(), orders_n=_t(spark, sf_dir, "orders").count())
     links = (("pedidos", "cliente_id", "clientes"), ("produtos", "categoria_id", "categorias"), ("pedidos", "centro_logistico_id", "centros_logisticos"), ("itens_pedido", "pedido_id", "pedidos"), ("itens_pedido", "produto_id", "produtos"), ("entregas", "pedido_id", "pedidos"))
     orphans = sum(J.strangers(star[a].withColumnRenamed("id", "_own"), star[b].select("id"), k, "id").count() for a, k, b in links)
-    return spark.createDataFrame([(len(star), orphans)], "tables int, orphans int")
+    return star["pedidos"].agg(F.lit(len(star)).alias("tables"), F.lit(orphans).cast("int").alias("orphans"), F.count(F.lit(1)).alias("pedidos"), F.lit(star["clientes"].count()).cast("long").alias("clientes"))
 
 
-@query("SELECT 20 AS n, 10000 AS least, 10000 AS most")
+@query("SELECT CAST(COUNT(*) AS INTEGER) AS n, 10000 AS least, 10000 AS most FROM supplier")
 def s26_large_messages(spark, sf_dir):
-    own = generators.messages(spark, 20)
+    """A message for each supplier."""
+    own = generators.messages(spark, _t(spark, sf_dir, "supplier").count())
     return own.agg(F.count(F.lit(1)).cast("int").alias("n"), F.min(F.size("values")).alias("least"), F.max(F.size("values")).alias("most"))
