@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,23 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, has_h
     return read_records(spark, path, delimiter or sniff_delimiter(_head(spark, path, encoding)), has_header, encoding)
 
 
+def _with_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (value, file, block) in order, with head: the first line of its file that isn't blank, if it is in the first split."""
+    here, found = None, True
+    for batch in batches:
+        files = batch.column("file")
+        if found and pc.all(pc.equal(files, pa.scalar(here, files.type))).as_py():
+            heads = [False] * batch.num_rows
+        else:
+            heads = []
+            for file, block, value in zip(files.to_pylist(), batch.column("block").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if file != here:
+                    here, found = file, block > 0
+                heads.append(not found and block == 0 and bool(value.strip()))
+                found = found or heads[-1]
+        yield pa.RecordBatch.from_arrays([batch.column("value"), files, pa.array(heads, pa.bool_())], ["value", "file", "head"])
+
+
 def read_lines(spark: SparkSession, path: str, delimiter: str, columns: list[str] | None = None, has_header: bool = True, keep_blank: bool = False) -> DataFrame:
     """Plain split of lines, no quotes; empty fields are empty strings. Lines of another width than the header's are dropped.
 
@@ -41,15 +61,13 @@ def read_lines(spark: SparkSession, path: str, delimiter: str, columns: list[str
     keep_blank: blank lines become rows of nulls instead, and widths are not checked (short rows end in nulls). Without a header
     and names, columns are col_0, col_1, ...
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
-    # a row a file: its first line that isn't blank
-    heads = lines.filter((F.col("_at") == 0) & (strip(F.col("value")) != "")).groupBy("_file").agg(F.min(F.struct("_id", "value")).alias("_head"))
-    first = heads.select("_file", "_head.value").orderBy("_file").limit(1).collect()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.mapInArrow(_with_heads, "value string, file string, head boolean")
+    first = lines.filter("head").orderBy("file").limit(1).collect()  # a line
     parts = [x.strip() for x in first[0]["value"].split(delimiter)] if first else []
     names = columns or (parts if has_header else [f"col_{i}" for i in range(len(parts))])
     if has_header and first:
-        headers = heads.filter(F.col("_head.value") == first[0]["value"]).select("_file", F.col("_head._id").alias("_id"))
-        lines = lines.join(headers, ["_file", "_id"], "left_anti")
+        lines = lines.filter(~(F.col("head") & (F.col("value") == first[0]["value"])))
     cells = split_plain(F.col("value"), delimiter)
     rows = lines.withColumn("_c", cells)
     blank = strip(F.col("value")) == ""
