@@ -7,6 +7,7 @@ whenever one would exceed the capacity.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -42,8 +43,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def by_words(path: str) -> bool:
+    """Whether the tokenizer of a file sees each run without white space apart and in lower case, so that its ids can be kept by word."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [[(x["type"], x.get("pattern", {}).get("Regex", "") == r"\s+") for x in (spec.get(k) or {}).get(f"{k.replace('_', '')}s", [])] for k in ("normalizer", "pre_tokenizer")]
+    model = spec["model"]
+    own = model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("ignore_merges")
+    return own and steps == [[("NFC", False), ("Replace", True), ("Lowercase", False)], [("Split", False), ("ByteLevel", False)]] and spec.get("post_processor") is None
+
+
 class WordIds(dict):
-    """Token ids, as little-endian 32-bit bytes, of each run of characters without white space; learned as they are met."""
+    """Token ids, as little-endian 32-bit bytes, of each run of characters without white space; learned as they are met.
+
+    Other kinds of tokenizers than those by_words tells encode whole texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,6 +65,7 @@ class WordIds(dict):
         super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.by_words = by_words(path)
         self.words: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
@@ -81,7 +96,7 @@ class WordIds(dict):
         return ids
 
     def of(self, text: str) -> bytes:
-        if _WHOLE.search(text) or not unicodedata.is_normalized("NFC", text):
+        if not self.by_words or _WHOLE.search(text) or not unicodedata.is_normalized("NFC", text):
             return self.encode(text)
         return b"".join(map(self.__getitem__, text.lower().split()))
 
@@ -147,11 +162,12 @@ def pack_documents(docs: DataFrame, text: str = "text", capacity: int = CAPACITY
     # the batch of a piece goes by a hash of its document and place, so that batches are even
     found = own.withColumn("_p", _pieces(tokenizer or default_tokenizer(), capacity, piece, with_ids)(F.col(t)))
     found = found.withColumn("doc_tokens", F.aggregate("_p", F.lit(0).cast("long"), lambda a, p: a + p["length"])).withColumn("_key", F.xxhash64(F.crc32(F.coalesce(F.col(t), F.lit(""))), *[F.col(c) for c in rest if c == "in_doc_id"]))
-    found = found.select(*rest, "doc_tokens", "_key", F.explode("_p").alias("_p")).select(*rest, "doc_tokens", "_p.start", "_p.length", "_p.ids_crc32", *(["_p.ids"] if with_ids else []), F.xxhash64("_key", "_p.start").alias("_key"))
+    found = found.select(*rest, "doc_tokens", "_key", F.explode("_p").alias("_p")).select(*rest, "doc_tokens", "_p.start", "_p.length", "_p.ids_crc32", *(["_p.ids"] if with_ids else []), F.xxhash64("_key", "_p.start").alias("_key"), F.monotonically_increasing_id().alias("_row"))
     found = materialise(found, "pieces")
     total = found.agg(F.sum("length")).first()[0] or 0
     batches = max(1, round(total / batch))
-    found = found.withColumn("_batch", F.pmod(F.col("_key"), F.lit(batches)).cast("long"))
+    # rows that repeat each other have one key; their places in the table, written by now, spread them
+    found = found.withColumn("_batch", F.pmod(F.xxhash64("_key", "_row"), F.lit(batches)).cast("long"))
     outputs = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id bigint, offset bigint"
 

@@ -169,3 +169,33 @@ def test_pack_odd_rows(odd, empty):
     assert sum(r["length"] for r in long) == long[0]["doc_tokens"] == 30_001 and sum(r["length"] == 4096 for r in long) == 7
     assert packing.cut(0, 10, 4) == [] and packing.cut(25, 10, 4) == [(0, 10), (10, 10), (20, 2), (22, 3)]
     assert out.filter(F.col("offset") < 0).count() == 0
+
+
+def test_pack_by_another_tokenizer(spark):
+    """A byte-level tokenizer that keeps case and white space: its own ids, not those of words."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.by_words(packing.default_tokenizer()) and not packing.by_words(path)
+    texts = ["Hello  World\n\tfoo", "ÄÖÜ it's 12345", "", None, " a b  c "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in packing.pack_documents(df, tokenizer=path, with_ids=True).collect()}
+    tk = Tokenizer.from_file(path)
+    assert got == {i: tk.encode(t or "", add_special_tokens=False).ids + [packing.END_ID] for i, t in enumerate(texts)}
+
+
+def test_pack_spreads_rows_that_repeat(spark):
+    """A row that makes up most of the table goes to many batches, each of about the size asked for."""
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(7, text)] * 3000 + [(i, f"other {i}") for i in range(200)], "doc_id long, text string").repartition(4)
+    rows = packing.pack_documents(df, batch=1 << 13).select("doc_id", "start", "length", "sequence_id", "offset").collect()
+    assert len(rows) == 3200
+    batches, used = {}, {}
+    for r in rows:
+        batches[r["sequence_id"] >> 24] = batches.get(r["sequence_id"] >> 24, 0) + r["length"]
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(batches) > 20 and max(batches.values()) < 3 * (1 << 13)
+    for parts in used.values():
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and sum(n for _, n in parts) <= packing.CAPACITY
