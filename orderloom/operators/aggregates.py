@@ -26,19 +26,27 @@ def state_quantity(df: DataFrame, state: str, quantity: str) -> DataFrame:
     return df.groupBy(state).agg(F.sum(quantity).alias("total_qtd"))
 
 
-def order_summaries(df: DataFrame, product: str, center: str, channel: str, state: str, price: str, quantity: str, noise: float = 0.0, seed: int = 42) -> dict[str, DataFrame]:
-    """The three summaries in one pass: grouping sets, told apart by their grouping id, over one scan and one shuffle; written, so that each summary reads its own rows.
+#: Numbers of the grouping sets of order_summary_rows.
+BY_PRODUCT_CENTER, BY_CHANNEL, BY_STATE = 3, 13, 14
+
+
+def order_summary_rows(df: DataFrame, product: str, center: str, channel: str, state: str, price: str, quantity: str, noise: float = 0.0, seed: int = 42) -> DataFrame:
+    """The rows of three summaries in one frame, by _set (BY_PRODUCT_CENTER, BY_CHANNEL, BY_STATE), over one scan and one shuffle.
 
     noise: each price is scaled by a factor drawn evenly from 1 - noise to 1 + noise.
     """
     own = df.select(product, center, channel, state, F.col(quantity).alias("_q"), (F.col(price) * (1 + (2 * F.rand(seed) - 1) * noise) if noise else F.col(price)).alias("_p"))
     sets = own.groupingSets([[F.col(product), F.col(center)], [F.col(channel)], [F.col(state)]], product, center, channel, state)
-    both = sets.agg(F.grouping_id().alias("_set"), F.sum(F.col("_p") * F.col("_q")).alias("total_valor"), F.sum("_q").alias("total_qtd"))
-    both = materialise(both, "summaries")
+    return sets.agg(F.grouping_id().alias("_set"), F.sum(F.col("_p") * F.col("_q")).alias("total_valor"), F.sum("_q").alias("total_qtd"))
+
+
+def order_summaries(df: DataFrame, product: str, center: str, channel: str, state: str, price: str, quantity: str, noise: float = 0.0, seed: int = 42) -> dict[str, DataFrame]:
+    """The three summaries as frames of their own: order_summary_rows, written, so that each reads its own rows."""
+    both = materialise(order_summary_rows(df, product, center, channel, state, price, quantity, noise, seed), "summaries")
     return {
-        "orders_summary": both.filter("_set = 3").select(product, center, "total_valor", "total_qtd"),
-        "canal_summary": both.filter("_set = 13").select(channel, "total_valor"),
-        "estado_summary": both.filter("_set = 14").select(state, "total_qtd"),
+        "orders_summary": both.filter(F.col("_set") == BY_PRODUCT_CENTER).select(product, center, "total_valor", "total_qtd"),
+        "canal_summary": both.filter(F.col("_set") == BY_CHANNEL).select(channel, "total_valor"),
+        "estado_summary": both.filter(F.col("_set") == BY_STATE).select(state, "total_qtd"),
     }
 
 

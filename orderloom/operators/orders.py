@@ -48,6 +48,8 @@ def transform_new_orders(orders: DataFrame, clientes: DataFrame, produtos: DataF
     own = accepted(orders)
     own = lookup(own, clientes.select(F.col("id").alias("_cid"), F.col("endereco_json").alias("_address")), "cliente_id", "_cid")
     own = lookup(own, produtos.select(F.col("id").alias("_pid"), F.col("preco").cast("double").alias("_price")), "produto_id", "_pid")
+    # only what is read below goes through the sort by range and its written table
+    own = own.select(*dict.fromkeys([*REQUIRED, *order]), "_address", "_price")
     own = surrogate_keys(own, first_order, order, "_order_id").withColumn("_item_id", F.col("_order_id") - first_order + first_item)
     quantity = F.col("quantidade").try_cast("int")
     pedidos = own.select(

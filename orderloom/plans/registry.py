@@ -74,11 +74,23 @@ SELECT 'orders' AS part, CAST(l_partkey AS VARCHAR) || '/' || CAST(l_suppkey AS
 UNION ALL SELECT 'canal', l_returnflag, ROUND(SUM(l_extendedprice * l_quantity), 2), CAST(NULL AS DOUBLE) FROM lineitem GROUP BY 2
 UNION ALL SELECT 'estado', l_linestatus, CAST(NULL AS DOUBLE), SUM(l_quantity) FROM lineitem GROUP BY 2""")
 def a4_order_summaries(spark, sf_dir):
-    parts = A.order_summaries(_t(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity")
-    orders = parts["orders_summary"].select(F.lit("orders").alias("part"), F.concat_ws("/", "l_partkey", "l_suppkey").alias("k"), "total_valor", "total_qtd")
-    canal = parts["canal_summary"].select(F.lit("canal").alias("part"), F.col("l_returnflag").alias("k"), "total_valor")
-    estado = parts["estado_summary"].select(F.lit("estado").alias("part"), F.col("l_linestatus").alias("k"), "total_qtd")
-    return _round(X.vstack([orders, canal, estado]), "total_valor")
+    rows = A.order_summary_rows(_t(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity")
+    orders, canal = F.col("_set") == A.BY_PRODUCT_CENTER, F.col("_set") == A.BY_CHANNEL
+    out = rows.select(
+        F.when(orders, "orders").when(canal, "canal").otherwise("estado").alias("part"), F.when(orders, F.concat_ws("/", "l_partkey", "l_suppkey")).otherwise(F.coalesce("l_returnflag", "l_linestatus")).alias("k"),
+        F.when(orders | canal, F.col("total_valor")).alias("total_valor"), F.when(~canal, F.col("total_qtd")).alias("total_qtd"),
+    )
+    return _round(out, "total_valor")
+
+
+@query("SELECT 'orders' AS part, COUNT(*) AS n, ROUND(SUM(l_extendedprice * l_quantity), 2) AS total FROM lineitem UNION ALL SELECT 'canal', COUNT(DISTINCT l_returnflag), ROUND(SUM(l_extendedprice * l_quantity), 2) FROM lineitem")
+def a4_summary_tables(spark, sf_dir):
+    """The summaries as frames of their own; of the first, the orders that its totals came from by their number of rows."""
+    items = _t(spark, sf_dir, "lineitem").withColumn("one", F.lit(1))
+    parts = A.order_summaries(items, "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity")
+    counts = items.groupBy("l_orderkey", "l_linenumber").agg(F.sum("one").alias("n"))
+    orders = parts["orders_summary"].join(counts, ["l_orderkey", "l_linenumber"]).agg(F.lit("orders").alias("part"), F.sum("n").alias("n"), F.sum("total_valor").alias("total"))
+    return _round(orders.unionByName(parts["canal_summary"].agg(F.lit("canal").alias("part"), F.count(F.lit(1)).alias("n"), F.sum("total_valor").alias("total"))), "total")
 
 
 @query("SELECT l_returnflag, ROUND(SUM(l_extendedprice * l_quantity), 2) AS total_valor, SUM(l_quantity) AS total_qtd FROM lineitem GROUP BY 1")
