@@ -135,3 +135,32 @@ def test_media_odd_rows(odd, empty, spark):
         assert {r["payload_bytes"] for r in rows if r["n_bytes"] == 0} == {576}
         assert len({r["dhash"] for r in rows if r["doc_id"] in (5, 6)}) == 1
     assert media.media_features(spark.createDataFrame([(None,)], "media binary")).first()["dhash"] is None
+
+
+def _shares(n, k):
+    """By cell of k equal ones over n places: what of each place lies in it, in k-ths."""
+    return [[max(0, min((i + 1) * k, (c + 1) * n) - max(i * k, c * n)) for i in range(n)] for c in range(k)]
+
+
+def _means(image, height, width):
+    """Exact means over equal areas, as (numerator, denominator)."""
+    rows, cols = np.array(_shares(image.shape[0], height), object), np.array(_shares(image.shape[1], width), object)
+    return rows @ image.astype(object) @ cols.T, image.shape[0] * image.shape[1]
+
+
+def test_features_equal_exact_means(spark, sf):
+    """Difference hash and tile of every text of a table against whole-number arithmetic; a tie may round either way."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    for r in media.write_tiles(media.text_media(docs)).collect():
+        image = media.bytes_image(texts[r["doc_id"]])
+        num, den = _means(image, 8, 9)
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(r["dhash"]), "u1")).reshape(8, 8)
+        for y in range(8):
+            for x in range(8):
+                gap = num[y, x + 1] - num[y, x]
+                assert abs(gap) * 1_000_000 <= 2 * den or bits[y, x] == (gap > 0)
+        num, den = _means(image, media.TILE, media.TILE)
+        tile = media.read_tile(bytes(r["tile"]))
+        for got, n in zip(tile.ravel().tolist(), num.ravel().tolist(), strict=True):
+            assert abs(2 * (got * den - n)) <= den + den // 1_000_000 + 1

@@ -83,3 +83,35 @@ def test_odd_rows(odd, empty):
     none = L.fit_on(empty)
     assert none.langs == [] and {r["lang_pred"] for r in L.identify(odd, none).collect()} == {"und"}
     assert "score" in out.columns and dict(out.dtypes)["score"] == "double"
+
+
+def test_score_and_rejection_by_plain_sums():
+    """Temperature, means, deviations, limit, score and verdict from the cross-entropies, one number at a time."""
+    rng = np.random.default_rng(4)
+    words = {k: sorted({w for t in v for w in t.split()}) for k, v in TEXTS.items()}
+    draw = lambda k, n: " ".join(rng.choice(words[k], n))
+    check = {k: [draw(k, int(n)) for n in rng.integers(3, 60, 25)] for k in TEXTS}
+    m = L.CharModels(TEXTS)
+    m.calibrate(check)
+    rows = []
+    for j, k in enumerate(m.langs):
+        for t in check[k]:
+            e, n, _ = m.entropies([t])
+            rows.append((e[0], int(n[0]), j))
+    losses = []
+    for t in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
+        losses.append((np.mean([np.log(sum(np.exp(-t * (x - e[j])) for x in e)) for e, _, j in rows]), t))
+    assert m.temperature == min(losses)[1]
+    mean = [np.mean([e[j] for e, _, i in rows if i == j]) for j in range(2)]
+    dev = [max(np.std([e[j] for e, _, i in rows if i == j]), 0.02) for j in range(2)]
+    far = lambda h, j, n: (h - mean[j]) / (dev[j] * np.sqrt(1 + 400 / n))
+    limit = max(1.5 * np.quantile([far(e[j], j, n) for e, n, j in rows], 0.999), 4.0)
+    assert np.allclose(m.mean, mean) and np.allclose(m.deviation, dev) and np.isclose(m.limit, limit)
+    texts = [*check["en"][:5], *check["es"][:5], "Съешь ещё этих мягких французских булок " * 9, "ξεσκεπάζω την ψυχοφθόρα βδελυγμία " * 9, "いろはにほへとちりぬるを" * 30, "qzx jvk wqpz xxkj vvzq " * 20]
+    got = m.predict(texts)
+    for t, lang, score, entropy, rejected in zip(texts, *(got[c] for c in ("lang_pred", "score", "entropy", "rejected")), strict=True):
+        e, n, _ = m.entropies([t])
+        j = int(np.argmin(e[0]))
+        want = 1 / sum(np.exp(-m.temperature * (x - e[0][j])) for x in e[0])
+        assert lang == m.langs[j] and np.isclose(score, want) and np.isclose(entropy, e[0][j]) and rejected == (far(e[0][j], j, n[0]) > limit)
+    assert got["rejected"].tolist() == [False] * 10 + [True] * 4
