@@ -187,7 +187,7 @@ def pack_documents(docs: DataFrame, text: str = "text", capacity: int = CAPACITY
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
-    """sequence_id and its token ids (little-endian 32-bit), from pieces made with_ids; at most the capacity a sequence."""
+    """sequence_id and its token ids (little-endian 32-bit), from pieces made with_ids; at most the capacity a sequence. No pieces give no sequences; a piece that comes twice would stand twice in its sequence, so hand in pieces as pack_documents makes them."""
     return pieces.groupBy("sequence_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", F.hex("ids").alias("ids")))), lambda x: x["ids"]), "").alias("h")).select("sequence_id", F.unhex("h").alias("ids"))
 
 

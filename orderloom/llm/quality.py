@@ -95,7 +95,8 @@ def frequent_lines(docs: DataFrame, text: str, host: str, max_docs: int = 10, ma
     A line is frequent if more than max_docs distinct documents of the host hold it and these are more than max_share of the
     host's distinct documents. Documents are told apart by doc_id; without it, copies of one text count as one document, so
     that a copied document is not taken for boilerplate; with near_once, near copies count as one too. lines: _host, _text (a
-    digest of the document), _line (hash), _chars (of that line in all rows of the document).
+    digest of the document), _line (hash), _chars (of that line in all rows of the document). Null texts and blank lines count
+    nowhere; rows that repeat an id and its text are one document; an empty table gives two empty frames.
     """
     own = F.col(doc_id) if doc_id else None
     lines = (

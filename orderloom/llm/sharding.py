@@ -57,7 +57,7 @@ def _quotas(asked: dict[tuple[int, int], int], room: dict[int, int]) -> list[tup
 
 
 def cut_links(members: DataFrame, nodes: DataFrame) -> int:
-    """Pairs of neighbours in different shards, counted once for each hub that links them. members: _id, _hub; nodes: _id, shard."""
+    """Pairs of neighbours in different shards, counted once for each hub that links them. members: _id, _hub (distinct rows; a repeated one would count as a neighbour of itself); nodes: _id, shard. Empty tables have none; members without a shard are passed over."""
     held = members.join(nodes.select("_id", "shard"), "_id").groupBy("_hub", "shard").agg(F.count(F.lit(1)).alias("n"))
     pairs = lambda n: (n * (n - 1) / 2).cast("decimal(38,0)")
     hubs = held.groupBy("_hub").agg((pairs(F.sum("n")) - F.sum(pairs(F.col("n")))).alias("cut"))
