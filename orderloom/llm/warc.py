@@ -148,8 +148,8 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:]) if k}
 
 
-def records(f, wanted) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of the records whose headers are wanted; the blocks of others are stepped over, or inflated piece by piece and dropped."""
+def records(f, wanted, needed=lambda fields: True) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, block) of the records whose headers are wanted, block None where it is not needed; blocks of others, and those not needed, are stepped over, or inflated piece by piece and dropped."""
     src = _Source(f)
     while len(magic := src.read(12)) == 12:
         if magic[:5] == b"WARC/":
@@ -163,10 +163,13 @@ def records(f, wanted) -> Iterator[tuple[dict[str, str], bytes]]:
             src.back = rest + src.back
             fields = _fields(head)
             n = int(fields["content-length"])
-            if wanted(fields):
+            use = wanted(fields)
+            if use and needed(fields):
                 yield fields, src.read(n)
             else:
                 src.skip(n)
+                if use:
+                    yield fields, None
             src.skip(4)
             continue
         if magic[:3] != b"\x1f\x8b\x08":
@@ -189,28 +192,33 @@ def records(f, wanted) -> Iterator[tuple[dict[str, str], bytes]]:
                     raise ValueError("a WARC header does not end")
             head, _, start = text.partition(b"\r\n\r\n")
             fields = _fields(head)
-            if wanted(fields):
+            use = wanted(fields)
+            if use and needed(fields):
                 rest = d.unconsumed_tail + src.read(left - len(body))
                 yield fields, (start + d.decompress(rest) + d.flush())[: int(fields["content-length"])]
             else:
                 src.skip(left - len(body))
+                if use:
+                    yield fields, None
             continue
         # a member of unknown length: inflate it, and keep its bytes only while they may be wanted
         src.back = magic + extra + src.back
-        d, text, fields, keep = zlib.decompressobj(31), b"", None, True
+        d, text, fields, use, keep = zlib.decompressobj(31), bytearray(), None, False, True
         while not d.eof:
             data = src.read(_CHUNK)
             if not data:
                 raise ValueError("a gzip member does not end")
             piece = d.decompress(data)
-            text = text + piece if keep else b""
-            if fields is None and b"\r\n\r\n" in text:
-                head, _, text = text.partition(b"\r\n\r\n")
-                fields = _fields(head)
-                keep = wanted(fields)
+            if keep:
+                text += piece
+            if fields is None and (end := text.find(b"\r\n\r\n", max(0, len(text) - len(piece) - 3))) >= 0:
+                fields = _fields(bytes(text[:end]))
+                use = wanted(fields)
+                keep = use and needed(fields)
+                text = text[end + 4 :] if keep else bytearray()
         src.back = d.unused_data + src.back
-        if fields is not None and keep:
-            yield fields, text[: int(fields["content-length"])]
+        if use:
+            yield fields, bytes(text[: int(fields["content-length"])]) if keep else None
 
 
 #: Columns that headers give, and how.
@@ -268,10 +276,11 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for name in partition.names:
             with fs.open_input_file(name) as f:
-                for h, block in records(f, lambda h: all(t(get(h), v) for get, t, v in tests)):
-                    start, _, payload = block.partition(b"\r\n\r\n")
+                # without payloads and their check, a header that has the length will do
+                for h, block in records(f, lambda h: all(t(get(h), v) for get, t, v in tests), lambda h: self.payload or self.verify or "x-payload-length" not in h):
+                    payload = (block or b"").partition(b"\r\n\r\n")[2]
                     kind = h.get("warc-type")
-                    n = int(h["x-payload-length"]) if kind == "revisit" and "x-payload-length" in h else len(payload)
+                    n = int(h["x-payload-length"]) if block is None or (kind == "revisit" and "x-payload-length" in h) else len(payload)
                     digest = _COLUMNS["payload_digest"](h)
                     if self.verify and kind == "response" and digest and digest != base32_sha1(payload):
                         raise ValueError(f"{name}: the payload of {h.get('warc-record-id')} does not match its digest")

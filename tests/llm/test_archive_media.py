@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orderloom.llm import media, warc
 from orderloom.llm.common import scratch_path
@@ -164,3 +165,19 @@ def test_features_equal_exact_means(spark, sf):
         tile = media.read_tile(bytes(r["tile"]))
         for got, n in zip(tile.ravel().tolist(), num.ravel().tolist(), strict=True):
             assert abs(2 * (got * den - n)) <= den + den // 1_000_000 + 1
+
+
+def test_blocks_that_are_not_needed_are_stepped_over(spark, tmp_path):
+    """Headers alone, by plain records, members of known and of unknown length; payload lengths come from the headers."""
+    import gzip
+
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 200_000
+    plain = warc.record([("WARC-Type", "response"), ("X-Payload-Length", "200000")], block)
+    for data in (plain, warc.member(plain), gzip.compress(plain)):
+        for need, want in ((True, block), (False, None)):
+            got = list(warc.records(io.BytesIO(data * 3), lambda h: True, lambda h, need=need: need))
+            assert [b for _, b in got] == [want] * 3 and all(h["x-payload-length"] == "200000" for h, _ in got)
+        assert list(warc.records(io.BytesIO(data), lambda h: False)) == []
+    (tmp_path / "a.warc.gz").write_bytes(warc.member(plain) + gzip.compress(plain))
+    read = lambda **how: [tuple(r) for r in warc.read_archive(spark, f"file://{tmp_path}", **how).select("record_type", "payload_bytes", F.octet_length("payload")).collect()]
+    assert read(payload=False) == [("response", 200_000, None)] * 2 and read() == [("response", 200_000, 200_000)] * 2
