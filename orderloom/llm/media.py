@@ -19,7 +19,7 @@ from .common import bound_batches, discard, enclose, materialise, release, table
 BLOCK = 576
 WIDTH = 24
 TILE = 16
-FEATURES = "width long, height long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary"
+FEATURES = "width long, height long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary, fault string"
 
 
 def encode_pgm(image: np.ndarray) -> bytes:
@@ -153,9 +153,15 @@ def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 rows.append((None,) * len(names))
                 continue
             data = bytes(data)
-            image = decode(data)
+            try:
+                image = decode(data)
+                if not image.size:
+                    raise ValueError("an image without pixels")
+            except (ValueError, IndexError, struct.error) as e:  # a broken image is that row's fault
+                rows.append((None,) * (len(names) - 1) + (f"{type(e).__name__}: {e}",))
+                continue
             payload = image.tobytes()
-            rows.append((image.shape[1], image.shape[0], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), npy_tile(image)))
+            rows.append((image.shape[1], image.shape[0], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), npy_tile(image), None))
         yield pd.DataFrame(rows, columns=names)
 
 
@@ -169,7 +175,7 @@ def text_media(docs: DataFrame, text: str = "text", form: str = "pgm") -> DataFr
 
 
 def media_features(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with the features of an image column: size, digests of samples and stored bytes, difference hash and NPY tile. Null media: nulls. Equal media get equal features; an empty table stays empty. Columns named like an output are replaced."""
+    """df with the features of an image column: size, digests of samples and stored bytes, difference hash and NPY tile. Null media: nulls. Media that can't be decoded: nulls, and the reason in fault. Equal media get equal features; an empty table stays empty. Columns named like an output are replaced."""
     own = enclose(df).withColumn("_f", F.pandas_udf(_features, FEATURES).asNondeterministic()(F.col(f"in_{media}")))
     names = [x.split()[0] for x in FEATURES.split(", ")]
     return release(own.select("*", *[F.col(f"_f.{n}").alias(n) for n in names]), names)

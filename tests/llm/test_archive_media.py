@@ -181,3 +181,11 @@ def test_blocks_that_are_not_needed_are_stepped_over(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(warc.member(plain) + gzip.compress(plain))
     read = lambda **how: [tuple(r) for r in warc.read_archive(spark, f"file://{tmp_path}", **how).select("record_type", "payload_bytes", F.octet_length("payload")).collect()]
     assert read(payload=False) == [("response", 200_000, None)] * 2 and read() == [("response", 200_000, 200_000)] * 2
+
+
+def test_broken_images_are_their_rows_faults(spark):
+    whole = media.encode_bmp(np.arange(576, dtype="u1").reshape(24, 24))
+    broken = [b"", b"P5", b"P5\n3 3\n255\n12", b"P2\n2 2\n255\n1 x", b"BM", whole[:60], b"GIF89a", b"P5\n0 0\n255\n", b"P9 1 1"]
+    rows = media.media_features(spark.createDataFrame([(i, b) for i, b in enumerate([whole, *broken])], "i int, media binary")).orderBy("i").collect()
+    assert rows[0]["fault"] is None and rows[0]["payload_bytes"] == 576
+    assert all(r["fault"] and r["dhash"] is None and r["tile"] is None for r in rows[1:])
