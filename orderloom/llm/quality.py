@@ -1,7 +1,8 @@
 """Quality rules: lines that recur across the documents of a host, and documents that are little else.
 
 Method: every line is normalised and hashed; the distinct documents of a host that hold a line are counted; lines above the
-limits are removed; documents that removal depletes are rejected. Everything runs as DataFrame expressions.
+limits are removed; documents that removal depletes are rejected. Everything runs as DataFrame expressions, but for near_once:
+it counts near copies as one document by the components of the exact n-gram join, which works on Arrow batches.
 """
 
 from __future__ import annotations
@@ -73,15 +74,17 @@ def _node() -> Column:
     return F.xxhash64("_host", "_text")
 
 
-def near_copies(docs: DataFrame, text: str, host: str, percent: int = 80) -> DataFrame:
-    """node, component: the distinct texts of a host that links reach from others, but for the one that gives its component the name.
+def near_copies(docs: DataFrame, text: str, host: str, doc_id: str, percent: int = 80) -> DataFrame:
+    """node, component: the component of near copies of each distinct text of a host, one row a text.
 
     Links and components are those of the exact join of near_duplicates (five-word windows, Jaccard measure of at least
-    percent), over the texts of all hosts: texts of two hosts that are near copies are in one component.
+    percent), over the texts of all hosts: texts of two hosts that are near copies are in one component. A row without an id
+    counts as its text; an id that comes with several texts joins their components.
     """
-    own = docs.filter(F.col(text).isNotNull()).select(key_of(F.col(host)).alias("_host"), F.unhex(F.md5(F.col(text))).alias("_text"), F.col(text).alias("text"))
-    named = near_duplicates(own.select(_node().alias("doc_id"), "text"), percent=percent)
-    return materialise(named.filter("component_id <> doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.min("component_id").alias("component")), "near")
+    own = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), key_of(F.col(host)).alias("_host"), F.unhex(F.md5(F.col(text))).alias("_text"), F.col(text).alias("text"))
+    own = own.select(F.coalesce("_id", _node()).alias("doc_id"), _node().alias("node"), "text")
+    named = near_duplicates(own.select("doc_id", "text"), percent=percent).groupBy("doc_id").agg(F.min("component_id").alias("component"))
+    return materialise(own.select("doc_id", "node").join(named, "doc_id").groupBy("node").agg(F.min("component").alias("component")), "near")
 
 
 def _text_key(text: Column, doc_id: Column | None) -> Column:
@@ -89,7 +92,7 @@ def _text_key(text: Column, doc_id: Column | None) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")) if doc_id is None else F.concat_ws("|", key_of(doc_id), text)))
 
 
-def frequent_lines(docs: DataFrame, text: str, host: str, max_docs: int = 10, max_share: float = 0.02, near_once: bool = False, doc_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+def frequent_lines(docs: DataFrame, text: str, host: str, max_docs: int = 10, max_share: float = 0.02, near_once: bool = False, doc_id: str | None = None, near_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(lines, frequent): the lines of each distinct text, and the (host, line) pairs above both limits.
 
     A line is frequent if more than max_docs distinct documents of the host hold it and these are more than max_share of the
@@ -111,13 +114,13 @@ def frequent_lines(docs: DataFrame, text: str, host: str, max_docs: int = 10, ma
     often = lines.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"), F.sum("_chars").alias("_all")).filter((F.col("_docs") > max_docs) & (F.col("_all") > 0))
     hosts = lines.groupBy("_host", "_text").agg(F.sum("_chars").alias("_all")).filter(F.col("_all") > 0).groupBy("_host").agg(F.count(F.lit(1)).alias("_host_docs"))
     if near_once:
-        copies = near_copies(docs, text, host)
+        copies = near_copies(docs, text, host, near_id)
         holders = lines.withColumn("_salt", F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int"))
         holders = holders.join(often.select("_host", "_line").withColumn("_salt", salts(SALTS)), ["_host", "_line", "_salt"]).select("_host", "_line", _node().alias("node"))
-        sets = holders.join(copies, "node", "left").select("_host", "_line", F.coalesce("component", "node").alias("_set")).distinct()
+        sets = holders.join(copies, "node").select("_host", "_line", F.col("component").alias("_set")).distinct()
         often = sets.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") > max_docs)
         texts = lines.groupBy("_host", "_text").agg(F.sum("_chars").alias("_all")).filter(F.col("_all") > 0).select("_host", _node().alias("node"))
-        hosts = texts.join(copies, "node", "left").select("_host", F.coalesce("component", "node").alias("_set")).distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_host_docs"))
+        hosts = texts.join(copies, "node").select("_host", F.col("component").alias("_set")).distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_host_docs"))
     # a host may hold a third of the candidates, so its total is dealt out in salted copies
     frequent = (
         often.withColumn("_salt", F.pmod(F.col("_line"), F.lit(SALTS)).cast("int"))
@@ -151,7 +154,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max
     tables give empty results. Equal rows get equal results. Input columns named like an output are replaced.
     """
     by = None if copies_once or near_once else doc_id
-    lines, frequent = frequent_lines(docs, text, host, max_docs, max_share, near_once, by)
+    lines, frequent = frequent_lines(docs, text, host, max_docs, max_share, near_once, by, doc_id)
     gone = materialise(removed_lines(lines, frequent), "gone")
     size = gone.agg(F.sum(F.length("_host") + 8 * F.size("_gone") + 64)).first()[0] or 0
     few = size <= BROADCAST_BYTES
