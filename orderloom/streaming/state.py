@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Groups of keys that share a state where rows are paired.
+BUCKETS = 4096
 
 
 @contextmanager
@@ -81,55 +83,73 @@ def keyed_map(df: DataFrame, key: str, field: str, value: str, time: str, seq: s
 
 
 class _Pairs(StatefulProcessor):
-    """Value state: what the side that came first has sent."""
+    """Value state of a bucket of keys: what the sides that came first have sent, a place in each array for each key, and when the first of it is due."""
 
     def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", "side int, payload string, time long")
+        self.waiting = handle.getValueState("waiting", "due long, key array<string>, side array<int>, payload array<string>, time array<long>")
+
+    def _held(self) -> tuple[int | None, dict[str, tuple]]:
+        due, *columns = self.waiting.get() or (None, [], [], [], [])
+        return due, {k: x for k, *x in zip(*columns, strict=True)}
+
+    def _hold(self, held: dict[str, tuple], timer: int | None) -> None:
+        """Keep what is held, with one timer for all of it; `timer` is the one that is set."""
+        due = min(x[2] for x in held.values()) + self.wait_ms if held else None
+        if held:
+            self.waiting.update((due, list(held), *map(list, zip(*held.values(), strict=True))))
+        else:
+            self.waiting.clear()
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
 
     @staticmethod
-    def _frame(key, found: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *x) for x in found], columns=["key", "left", "right", "state"])
+    def _frame(found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=["key", "left", "right", "state"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.waiting.get() if self.waiting.exists() else None
+        due, held = self._held()
         found = []
-        every = pd.concat(list(rows)).sort_values(["time", "side", "payload"])
-        for side, payload, time in zip(every["side"], every["payload"], every["time"], strict=True):
-            if held is None or held[0] == side:  # what a side sends again before its other half comes takes the place of the earlier
-                held = (int(side), payload, int(time.value // 1_000_000))
+        every = pd.concat(list(rows))
+        times = every["time"].to_numpy("datetime64[ns]").astype("int64").tolist()
+        for time, side, payload, k in sorted(zip(times, every["side"].tolist(), every["payload"], every["key"], strict=True)):
+            first = held.get(k)
+            if first is None or first[0] == side:  # what a side sends again before its other half comes takes the place of the earlier
+                held[k] = (side, payload, time // 1_000_000)
             else:
-                found.append((payload, held[1], "paired") if side == 0 else (held[1], payload, "paired"))
-                held = None
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if held is None:
-            self.waiting.clear()
-        else:
-            self.waiting.update(held)
-            self.handle.registerTimer(held[2] + self.wait_ms)
-        yield self._frame(key, found)
+                found.append((k, payload, first[1], "paired") if side == 0 else (k, first[1], payload, "paired"))
+                del held[k]
+        self._hold(held, due)
+        yield self._frame(found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        side, payload, _ = self.waiting.get()
-        self.waiting.clear()
-        yield self._frame(key, [(payload, None, "no right")] if side == 0 else [(None, payload, "no left")])
+        _, held = self._held()
+        until = timerValues.getCurrentWatermarkInMs() - self.wait_ms
+        alone = {k: x for k, x in held.items() if x[2] <= until}
+        self._hold({k: x for k, x in held.items() if k not in alone}, None)  # Spark drops the timer that has ended
+        yield self._frame([(k, payload, None, "no right") if side == 0 else (k, None, payload, "no left") for k, (side, payload, _) in alone.items()])
 
 
-def pair_barrier(left: DataFrame, right: DataFrame, key: str, time: str, wait_ms: int, late: str = "0 seconds") -> DataFrame:
+def pair_barrier(left: DataFrame, right: DataFrame, key: str, time: str, wait_ms: int, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """key, left, right, state: rows of two streams as they meet by key, each with all its columns as JSON.
 
     A row waits for the next row of the other side of its key; both then leave the state, `paired`. A row that no other half
     has reached when the watermark is wait_ms beyond its time is sent alone (`no right`, `no left`), so the state holds one row
     a key, and none for longer than that. A side that sends a key again before the other half comes replaces what it sent.
     Null keys are one key, ''. Start it in state_store, in append mode.
+
+    Keys share state by `buckets`, which a checkpoint fixes: the state and its timer are read and written once for each bucket that a
+    micro-batch has rows of, not for each key, and a task holds one bucket's waiting rows and new rows at a time.
     """
 
     def side(df: DataFrame, k: int) -> DataFrame:
         return df.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.lit(k).alias("side"), F.to_json(F.struct(*df.columns)).alias("payload"), F.col(time).cast("timestamp").alias("time")).withWatermark("time", late)
 
     both = side(left, 0).unionByName(side(right, 1))
-    return both.groupBy("key").transformWithStateInPandas(_Pairs(wait_ms), "key string, left string, right string, state string", "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+    return both.select(bucket, "*").groupBy("bucket").transformWithStateInPandas(_Pairs(wait_ms), "key string, left string, right string, state string", "Append", "EventTime")

@@ -2,6 +2,9 @@
 
 import json
 from datetime import datetime, timedelta
+from types import SimpleNamespace
+
+import pandas as pd
 
 from orderloom.streaming import state
 
@@ -72,3 +75,58 @@ def test_pairs_meet_wait_and_give_up(spark, tmp_path):
         put(side, "4.json", [(f"z{side}", 0, 41)])
     run(spark, src(), "append", str(tmp_path / "c"), got)
     assert sorted((k, v(x), v(y), s) for k, x, y, s in got) == [("", 4, None, "no right"), ("c", None, 30, "no left")]
+
+
+class Store:
+    """A value state and the timers of one bucket, with a count of the calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_pairs_cost_no_calls_by_key():
+    """The keys of a bucket share their state: calls to it don't grow with the keys, and each key still ends at its own time."""
+    store, pairs = Store(), state._Pairs(600_000)
+    pairs.init(store)
+
+    def put(side, keys, minutes):
+        rows = pd.DataFrame([(7, k, side, f"{side}{k}", T0 + timedelta(minutes=minutes)) for k in keys], columns=["bucket", "key", "side", "payload", "time"])
+        return [tuple(r) for f in pairs.handleInputRows((7,), iter([rows[:300], rows[300:]]), None) for r in f.itertuples(index=False)]
+
+    def expire(minutes):
+        t = store.timers.pop(0)  # Spark drops it
+        mark = SimpleNamespace(getCurrentWatermarkInMs=lambda: ms(minutes))
+        assert t <= ms(minutes)
+        return [tuple(r) for f in pairs.handleExpiredTimer((7,), mark, None) for r in f.itertuples(index=False)]
+
+    ms = lambda m: int((T0 - datetime(1970, 1, 1)).total_seconds() * 1000) + m * 60_000
+    keys = [f"k{i:03}" for i in range(900)]
+    assert put(0, keys[:600], 0) == [] and store.timers == [ms(10)]
+    assert put(0, keys[600:], 5) == []
+    assert put(1, keys[100:700], 6) == [(k, f"0{k}", f"1{k}", "paired") for k in keys[100:700]]
+    assert store.calls <= 12 and store.timers == [ms(10)]
+    assert expire(12) == [(k, f"0{k}", None, "no right") for k in keys[:100]] and store.timers == [ms(15)]
+    assert expire(15) == [(k, f"0{k}", None, "no right") for k in keys[700:]] and store.timers == [] and store.value is None
