@@ -92,8 +92,8 @@ def floor_div(a: Column, b) -> Column:
     b = _c(b)
     x, y = a.cast("double"), b.cast("double")
     q = x / F.when(y != 0, y)
-    # a double from 2 ** 53 on is whole; a finite number by an infinite one is 0 or, with unlike signs, just below
-    whole = F.when(F.abs(q) >= float(1 << 53), q).when(F.abs(y) == float("inf"), F.when((x < 0) != (y < 0), F.when(x == 0, 0.0).otherwise(-1.0)).otherwise(0.0)).otherwise(F.floor(q).cast("double"))
+    # a double from 2 ** 53 on is whole; 0 keeps its sign; a finite number by an infinite one is 0 or, with unlike signs, just below
+    whole = F.when((F.abs(q) >= float(1 << 53)) | (x == 0), q).when(F.abs(y) == float("inf"), F.when((x < 0) != (y < 0), -1.0).otherwise(0.0)).otherwise(F.floor(q).cast("double"))
     return F.when((y == 0) | F.isnan(x) | F.isnan(y) | (F.abs(x) == float("inf")), F.lit(NAN)).otherwise(whole)
 
 

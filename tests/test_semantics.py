@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from orderloom.operators import frame as X
 from orderloom.operators import joins as J
 from orderloom.operators import merges as M
 from orderloom.operators import orders as O
+from orderloom.plans import io_queries  # noqa: F401  adds to the registry
+from orderloom.plans.registry import ORACLES, QUERIES
 
 
 def col(spark, expr, values, schema="x double"):
@@ -33,6 +36,19 @@ def test_division(spark):
         assert g == want or (math.isnan(g) and math.isnan(want)), (a, b, g, want)
 
 
+def test_quotients_of_zero(spark, tmp_path):
+    """A zero keeps the sign of its quotient, as in Python; c4's values may be zero of either sign."""
+    inf = float("inf")
+    pairs = [(0.0, 2.0), (-0.0, 2.0), (0.0, -2.0), (0.0, -inf), (-0.0, -inf), (0.0, inf), (5.0, inf), (-5.0, -inf), (1.0, 2.0), (-1.0, -2.0)]
+    assert [str(g) for g in col(spark, S.floor_div(F.col("a"), F.col("b")), pairs, "a double, b double")] == [str(a // b) for a, b in pairs]
+    rows = [(i, v) for i, v in enumerate([0.0, -0.0, 0.5, 7.0, 0.0, 1.0, 2.0, 0.0, -0.0, -0.0, 0.0, 0.0, -0.0, 0.0, 3.0])]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: str(r["q"]) for r in QUERIES["c4_odd_quotients"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == {i: str(q) for i, q in con.execute(ORACLES["c4_odd_quotients"]).fetchall()}
+
+
 def test_comparisons(spark):
     nan = float("nan")
     rows = [(None, None), (None, 5.0), (nan, nan), (nan, 1.0), (1.0, nan), (1.0, 2.0)]
