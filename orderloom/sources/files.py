@@ -83,15 +83,11 @@ def read_json(spark: SparkSession, path: str, records_path: str | list[str] | tu
     """
     keys = [records_path] if isinstance(records_path, str) else list(records_path or [])
     text = materialise(json_texts(spark, path, keys, encoding), "records")
-    if text.isEmpty() or not text.filter(F.expr("try_parse_json(j) IS NULL")).isEmpty():
+    # the schema is that of all objects
+    found = text.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("try_parse_json(j) IS NULL")).alias("bad"), F.expr("schema_of_variant_agg(try_parse_json(j))").alias("s")).first()
+    if not found["n"] or found["bad"]:
         return spark.createDataFrame([], "_empty string").select()
-    return _from_text(text)
-
-
-def _from_text(text: DataFrame) -> DataFrame:
-    """Columns of JSON objects, one a row; the schema is that of all of them."""
-    schema = text.agg(F.expr("schema_of_variant_agg(parse_json(j))").alias("s")).first()["s"]
-    ddl = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", schema.replace("OBJECT<", "STRUCT<")).replace("VOID", "STRING")
+    ddl = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", found["s"].replace("OBJECT<", "STRUCT<")).replace("VOID", "STRING")
     return text.select(F.from_json("j", ddl).alias("r")).select("r.*")
 
 

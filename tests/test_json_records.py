@@ -68,3 +68,28 @@ def test_folder_of_documents(spark, tmp_path):
         (tmp_path / f"{k}.json").write_text(json.dumps({"pedidos": [{"k": k, "x": {"y": ["é"]}}] * 2}))
     df = files.read_json(spark, str(tmp_path), "pedidos")
     assert sorted((r["k"], r["x"]["y"][0]) for r in df.collect()) == [(k, "é") for k in range(3) for _ in range(2)]
+
+
+def test_groups_of_chunks(spark, tmp_path, monkeypatch):
+    """What is scanned and joined are groups of some kilobytes, not chunks; records and keys may go over their ends."""
+    rows = {}
+    keep = json_records.materialise
+    monkeypatch.setattr(json_records, "materialise", lambda df, tag: rows.setdefault(tag, keep(df, tag)))
+    own = [{"id": i, "v": [{"x": "}{" * (i % 9)}, {"y": {}}] * (i % 5), "t": "é\\\"}" * (i % 400)} for i in range(1500)]
+    doc = {"meta": "a, [ } b", "data": own, "z": [{"no": 1}]}
+    assert texts(spark, tmp_path, doc, ["data"]) == want(own)
+    text = json.dumps(doc)
+    assert rows["groups"].count() <= len(text.encode()) // json_records.GROUP + 40 < text.count("}") // 50
+    assert rows["cut"].count() < 2 * len(own)
+
+
+def test_braces_in_keys(spark, tmp_path):
+    """A key that holds closing braces is one key, also over the end of a group."""
+    own = [{"a": 1}, {"a": 2}]
+    assert texts(spark, tmp_path, {"data": 1, "we}ird": [{"no": 1}]}, ["data"]) == []
+    for n in (1, 3000, 9000):
+        for key in ("x}" * n, "x}" * n + 'é"[', "}" * n):
+            doc = {"data": {key[:-1]: [{"no": 1}], key: own, "z": "}" * n}, key: [{"no": 2}]}
+            assert texts(spark, tmp_path, doc, ["data"]) == []
+            if n < 9000:  # longer ones are told from others by their ends alone, and aren't found
+                assert texts(spark, tmp_path, doc, ["data", key]) == want(own), n
