@@ -83,10 +83,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _splits(groups: DataFrame) -> DataFrame:
     """file, block, inside, depth (true, at the split's begin), good (the whole document ends outside of strings at depth 0)."""
     last = groups.groupBy("file", "block").agg(
-        F.max_by(F.struct("e0", "e1", (F.col("d0") + F.col("c0")).alias("d0"), (F.col("d1") + F.col("c1")).alias("d1")), "at").alias("x"),
+        F.max_by("e0", "at").alias("e0"), F.max_by("e1", "at").alias("e1"), F.max_by(F.col("d0") + F.col("c0"), "at").alias("d0"), F.max_by(F.col("d1") + F.col("c1"), "at").alias("d1"),
         F.sum(F.col("bytes") + 1).alias("read"), F.max("size").alias("size"),
     )
-    last = last.select("file", "block", "read", "size", "x.*")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     up_to = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     last = last.withColumn("turned", F.sum((F.col("e0") & ~F.col("e1")).cast("int")).over(up_to))

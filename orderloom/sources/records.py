@@ -81,10 +81,11 @@ def _scan(batches: Iterator[pa.RecordBatch], sep: str, encoding: str) -> Iterato
 
 def _true_cases(lines: DataFrame) -> DataFrame:
     """file, block, case (1: the split begins inside quotes), rb, ra (split and line of the record open there), one row a split."""
-    last = lines.groupBy("file", "block").agg(F.max_by(F.struct("bits", "r0", "r1"), "at").alias("e"))
-    bit = lambda k: F.col("e.bits").bitwiseAND(1 << k) != 0
+    # of plain values, not of a struct: that would sort all lines
+    last = lines.groupBy("file", "block").agg(*[F.max_by(c, "at").alias(c) for c in ("bits", "r0", "r1")])
+    bit = lambda k: F.col("bits").bitwiseAND(1 << k) != 0
     # a split leaves the case as it is, turns it round, or sets it
-    last = last.select("file", "block", F.col("e.r0").alias("r0"), F.col("e.r1").alias("r1"), F.when(bit(2) == bit(3), bit(2).cast("int")).alias("sets"), (bit(2) & ~bit(3)).cast("int").alias("turns"))
+    last = last.select("file", "block", "r0", "r1", F.when(bit(2) == bit(3), bit(2).cast("int")).alias("sets"), (bit(2) & ~bit(3)).cast("int").alias("turns"))
     up_to = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("turned", F.sum("turns").over(up_to))

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from orderloom.sources import files, records
+from orderloom.sources import files, json_records, records
 
 
 def expect(text, sep, has_header=True):
@@ -87,3 +87,11 @@ def test_folder_of_files(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"p{k}.csv").write_text(f'k,"v"\n{k},"a\nb"\n')
     assert sorted(map(tuple, files.read_csv(spark, str(tmp_path), ",").collect())) == [(str(k), "a\nb") for k in range(3)]
+
+
+def test_splits_are_summed_without_a_sort(spark, tmp_path):
+    """A split's last line is found by hash aggregates, which hold a row a split, not its lines."""
+    for name, schema, found in (("lines", records.LINES, records._true_cases), ("groups", json_records.GROUPS, json_records._splits)):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}")
+        plan = found(spark.read.schema(schema).parquet(f"{tmp_path}/{name}"))._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
