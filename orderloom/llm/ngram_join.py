@@ -11,6 +11,9 @@ both their overlaps with the hub, which are known, or else is a token that the h
 two of them together only where the smaller overlap is enough for a link; tokens that the hub lacks are few and rare. Positions
 in the prefixes, the triangle inequality of the Jaccard distance and parity bitmaps rule out more. Verification compares whole
 shingle sets.
+
+Sets, prefixes and overlaps come from numpy on Arrow batches, or (native) from column expressions alone, without the bitmaps and
+with tokens ordered by counts over a sample; links and components are the same.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import shingle_columns
 from .common import bound_batches, discard, enclose, keep_ids, materialise, release, salts, table
 from .components import components
 from .shingles import shingle_sets
@@ -182,16 +186,20 @@ def _against_leaders(held, percent: int):
     return against
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, tag: str, found, schema: str) -> DataFrame:
-    """a, b and what `found` makes of both texts, for a written table of pairs of ids."""
+def _by_udf(found, schema: str):
+    """What the pandas function `found` makes of both texts, beside a and b."""
+    return lambda both: both.select("a", "b", F.pandas_udf(found, schema).asNondeterministic()("ta", "tb").alias("o")).select("a", "b", "o.*")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, tag: str, found, shown=lambda df, _: df) -> DataFrame:
+    """a, b and what `found` makes of both texts (a, b, ta, tb), for a written table of pairs of ids; shown: what goes into the pairs in place of a text, by its column's name."""
     sides = {}
     for side in "ab":
         ids = materialise(pairs.select(F.col(side).alias("doc_id")).distinct(), f"{tag}-{side}")
-        sides[side] = (ids, keep_ids(docs, ids, "doc_id", "left_semi").select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")))
+        sides[side] = (ids, shown(keep_ids(docs, ids, "doc_id", "left_semi").select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), f"t{side}"))
     # plain joins, so that Spark can split the rows of a document with many partners
     both = pairs.join(sides["b"][1], "b").join(sides["a"][1], "a")
-    o = both.select("a", "b", F.pandas_udf(found, schema).asNondeterministic()("ta", "tb").alias("o"))
-    out = materialise(o.select("a", "b", "o.*"), tag)
+    out = materialise(found(both), tag)
     discard(*[ids for ids, _ in sides.values()])
     return out
 
@@ -210,15 +218,14 @@ def _hubs(first: DataFrame) -> DataFrame:
     return hubs
 
 
-def _between(shared: DataFrame, found: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """a < b: pairs of documents in different components that may be linked."""
+def _between(shared: DataFrame, found: DataFrame, hubs: DataFrame, percent: int, of_hub: Column) -> DataFrame:
+    """a < b: pairs of documents in different components that may be linked; of_hub: whether the hub has the token, by `has`."""
     held = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(hubs, "doc", "left")
-    bit = F.expr("shiftright(get(has, shiftright(pos, 6)), pos & 63) & 1 = 1")
     # ahead: the tokens before this one that any other prefix has, so that no more of them can be common
     held = held.select(
         "token", "doc", *[F.col(c).cast("long").alias(c) for c in ("n", "l", "pos")], (F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1).alias("ahead"),
         F.coalesce("component", "doc").alias("comp"), F.coalesce("hub", "doc").alias("hub"), F.coalesce("c", F.col("n").cast("long")).alias("c"), F.coalesce("d", F.lit(0.0)).alias("d"),
-        F.coalesce("tail", F.lit(0)).cast("long").alias("tail"), F.coalesce(bit, F.lit(True)).alias("of_hub"), F.coalesce(F.log2(F.col("tail") + F.lit(1.0)), F.lit(0.0)).cast("int").alias("part"),
+        F.coalesce("tail", F.lit(0)).cast("long").alias("tail"), F.coalesce(of_hub, F.lit(True)).alias("of_hub"), F.coalesce(F.log2(F.col("tail") + F.lit(1.0)), F.lit(0.0)).cast("int").alias("part"),
     )
     held = materialise(held, "held")
     # lists that still hold more than one component
@@ -290,24 +297,42 @@ def _between(shared: DataFrame, found: DataFrame, hubs: DataFrame, percent: int)
     return cross
 
 
-def shingle_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of docs (doc_id: long, text: string).
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs but for those whose bitmaps differ in more bits than linked sets can differ in tokens; an id with several sets has no bitmap of its own."""
+    bits = sets.filter("n > 0").groupBy("doc_id").agg(F.first("bits").alias("bits"), F.min("data").alias("lo"), F.max("data").alias("hi")).filter("lo = hi").select("doc_id", "bits")
+    differ = " + ".join(f"bit_count(get(bits1, {k}) ^ get(bits2, {k}))" for k in range(PARITY_BITS // 64))
+    both = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits1")), "a", "left").join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits2")), "b", "left")
+    return both.filter(f"bits1 IS NULL OR bits2 IS NULL OR {2 * percent} * n <= {100 + percent} * (n - ({differ}))")
 
-    members: doc_id, n (distinct shingles), rep (the least doc_id with the same set; itself if the set is empty). links: a < b,
-    pairs of reps with 100 * common >= percent * all, enough of them to join each component, and every link between documents
-    that would else be in different components.
-    """
-    spark = docs.sparkSession
-    bound_batches(spark)
+
+def _sketched(docs: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """(written table of _count_sets, sketch) of docs."""
     seen = materialise(docs.mapInArrow(_count_sets, "kind int, doc_id long, n long, data binary, bits array<long>"), "sets")
-    sets = seen.filter("kind = 0")
     sketch = seen.filter("kind = 1").select("doc_id", "data").withColumn("_part", F.spark_partition_id() % 32)
     sketch = sketch.groupBy("doc_id", "_part").applyInArrow(_sum_segments, "doc_id long, data binary").groupBy("doc_id").applyInArrow(_sum_segments, "doc_id long, data binary")
     counts = np.zeros(1 << SKETCH_BITS, "u4")
     for r in sketch.collect():  # of fixed size: at most 4 bytes a counter
         counts[r["doc_id"] * _SEGMENT : (r["doc_id"] + 1) * _SEGMENT] = np.frombuffer(zlib.decompress(r["data"]), "<u4")
     excess = _excess(counts)
-    held = spark.sparkContext.broadcast((excess, _bands(excess)))
+    return seen, (excess, _bands(excess))
+
+
+def shingle_links(docs: DataFrame, percent: int = 80, native: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of docs (doc_id: long, text: string); native: without Python on the executors.
+
+    members: doc_id, n (distinct shingles), rep (the least doc_id with the same set; itself if the set is empty). links: a < b,
+    pairs of reps with 100 * common >= percent * all, enough of them to join each component, and every link between documents
+    that would else be in different components.
+    """
+    spark = docs.sparkSession
+    if native:
+        bands, held = shingle_columns.band_table(docs), None
+        seen = sets = materialise(shingle_columns.with_prefixes(docs, bands, percent, COSTS), "sets")
+    else:
+        bound_batches(spark)
+        seen, sketch = _sketched(docs)
+        sets = seen.filter("kind = 0")
+        held = spark.sparkContext.broadcast(sketch)
 
     # classes of equal sets; a class may hold a third of all rows, so its representative is dealt out in salted copies
     classes = sets.filter("n > 0").groupBy("data").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).filter("k > 1 AND rep IS NOT NULL")
@@ -320,7 +345,11 @@ def shingle_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     several = members.join(reps.filter("lo <> hi").select("doc_id", "lo"), "doc_id").select(F.col("lo").alias("a"), F.col("rep").alias("b")).filter("a < b")
 
     own = keep_ids(docs, copies, "doc_id", "left_anti")
-    postings = own.mapInArrow(_prefixes(held, percent), "token long, doc long, n int, l int, pos int, central int")
+    if native:
+        postings = keep_ids(seen.filter("n > 0 AND doc_id IS NOT NULL"), copies, "doc_id", "left_anti")
+        postings = postings.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "l", "central")
+    else:
+        postings = own.mapInArrow(_prefixes(held, percent), "token long, doc long, n int, l int, pos int, central int")
     # within a token's list, a new leader for each band of sizes, as documents of too different sizes can't be linked
     postings = postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
     by_token = Window.partitionBy("token").orderBy("band", F.desc("central"), "doc")
@@ -333,37 +362,45 @@ def shingle_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     shared = materialise(shared, "shared")
     stars = shared.filter("doc <> leader").groupBy("leader", "doc").agg(F.count(F.lit(1)).alias("k"), F.max("l").alias("l")).filter("k >= l").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
     stars = materialise(stars, "stars")
-    first = _verify(stars, own, "first", _against_leaders(held, percent), "common long, all long, tail long, has array<long>")
+    if native:
+        # sets are made before the pairs are, once for each document of a side
+        shown = [lambda df, c: shingle_columns.with_tokens(df, c, "_tokens", bands).drop(c).withColumnRenamed("_tokens", c)]
+        to_leaders, to_others = (lambda both: shingle_columns.against_leaders(both, percent, COSTS)), shingle_columns.overlap
+        of_hub = F.expr("NOT array_contains(has, token)")
+    else:
+        shown = []
+        to_leaders, to_others = _by_udf(_against_leaders(held, percent), "common long, all long, tail long, has array<long>"), _by_udf(_overlap, "common long, all long")
+        of_hub = F.expr("shiftright(get(has, shiftright(pos, 6)), pos & 63) & 1 = 1")
+    first = _verify(stars, own, "first", to_leaders, *shown)
     linked = F.col("common") * 100 >= F.col("all") * percent
     links = materialise(first.filter(linked).select("a", "b").unionByName(several), "links")
     found = components(links)
     hubs = _hubs(first)
-    cross = _between(shared, found, hubs, percent)
+    cross = _between(shared, found, hubs, percent, of_hub)
     discard(shared, stars, hubs, found)
 
-    # bitmaps that differ in more bits than linked sets can differ in tokens; an id with several sets has no bitmap of its own
-    bits = sets.filter("n > 0").groupBy("doc_id").agg(F.first("bits").alias("bits"), F.min("data").alias("lo"), F.max("data").alias("hi")).filter("lo = hi").select("doc_id", "bits")
-    differ = " + ".join(f"bit_count(get(bits1, {k}) ^ get(bits2, {k}))" for k in range(PARITY_BITS // 64))
     new = cross.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    new = new.join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits1")), "a", "left").join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits2")), "b", "left")
-    new = new.filter(f"bits1 IS NULL OR bits2 IS NULL OR {2 * percent} * n <= {100 + percent} * (n - ({differ}))").select("a", "b")
-    new = materialise(new, "new")
-    second = _verify(new, own, "second", _overlap, "common long, all long")
+    if not native:
+        new = _alike(new, sets, percent)
+    new = materialise(new.select("a", "b"), "new")
+    second = _verify(new, own, "second", to_others, *shown)
     out = materialise(links.unionByName(second.filter(linked).select("a", "b")), "links")
     discard(seen, cross, new, first, second, links, copies)
-    held.unpersist()
+    if held:
+        held.unpersist()
     return members, out
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80, native: bool = False) -> DataFrame:
     """docs with n_shingles and component_id, the least doc_id that links reach from the row's document.
 
     Null or empty text, or one without a word: no shingles and no link, so component_id is the row's own id. Rows of one doc_id
     are one document. Rows of a null doc_id can be copies of documents with an id (component_id is theirs), else their
     component_id is null and they link nothing. An empty table gives an empty result. Columns named like an output are replaced.
+    native: the same by column expressions, without Python on the executors.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    members, links = shingle_links(own, percent)
+    members, links = shingle_links(own, percent, native)
     found = components(links)
     discard(links)
     named = members.join(found, members["rep"] == found["node"], "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))

@@ -1,8 +1,8 @@
 """Quality rules: lines that recur across the documents of a host, and documents that are little else.
 
 Method: every line is normalised and hashed; the distinct documents of a host that hold a line are counted; lines above the
-limits are removed; documents that removal depletes are rejected. Everything runs as DataFrame expressions, but for near_once:
-it counts near copies as one document by the components of the exact n-gram join, which works on Arrow batches.
+limits are removed; documents that removal depletes are rejected. Everything runs as DataFrame expressions; near_once counts
+near copies as one document by the components of the exact n-gram join in its native form.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def near_copies(docs: DataFrame, text: str, host: str, doc_id: str, percent: int
     """
     own = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), key_of(F.col(host)).alias("_host"), F.unhex(F.md5(F.col(text))).alias("_text"), F.col(text).alias("text"))
     own = own.select(F.coalesce("_id", _node()).alias("doc_id"), _node().alias("node"), "text")
-    named = near_duplicates(own.select("doc_id", "text"), percent=percent).groupBy("doc_id").agg(F.min("component_id").alias("component"))
+    named = near_duplicates(own.select("doc_id", "text"), percent=percent, native=True).groupBy("doc_id").agg(F.min("component_id").alias("component"))
     return materialise(own.select("doc_id", "node").join(named, "doc_id").groupBy("node").agg(F.min("component").alias("component")), "near")
 
 
