@@ -360,6 +360,8 @@ def shingle_links(docs: DataFrame, percent: int = 80, native: bool = False) -> t
         .select("token", "doc", "n", "l", "pos", "leader")
     )
     shared = materialise(shared, "shared")
+    if native:
+        discard(seen)
     stars = shared.filter("doc <> leader").groupBy("leader", "doc").agg(F.count(F.lit(1)).alias("k"), F.max("l").alias("l")).filter("k >= l").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
     stars = materialise(stars, "stars")
     if native:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting to delete a query's shuffle files at its end.
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The sessions of the scratch paths that are still there.
 _written: dict[str, SparkSession] = {}
 
@@ -30,10 +34,24 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs within go as soon as it has ended; else they stay until the driver happens to collect its garbage."""
+    if spark.conf.get(SHUFFLES_END) == "true":
+        yield
+        return
+    spark.conf.set(SHUFFLES_END, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES_END, "false")
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lost executors cost no lineage, and nothing runs twice."""
+    """Write df once to the shared folder and read it back: lost executors cost no lineage, nothing runs twice, and no shuffle files are left behind."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with _shuffles_end(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
