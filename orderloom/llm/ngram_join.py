@@ -39,6 +39,8 @@ SEGMENT_BITS = 6
 #: A prefix whose tokens are expected in more other documents than these must match 2, 3, 4 tokens.
 COSTS = (64, 1024, 16384)
 SALTS = 16
+#: Sets of hashes are larger than texts in a shuffle, so the native form verifies all pairs in so many turns, one after another.
+SLICES = 2
 PARITY_BITS = 512
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
 _SEGMENT = 1 << (SKETCH_BITS - SEGMENT_BITS)
@@ -191,15 +193,18 @@ def _by_udf(found, schema: str):
     return lambda both: both.select("a", "b", F.pandas_udf(found, schema).asNondeterministic()("ta", "tb").alias("o")).select("a", "b", "o.*")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, tag: str, found, shown=lambda df, _: df) -> DataFrame:
-    """a, b and what `found` makes of both texts (a, b, ta, tb), for a written table of pairs of ids; shown: what goes into the pairs in place of a text, by its column's name."""
+def _verify(pairs: DataFrame, docs: DataFrame, tag: str, found, shown=lambda df, _: df, slices: int = 1) -> DataFrame:
+    """a, b and what `found` makes of both texts (a, b, ta, tb), for a written table of pairs of ids; shown: what goes into the pairs in place of a text, by its column's name; slices: all pairs are taken in so many turns, by b."""
     sides = {}
     for side in "ab":
         ids = materialise(pairs.select(F.col(side).alias("doc_id")).distinct(), f"{tag}-{side}")
         sides[side] = (ids, shown(keep_ids(docs, ids, "doc_id", "left_semi").select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), f"t{side}"))
-    # plain joins, so that Spark can split the rows of a document with many partners
-    both = pairs.join(sides["b"][1], "b").join(sides["a"][1], "a")
-    out = materialise(found(both), tag)
+    parts = []
+    for k in range(slices):
+        of = (lambda df, k=k: df.filter(F.pmod(F.xxhash64("b"), F.lit(slices)) == k)) if slices > 1 else (lambda df: df)
+        # plain joins, so that Spark can split the rows of a document with many partners
+        parts.append(found(of(pairs).join(of(sides["b"][1]), "b").join(sides["a"][1], "a")))
+    out = materialise(parts[0], tag, *parts[1:])
     discard(*[ids for ids, _ in sides.values()])
     return out
 
@@ -373,7 +378,7 @@ def shingle_links(docs: DataFrame, percent: int = 80, native: bool = False) -> t
         shown = []
         to_leaders, to_others = _by_udf(_against_leaders(held, percent), "common long, all long, tail long, has array<long>"), _by_udf(_overlap, "common long, all long")
         of_hub = F.expr("shiftright(get(has, shiftright(pos, 6)), pos & 63) & 1 = 1")
-    first = _verify(stars, own, "first", to_leaders, *shown)
+    first = _verify(stars, own, "first", to_leaders, *shown, slices=SLICES if native else 1)
     linked = F.col("common") * 100 >= F.col("all") * percent
     links = materialise(first.filter(linked).select("a", "b").unionByName(several), "links")
     found = components(links)
@@ -385,7 +390,7 @@ def shingle_links(docs: DataFrame, percent: int = 80, native: bool = False) -> t
     if not native:
         new = _alike(new, sets, percent)
     new = materialise(new.select("a", "b"), "new")
-    second = _verify(new, own, "second", to_others, *shown)
+    second = _verify(new, own, "second", to_others, *shown, slices=SLICES if native else 1)
     out = materialise(links.unionByName(second.filter(linked).select("a", "b")), "links")
     discard(seen, cross, new, first, second, links, copies)
     if held:

@@ -47,11 +47,15 @@ def _shuffles_end(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(SHUFFLES_END, "false")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lost executors cost no lineage, nothing runs twice, and no shuffle files are left behind."""
+def materialise(df: DataFrame, tag: str, *more: DataFrame) -> DataFrame:
+    """Write df once to the shared folder and read it back: lost executors cost no lineage, nothing runs twice, and no shuffle files are left behind.
+
+    more: further rows of the same table, written one frame after another, so that the shuffle files of one alone are there at a time.
+    """
     path = scratch_path(df.sparkSession, tag)
-    with _shuffles_end(df.sparkSession):
-        df.write.parquet(path)
+    for part in (df, *more):
+        with _shuffles_end(part.sparkSession):
+            part.write.mode("append").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

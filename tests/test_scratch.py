@@ -30,3 +30,9 @@ def test_shuffle_files_go(spark):
     assert sorted(first.collect()) == sorted(again.collect()) == [(k, 4, 4) for k in range(5_000)]
     assert both.count() == 5_000
     discard(first, again)
+
+
+def test_table_of_several_frames(spark):
+    both = materialise(spark.range(3), "scratch_test", spark.range(3, 5), spark.range(0))
+    assert sorted(r[0] for r in both.collect()) == [0, 1, 2, 3, 4]
+    discard(both)
